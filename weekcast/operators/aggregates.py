@@ -29,9 +29,14 @@ def mode_by_count(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def first_by(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """First non-null value per key in the given order."""
+    """First non-null value per key in the given order.
+
+    Rows are de-duplicated first (a hash aggregation): the struct minimum
+    sorts its input, so it should only see distinct candidates.
+    """
     pick = F.min(F.struct(*order, value))
     return (df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
+            .select(key, *order, value).distinct()
             .groupBy(key).agg(pick.alias("_pick"))
             .select(key, F.col(f"_pick.{value}").alias(value)))
 
@@ -40,6 +45,7 @@ def last_by(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]
     """Last non-null value per key in the given order; ties to the largest value."""
     pick = F.max(F.struct(*order, value))
     return (df.where(F.col(value).isNotNull())
+            .select(*keys, *order, value).distinct()
             .groupBy(*keys).agg(pick.alias("_pick"))
             .select(*keys, F.col(f"_pick.{value}").alias(value)))
 

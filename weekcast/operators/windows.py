@@ -62,38 +62,26 @@ def blended_means(df: DataFrame, metrics: Sequence[str], windows: Sequence[int],
     struct serve all metrics and window lengths.
     """
     order = Window.partitionBy(entity).orderBy(season, week)
-    packed = F.struct(
-        F.col(season).alias("_season"),
-        *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in metrics])
-    depth = max(windows)
-    lags = [f"_lag{i}" for i in range(1, depth + 1)]
+    packed = F.expr("struct({} AS _season, {})".format(season, ", ".join(
+        f"coalesce(CAST({m} AS DOUBLE), 0D) AS {m}" for m in metrics)))
+    steps = range(1, max(windows) + 1)
+    df = df.withColumn("_packed", packed)
+    df = df.withColumns({f"_lag{i}": F.lag("_packed", i).over(order) for i in steps})
+    # lag 1 in the current season means there is at least one current game
+    weight = ("CASE WHEN _lag{i}._season = {s} THEN 1D WHEN _lag{i}._season = {s} - 1 "
+              "THEN IF(_lag1._season = {s}, {w}D, 1D) ELSE 0D END")
     df = df.withColumns({
-        c: F.lag(packed, i).over(order) for i, c in enumerate(lags, start=1)})
-    current = lambda c: F.coalesce(F.col(f"{c}._season") == F.col(season), F.lit(False))
-    previous = lambda c: F.coalesce(F.col(f"{c}._season") == F.col(season) - 1, F.lit(False))
-    # a current row at lag 1 means there is at least one current game
-    old = F.when(current(lags[0]), previous_weight).otherwise(1.0)
-    weights = [f"_weight{i}" for i in range(1, depth + 1)]
-    df = df.withColumns({
-        w: F.when(current(c), 1.0).when(previous(c), old).otherwise(0.0)
-        for w, c in zip(weights, lags)})
+        f"_weight{i}": F.expr(weight.format(i=i, s=season, w=previous_weight))
+        for i in steps})
     out = {}
     for n in windows:
-        weight = _add(F.col(w) for w in weights[:n])
+        weights = " + ".join(f"_weight{i}" for i in range(1, n + 1))
         for m in metrics:
-            value = _add(
-                F.coalesce(F.col(f"{c}.{m}"), F.lit(0.0)) * F.col(w)
-                for c, w in zip(lags[:n], weights[:n]))
-            out[name(m, n)] = ratio(value, weight)
-    return df.withColumns(out).drop(*lags, *weights)
-
-
-def _add(columns) -> Column:
-    columns = list(columns)
-    result = columns[0]
-    for c in columns[1:]:
-        result = result + c
-    return result
+            values = " + ".join(
+                f"coalesce(_lag{i}.{m}, 0D) * _weight{i}" for i in range(1, n + 1))
+            out[name(m, n)] = F.expr(f"coalesce(try_divide({values}, {weights}), 0D)")
+    return df.withColumns(out).drop(
+        "_packed", *[f"_lag{i}" for i in steps], *[f"_weight{i}" for i in steps])
 
 
 def games_before(entity: str, window: int, season: str = "season",

@@ -104,9 +104,12 @@ def entity_week_facts(plays: DataFrame) -> DataFrame:
     """All player-week, offense-week and defense-week sums in one shuffle.
 
     Each play is expanded to the entities it counts for (up to three roles, its
-    offense and its defense) and grouped by (kind, entity, season, week, name).
-    Sums combine before the shuffle, so a hot player or team moves one partial
-    row per task, and the plays are scanned once instead of once per metric.
+    offense and its defense) and grouped by (kind, entity, season, week, name,
+    team). Sums combine before the shuffle, so a hot player or team moves one
+    partial row per task, and the plays are scanned once instead of once per
+    metric. The player's team is a key rather than a maximum: all buffers stay
+    fixed-width, which keeps this a hash aggregation (a string maximum would
+    make Spark sort every expanded row first).
     """
     is_pass = F.col("play_type") == "pass"
     is_run = F.col("play_type") == "run"
@@ -114,14 +117,16 @@ def entity_week_facts(plays: DataFrame) -> DataFrame:
 
     def entity(kind: str, role: str, key: Column, name: Column, boxed: Column) -> Column:
         return F.struct(
-            F.lit(kind).alias("kind"), F.lit(role).alias("role"), key.alias("player_id"),
-            name.alias("player_name"), F.coalesce(boxed, F.lit(False)).alias("boxed"))
+            F.lit(kind).alias("kind"), F.lit(role).alias("role"), key.alias("entity"),
+            name.alias("player_name"),
+            (F.col("posteam") if kind == PLAYER else never).alias("week_team"),
+            F.coalesce(boxed, F.lit(False)).alias("boxed"))
 
     passer, rusher, receiver = (
         [F.col(f"{r}_player_id"), F.col(f"{r}_player_name")]
         for r in ("passer", "rusher", "receiver"))
     expanded = plays.select(
-        "season", "week", "posteam", "play_type", "pass_attempt", "complete_pass",
+        "season", "week", "play_type", "pass_attempt", "complete_pass",
         "rush_attempt", "yards_gained", "pass_touchdown", "rush_touchdown", "interception",
         "sack", "qb_dropback", "yardline_100", "air_yards",
         F.inline(F.array(
@@ -130,7 +135,7 @@ def entity_week_facts(plays: DataFrame) -> DataFrame:
             entity(PLAYER, "WR", *receiver, is_pass & receiver[0].isNotNull()),
             entity(OFFENSE, "", F.col("posteam"), never, F.lit(False)),
             entity(DEFENSE, "", F.col("defteam"), never, F.lit(False))))
-    ).where(F.col("player_id").isNotNull() | F.col("boxed"))
+    ).where(F.col("entity").isNotNull() | F.col("boxed"))
 
     kind, role, boxed = F.col("kind"), F.col("role"), F.col("boxed")
     offense, defense = kind == OFFENSE, kind == DEFENSE
@@ -140,7 +145,7 @@ def entity_week_facts(plays: DataFrame) -> DataFrame:
     red_zone = F.col("yardline_100") <= schema.RED_ZONE
     counted = lambda cond: F.count_if(cond).cast("double")
     return expanded.groupBy(
-        "kind", F.col("player_id").alias("entity"), "season", "week", "player_name").agg(
+        "kind", "entity", "season", "week", "player_name", "week_team").agg(
         F.max(boxed).alias("in_box"),
         as_role("QB", "pass_attempt").alias("pass_attempts"),
         as_role("QB", "complete_pass").alias("completions"),
@@ -160,7 +165,6 @@ def entity_week_facts(plays: DataFrame) -> DataFrame:
         counted(role == "QB").alias("qb_mentions"),
         counted(role == "RB").alias("rb_mentions"),
         counted(role == "WR").alias("wr_mentions"),
-        F.max(F.when(kind == PLAYER, F.col("posteam"))).alias("week_team"),
         F.sum(F.when((offense | defense) & dropback, F.col("qb_dropback"))).alias("dropbacks"),
         F.sum(F.when((offense | defense) & dropback, F.col("sack"))).alias("sacks"),
         (F.coalesce(F.sum(F.when(offense, F.col("rush_attempt"))), F.lit(0.0))
@@ -208,13 +212,17 @@ def identified_box(facts: DataFrame, rosters: DataFrame) -> DataFrame:
         **{c: F.sum(c).over(player_week)
            for c in ("hvt_carries", "hvt_targets", "player_air_yards")},
     })
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    identity = ["player_id", "player_name", "season", "week", "recent_team", "position",
+                "hvt_carries", "hvt_targets", "player_air_yards"]
+    # grouping keys contain the distribution key: this sum needs no shuffle
     boxed = rows.where("in_box").select(
         "player_id", F.coalesce("player_name", "_first_name").alias("player_name"),
         "season", "week", "recent_team",
         F.coalesce(S.roster_position("official"), modal).alias("position"),
-        *[zero(c) for c in schema.BOX_COLUMNS], "hvt_carries", "hvt_targets",
-        zero("player_air_yards"))
+        "hvt_carries", "hvt_targets",
+        F.coalesce("player_air_yards", F.lit(0.0)).alias("player_air_yards"),
+        *schema.BOX_COLUMNS).groupBy(*identity).agg(
+        *[S.total(c).alias(c) for c in schema.BOX_COLUMNS])
     return boxed.withColumn(schema.TARGET, S.ppr_points())
 
 

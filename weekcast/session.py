@@ -26,6 +26,8 @@ def build_session(app: str = "weekcast", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # building wide plans is several times faster without call-site capture
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
