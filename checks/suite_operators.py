@@ -197,11 +197,11 @@ def _asof_orders(d: Domain, bucket=None):
         "o_custkey", "l_shipdate", "l_linenumber")
     return J.asof_backward(orders.select("o_orderkey", "o_custkey", "o_orderdate"), shipped,
                            "o_custkey", "o_orderdate", "l_shipdate", "l_linenumber",
-                           out="last_line", bucket=bucket)
+                           out="last_line", bucket=bucket).drop("o_orderdate")
 
 
 _ASOF = """
-    SELECT o.o_orderkey, o.o_custkey, o.o_orderdate, s.last_line FROM orders o
+    SELECT o.o_orderkey, o.o_custkey, s.last_line FROM orders o
     ASOF LEFT JOIN (SELECT o_custkey, l_shipdate, min(l_linenumber) AS last_line
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) s
       ON s.o_custkey = o.o_custkey AND s.l_shipdate <= o.o_orderdate"""
@@ -230,8 +230,8 @@ def _slate_roster(d: Domain, week=2):
         C.slate_context(d.star.schedules, 2001, week), "team")
 
 
-_LATEST_RANK = """(SELECT gsis_id, arg_max(r, at) AS pos_rank FROM (
-      SELECT gsis_id, dt_instant AS at, min(pos_rank) AS r FROM depth_snapshots
+_LATEST_RANK = """(SELECT gsis_id, arg_max(r, dt_instant) AS pos_rank FROM (
+      SELECT gsis_id, dt_instant, min(pos_rank) AS r FROM depth_snapshots
       WHERE pos_abb IN ('QB', 'RB', 'WR', 'TE', 'FB') GROUP BY ALL) GROUP BY gsis_id)"""
 SLATE_ROSTER = f"""(SELECT r.player_id, r.full_name AS player_name, r.position, r.team,
       CAST(coalesce(k.pos_rank, 99) AS INTEGER) AS depth_chart_rank
@@ -488,10 +488,10 @@ def _blend_customers(d: Domain):
         F.month("o_orderdate").alias("week")).agg(F.sum("o_totalprice").alias("spent"))
     return W.blended_means(spent, ["spent"], [5], entity="o_custkey",
                            name=lambda m, k: "blend").select(
-        "o_custkey", "season", "week", F.round("blend", 4).alias("blend"))
+        "o_custkey", "season", "week", F.round("blend", 7).alias("blend"))
 
 
-add("w1_blend_sparse", _blend_customers, "SELECT * REPLACE (round(blend, 4) AS blend) FROM ({})".format(
+add("w1_blend_sparse", _blend_customers, "SELECT * REPLACE (round(blend, 7) AS blend) FROM ({})".format(
     _blend_sql(5, """(SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS season,
         CAST(month(o_orderdate) AS INTEGER) AS week, sum(o_totalprice) AS spent
       FROM orders GROUP BY ALL)""", "o_custkey", "spent")), "blend")
