@@ -28,24 +28,31 @@ def mode_by_count(df: DataFrame, key: str, value: str) -> DataFrame:
             .where("_rank = 1").select(key, value))
 
 
-def first_by(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """First non-null value per key in the given order.
+def _candidates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct rows by a hash aggregation that stays in the plan.
 
-    Rows are de-duplicated first (a hash aggregation): the struct minimum
-    sorts its input, so it should only see distinct candidates.
+    A struct minimum or maximum has a variable-width buffer, so Spark sorts
+    its input; it should only ever see distinct candidates. A bare
+    ``distinct`` below such a function is optimised away, a filtered count is
+    not.
     """
+    return (df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+            .where("_n > 0").select(*columns))
+
+
+def first_by(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
+    """First non-null value per key in the given order."""
     pick = F.min(F.struct(*order, value))
-    return (df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
-            .select(key, *order, value).distinct()
-            .groupBy(key).agg(pick.alias("_pick"))
+    known = df.where(F.col(value).isNotNull() & F.col(key).isNotNull())
+    return (_candidates(known, [key, *order, value]).groupBy(key).agg(pick.alias("_pick"))
             .select(key, F.col(f"_pick.{value}").alias(value)))
 
 
 def last_by(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:
     """Last non-null value per key in the given order; ties to the largest value."""
     pick = F.max(F.struct(*order, value))
-    return (df.where(F.col(value).isNotNull())
-            .select(*keys, *order, value).distinct()
+    known = df.where(F.col(value).isNotNull())
+    return (_candidates(known, [*keys, *order, value])
             .groupBy(*keys).agg(pick.alias("_pick"))
             .select(*keys, F.col(f"_pick.{value}").alias(value)))
 

@@ -180,49 +180,51 @@ def entity_week_facts(plays: DataFrame) -> DataFrame:
         F.max(dropback).alias("any_dropback"))
 
 
+_MENTIONS = {"QB": "qb_mentions", "RB": "rb_mentions", "WR": "wr_mentions"}
+
+
 def identified_box(facts: DataFrame, rosters: DataFrame) -> DataFrame:
     """Box score rows with position, team per season and filled names.
 
-    Works on ``entity_week_facts``: role counts, first names and last teams are
-    windows over the player's own weeks, so together with the roster lookup
-    everything shares one distribution by player.
+    Works on ``entity_week_facts``. The rows are distributed by player once;
+    the sum over a week's teams, the roster lookup and all windows keep that
+    distribution, and the order (player, season, week) left by the sum serves
+    every window, so nothing is shuffled or sorted again. A player has one row
+    per week here, so no partition grows with the number of plays.
     """
     rows = facts.where((F.col("kind") == PLAYER) & F.col("entity").isNotNull())
-    rows = rows.withColumnRenamed("entity", "player_id")
+    rows = rows.withColumnRenamed("entity", "player_id").repartition("player_id")
+    shared = ["hvt_carries", "hvt_targets", "player_air_yards"]
+    summed = [*schema.BOX_COLUMNS, *shared, *_MENTIONS.values()]
+    rows = rows.groupBy("player_id", "season", "week", "player_name").agg(
+        F.max("in_box").alias("in_box"), F.max("week_team").alias("week_team"),
+        *[S.total(c).alias(c) for c in summed])
     official = official_positions(rosters).withColumnRenamed("position", "official")
     rows = rows.join(official, "player_id", "left")
 
     player = Window.partitionBy("player_id")
     player_season = Window.partitionBy("player_id", "season")
     player_week = Window.partitionBy("player_id", "season", "week")
-    mentions = {p: F.sum(f"{p.lower()}_mentions").over(player) for p in ("QB", "RB", "WR")}
-    # the fewest mentions of an earlier role decide nothing: the order QB, RB, WR
-    # is alphabetical, so the first role that reaches the maximum wins a tie
-    rows = rows.withColumns({f"_n_{p}": c for p, c in mentions.items()})
-    most = F.greatest("_n_QB", "_n_RB", "_n_WR")
-    modal = F.when(F.col("_n_QB") == most, "QB").when(F.col("_n_RB") == most, "RB").otherwise("WR")
     role_order = F.when(F.col("qb_mentions") > 0, 0).when(F.col("rb_mentions") > 0, 1).otherwise(2)
     named = F.when(F.col("player_name").isNotNull(),
                    F.struct(role_order.alias("r"), "season", "week", "player_name"))
     teamed = F.when(F.col("week_team").isNotNull(), F.struct("week", "week_team"))
+    # a player listed under two names in a week shares these between both rows;
+    # the finest window comes first so that its order serves the coarser ones
+    rows = rows.withColumns({c: F.sum(c).over(player_week) for c in shared})
+    rows = rows.withColumn("recent_team", F.max(teamed).over(player_season)["week_team"])
     rows = rows.withColumns({
+        **{f"_n_{p}": F.sum(c).over(player) for p, c in _MENTIONS.items()},
         "_first_name": F.min(named).over(player)["player_name"],
-        "recent_team": F.max(teamed).over(player_season)["week_team"],
-        # a player listed under two names in a week shares these between both rows
-        **{c: F.sum(c).over(player_week)
-           for c in ("hvt_carries", "hvt_targets", "player_air_yards")},
     })
-    identity = ["player_id", "player_name", "season", "week", "recent_team", "position",
-                "hvt_carries", "hvt_targets", "player_air_yards"]
-    # grouping keys contain the distribution key: this sum needs no shuffle
+    # roles in alphabetical order: the first that reaches the maximum wins a tie
+    most = F.greatest("_n_QB", "_n_RB", "_n_WR")
+    modal = F.when(F.col("_n_QB") == most, "QB").when(F.col("_n_RB") == most, "RB").otherwise("WR")
     boxed = rows.where("in_box").select(
         "player_id", F.coalesce("player_name", "_first_name").alias("player_name"),
         "season", "week", "recent_team",
         F.coalesce(S.roster_position("official"), modal).alias("position"),
-        "hvt_carries", "hvt_targets",
-        F.coalesce("player_air_yards", F.lit(0.0)).alias("player_air_yards"),
-        *schema.BOX_COLUMNS).groupBy(*identity).agg(
-        *[S.total(c).alias(c) for c in schema.BOX_COLUMNS])
+        *schema.BOX_COLUMNS, *shared)
     return boxed.withColumn(schema.TARGET, S.ppr_points())
 
 

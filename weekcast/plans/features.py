@@ -244,8 +244,8 @@ def build_gold(src: Sources, *, starters: bool = True, staged: bool = True) -> D
     part in two joins (team-week, player-week side table) and one distribution
     by player that all rolling, carry-over and fill windows share.
     """
-    cut = stage if staged else (lambda df, _name: df)
-    facts = cut(B.entity_week_facts(src.plays), "facts")
+    cut = stage if staged else (lambda df, _name, _partition_by=None: df)
+    facts = cut(B.entity_week_facts(src.plays), "facts", "kind")
     players = cut(B.identified_box(facts, src.rosters), "players")
     games = game_context(src.schedules)
 

@@ -57,15 +57,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/weekcast/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
     Cuts lineage in a way that survives the loss of executors. Being parquet,
     later reads still prune columns and push filters, and the optimizer knows
     the file size, so whether a staged table is broadcast is decided by its
-    measured size.
+    measured size. With ``partition_by`` (a column of few values) readers of
+    one value skip the files of the others.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if partition_by is None else df.write.partitionBy(partition_by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
