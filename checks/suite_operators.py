@@ -169,7 +169,7 @@ add("j12_four_key_lookup", _allowed, """
 
 def _grid(d: Domain):
     who = players(d)
-    return FT.receiver_grid(who, FT.games_calendar(who))
+    return FT.receiver_grid(who, FT.games_calendar(who)).drop("team")
 
 
 add("j13_densified_grid", _grid, "SELECT player_id, season, week, targets FROM wr_grid",
@@ -371,9 +371,7 @@ add("a17_defense_plays", lambda d: B.defense_weeks(B.entity_week_facts(d.plays))
 
 def _health(d: Domain):
     who = stage(players(d), "players")
-    leaders = FT.leading_receivers(
-        FT.receiver_grid(who, FT.games_calendar(who)),
-        who.select("player_id", "season", "recent_team").distinct())
+    leaders = FT.leading_receivers(FT.receiver_grid(who, FT.games_calendar(who)))
     return FT.receiver_health(leaders, FT.out_players(d.star.injuries))
 
 
@@ -518,9 +516,7 @@ add("w6_prior_cumulative", lambda d: _grid(d).select(
 
 def _leaders(d: Domain):
     who = stage(players(d), "players")
-    return FT.leading_receivers(
-        FT.receiver_grid(who, FT.games_calendar(who)),
-        who.select("player_id", "season", "recent_team").distinct())
+    return FT.leading_receivers(FT.receiver_grid(who, FT.games_calendar(who)))
 
 
 add("w7_top_two_receivers", _leaders, """

@@ -108,7 +108,7 @@ def test_densified_grid_and_ranking(spark):
     facts = spark.createDataFrame(
         [("a", 2024, 1, 5.0), ("b", 2024, 3, 7.0), ("b", 2025, 2, 1.0)],
         "p string, season int, week int, v double")
-    grid = W.densify(facts, "p", "v")
+    grid = W.densify(facts, ["p"], "v")
     assert sorted(map(tuple, grid.collect())) == [
         ("a", 2024, 1, 5.0), ("a", 2024, 3, 0.0), ("b", 2024, 1, 0.0), ("b", 2024, 3, 7.0),
         ("b", 2025, 2, 1.0)]

@@ -26,6 +26,15 @@ def lookup(left: DataFrame, right: DataFrame, on: dict[str, str], *,
     return left.join(right, condition, how).drop(*renamed.values())
 
 
+def same_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], *,
+              how: str = "inner") -> DataFrame:
+    """Join on a row key whose parts may be NULL: NULL equals NULL."""
+    renamed = {k: f"_same_{k}" for k in keys}
+    right = right.withColumnsRenamed(renamed)
+    condition = [left[k].eqNullSafe(right[r]) for k, r in renamed.items()]
+    return left.join(right, condition, how).drop(*renamed.values())
+
+
 def merge_outer(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full outer merge of additive tables where NULL keys equal NULL keys.
 

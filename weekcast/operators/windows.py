@@ -118,8 +118,9 @@ def carry_forward(value: str, entity: Sequence[str], order: str = "week",
     return filled if default is None else F.coalesce(filled, F.lit(default))
 
 
-def densify(facts: DataFrame, entity: str, value: str, *, season: str = "season",
-            week: str = "week", calendar: DataFrame | None = None) -> DataFrame:
+def densify(facts: DataFrame, entity: Sequence[str], value: str, *,
+            season: str = "season", week: str = "week",
+            calendar: DataFrame | None = None) -> DataFrame:
     """Every (entity, season) on every week of that season, value 0 where absent.
 
     ``calendar`` holds the (season, week) pairs, by default those of
@@ -129,9 +130,9 @@ def densify(facts: DataFrame, entity: str, value: str, *, season: str = "season"
     """
     calendar = facts if calendar is None else calendar
     weeks = calendar.groupBy(season).agg(F.collect_set(week).alias("_weeks"))
-    entities = facts.select(entity, season).distinct()
+    entities = facts.select(*entity, season).distinct()
     grid = entities.join(weeks, season).select(
-        entity, season, F.explode("_weeks").alias(week), F.lit(0.0).alias(value))
-    return (grid.unionByName(facts.select(entity, season, week, value))
-            .groupBy(entity, season, week)
+        *entity, season, F.explode("_weeks").alias(week), F.lit(0.0).alias(value))
+    return (grid.unionByName(facts.select(*entity, season, week, value))
+            .groupBy(*entity, season, week)
             .agg(F.coalesce(F.sum(value), F.lit(0.0)).alias(value)))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from weekcast import schema
 from weekcast.functions import scoring as S
 from weekcast.operators import aggregates as A
+from weekcast.operators.joins import same_rows
 from weekcast.sources.tables import fantasy_weeks
 
 ROW_KEY = ["player_id", "player_name", "season", "week"]
@@ -233,7 +234,7 @@ def walk_forward(frame: DataFrame, features: Sequence[str], params: Params = Par
             F.lit(fitted.best_iteration).alias("best_iteration"))
 
     with ThreadPoolExecutor(parallel) as pool:
-        results = list(pool.map(inheritable_thread_target(run), folds))
+        results = list(pool.map(inheritable_thread_target(frame.sparkSession)(run), folds))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
@@ -291,7 +292,7 @@ def prediction_rows(week: DataFrame, scored: DataFrame) -> DataFrame:
     """
     context = [S.round_even(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), 2).alias(c)
                for c in schema.PREDICTION_CONTEXT]
-    return week.join(scored, ROW_KEY).select(
+    return same_rows(week, scored, ROW_KEY).select(
         "player_id", "player_name", "recent_team", "position", "season", "week", "opponent",
         S.round_even(S.at_least_zero("prediction"), 1).alias("projected_ppr"),
         S.round_even(TARGET, 1).alias("actual_ppr"), *context)
@@ -338,7 +339,7 @@ def compare(models: dict[str, DataFrame], digits: int = 2) -> DataFrame:
     for name, results in models.items():
         part = results.select(*ROW_KEY, *(["position", "actual"] if common is None else []),
                               F.col("predicted").alias(name))
-        common = part if common is None else common.join(part, ROW_KEY)
+        common = part if common is None else same_rows(common, part, ROW_KEY)
     errors = [F.avg(S.absolute_error("actual", n)).alias(n) for n in names]
     by_position = common.groupBy("position").agg(*errors)
     overall = common.agg(*errors).withColumn("position", F.lit("OVERALL"))

@@ -115,28 +115,34 @@ def points_allowed(players: DataFrame) -> DataFrame:
         W.season_to_date_mean("points", ["team", "position"]).alias("opp_def_ppg_allowed"))
 
 
-def quarterback_efficiency(players: DataFrame) -> DataFrame:
-    """Shifted season-to-date adjusted yards per attempt of every passer."""
+def quarterback_efficiency(players: DataFrame, starters: DataFrame | None = None) -> DataFrame:
+    """Shifted season-to-date adjusted yards per attempt of every passer, or
+    of those whose id is in ``starters`` (one column, player_id)."""
     before = lambda c: W.prior_total(c, ["player_id"])
-    return players.where(F.col("pass_attempts") > 0).select(
+    passers = players.where(F.col("pass_attempts") > 0)
+    if starters is not None:
+        passers = passers.join(starters.distinct(), "player_id", "left_semi")
+    return passers.select(
         *PLAYER_WEEK, S.adjusted_yards_per_attempt(
             before("passing_yards"), before("passing_tds"), before("interceptions"),
             before("pass_attempts")).alias("starting_qb_aya"))
 
 
 def receiver_grid(players: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Targets of every WR on every week of the season, played or not."""
+    """Targets of every WR on every week of the season, played or not.
+
+    The team is fixed per (player, season), so it rides along as a key.
+    """
     receivers = players.where(F.col("position") == "WR")
-    return W.densify(receivers.select(*PLAYER_WEEK, "targets"), "player_id", "targets",
-                     calendar=calendar)
+    return W.densify(
+        receivers.select(*PLAYER_WEEK, F.col("recent_team").alias("team"), "targets"),
+        ["player_id", "team"], "targets", calendar=calendar)
 
 
-def leading_receivers(grid: DataFrame, teams: DataFrame) -> DataFrame:
+def leading_receivers(grid: DataFrame) -> DataFrame:
     """Top two WRs of each team-week by targets before that week."""
-    ranked = grid.select(
-        *PLAYER_WEEK, W.prior_total("targets", ["player_id"]).alias("prior_targets"))
-    ranked = ranked.join(teams, ["player_id", "season"], "left").where(
-        F.col("recent_team").isNotNull()).withColumnRenamed("recent_team", "team")
+    ranked = grid.where(F.col("team").isNotNull()).select(
+        *PLAYER_WEEK, "team", W.prior_total("targets", ["player_id"]).alias("prior_targets"))
     return A.top_per_group(
         ranked, ["team", "season", "week"],
         [F.desc("prior_targets"), F.asc("player_id")], 2, rank="wr_rank")
@@ -249,22 +255,21 @@ def build_gold(src: Sources, *, starters: bool = True, staged: bool = True) -> D
     players = cut(B.identified_box(facts, src.rosters), "players")
     games = game_context(src.schedules)
 
-    # points given up and receiver health need players with their opponent;
-    # the join runs on four columns only
-    opponents = games.select("season", "week", "team", "opponent")
-    faced = J.lookup(
-        players.select("season", "week", "recent_team", "position", schema.TARGET),
-        opponents, {"season": "season", "week": "week", "recent_team": "team"})
+    # players are summed to their team before the opponent is looked up, so
+    # the join sees team rows only
+    scored = players.groupBy("season", "week", "recent_team", "position").agg(
+        F.sum(schema.TARGET).alias(schema.TARGET))
+    faced = J.lookup(scored, games.select("season", "week", "team", "opponent"),
+                     {"season": "season", "week": "week", "recent_team": "team"})
     allowed = _by_position(points_allowed(faced), "opp_def_ppg_allowed")
-    calendar = games_calendar(players)
-    grid = receiver_grid(players, calendar)
-    teams = players.select("player_id", "season", "recent_team").distinct()
-    health = receiver_health(leading_receivers(grid, teams), out_players(src.injuries))
+    grid = receiver_grid(players, games_calendar(players))
+    health = receiver_health(leading_receivers(grid), out_players(src.injuries))
 
     own = team_weeks(games, facts)
     own = J.lookup(own, allowed, {"opponent": "team", "season": "season", "week": "week"})
     own = own.join(health, TEAM_WEEK, "left")
-    own = J.lookup(own, quarterback_efficiency(players),
+    starting = games.select(F.col("starting_qb_id").alias("player_id"))
+    own = J.lookup(own, quarterback_efficiency(players, starting),
                    {"starting_qb_id": "player_id", "season": "season", "week": "week"})
     own = cut(own, "team_weeks")
 
