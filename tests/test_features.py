@@ -85,6 +85,17 @@ def test_receiver_health(gold):
     assert all(v[0] == 1 for k, v in health.items() if v[1] == "AAA")
 
 
+def test_rows_without_an_id_on_request(league, gold):
+    everything = FT.build_gold(league, keep_unattributed=True).cache()
+    nobody = everything.where("player_id IS NULL")
+    assert everything.count() == gold.count() + nobody.count()
+    lost = B.unattributed(B.box_score(league.plays)).first()
+    row = nobody.agg(F.count("*").alias("n"), F.sum(schema.TARGET).alias("p"),
+                     F.max("fantasy_points_3wk_avg").alias("form")).first()
+    assert (row.n, round(row.p, 2), row.form) == (lost["rows"], round(lost["points"], 2), 0.0)
+    assert everything.columns == gold.columns
+
+
 def test_no_stage_changes_the_result(spark, league, gold):
     direct = FT.build_gold(league, staged=False)
     assert rows_of(direct, schema.GOLD_COLUMNS) == rows_of(gold, schema.GOLD_COLUMNS)

@@ -15,6 +15,7 @@ from weekcast.operators import windows as W
 from weekcast.plans import boxscore as B
 from weekcast.plans.context import game_context
 from weekcast.session import stage
+from weekcast.sources.sinks import conform
 
 PLAYER_WEEK = ["player_id", "season", "week"]
 TEAM_WEEK = ["team", "season", "week"]
@@ -242,9 +243,31 @@ def player_side(snaps: DataFrame, ranks: DataFrame, dated: DataFrame) -> DataFra
     return J.outer_all([snaps, ranks, dated], PLAYER_WEEK)
 
 
-def build_gold(src: Sources, *, starters: bool = True, staged: bool = True) -> DataFrame:
+def unattributed_rows(facts: DataFrame) -> DataFrame:
+    """Gold rows of plays without a player id: a box score and no history.
+
+    They share one NULL key, so they never enter a window by player; every
+    feature that needs an identity has its empty value.
+    """
+    rows = facts.where((F.col("kind") == B.PLAYER) & F.col("entity").isNull()
+                       & F.col("in_box"))
+    rows = rows.groupBy("season", "week", "player_name").agg(
+        *[S.total(c).alias(c) for c in schema.BOX_COLUMNS])
+    rows = with_shares(rows.withColumns({
+        schema.TARGET: S.ppr_points(), "wr1_wr2_healthy": F.lit(1),
+        "rolling_games_count": F.lit(0), "depth_chart_rank": F.lit(schema.GOLD_UNLISTED_RANK),
+        **{c: F.lit(0.0) for c in ("hvt_carries", "hvt_targets", "player_air_yards")},
+        **{c: F.lit(None).cast("double") for c in B.OFFENSE_COLUMNS if c.startswith("team_")},
+    }))
+    return conform(rows, schema.GOLD)
+
+
+def build_gold(src: Sources, *, starters: bool = True, staged: bool = True,
+               keep_unattributed: bool = False) -> DataFrame:
     """The 73-column feature table.
 
+    ``keep_unattributed`` adds the rows of plays without a player id.
+
     Cut points (written tables when ``staged``): the single-pass facts, the
     identified box score, and the team-week table. The player rows then take
     part in two joins (team-week, player-week side table) and one distribution
@@ -295,8 +318,10 @@ def build_gold(src: Sources, *, starters: bool = True, staged: bool = True) -> D
         "depth_chart_rank", ["player_id", "season"], default=schema.GOLD_UNLISTED_RANK))
     if starters:
         rows = starters_only(rows)
-    return fill_zero(rows.select(*[
-        F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.GOLD.fields]))
+    rows = conform(rows, schema.GOLD)
+    if keep_unattributed:
+        rows = rows.unionByName(unattributed_rows(facts))
+    return fill_zero(rows)
 
 
 def games_calendar(players: DataFrame) -> DataFrame:
