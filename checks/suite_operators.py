@@ -210,12 +210,12 @@ add("j15_asof_orders_bucketed", lambda d: _asof_orders(d, "year"), _ASOF)
 
 
 def _asof_events(d: Domain):
-    """Last purchase value at or before every event, bucketed by day."""
+    """Last purchase value at or before every event, bucketed by hour."""
     events = d.star.raw("events")
     bought = events.where(c("event_type") == "purchase").select(
         "user_id", c("ts").alias("at"), c("value").alias("paid"))
     return J.asof_backward(events.select("event_id", "user_id", "ts"), bought, "user_id", "ts",
-                           "at", "paid", bucket="day").select("event_id", "user_id", "paid")
+                           "at", "paid", bucket="hour").select("event_id", "user_id", "paid")
 
 
 add("j15_asof_events", _asof_events, """

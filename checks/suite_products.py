@@ -296,7 +296,14 @@ def _slate_model(d: Domain):
 
 
 add("g10_slate_scored", _slate_model)
-add("g10_slate_report", lambda d: SL.slate_report(_slate(d)))
+add("g10_slate_report", lambda d: SL.slate_report(_slate(d)), f"""
+    SELECT s.position, count(*) AS players,
+      CAST(sum(missing_vegas_lines) AS BIGINT) AS missing_lines,
+      count(*) FILTER (f.fantasy_points_3wk_avg <> 0) AS nonzero_fantasy_points_3wk_avg,
+      count(*) FILTER (rb_opportunity_share_3wk_avg <> 0) AS nonzero_rb_opportunity_share_3wk_avg,
+      count(*) FILTER (wr_te_target_share_3wk_avg <> 0) AS nonzero_wr_te_target_share_3wk_avg
+    FROM ({SLATE_SQL}) s JOIN ({_form_sql(False)}) f ON f.player_id = s.player_id
+    GROUP BY s.position""")
 add("g10_opening_slate", lambda d: SL.build_opening_slate(
     d.gold, d.star.schedules, d.star.rosters, d.star.depth_snapshots, SEASON).select(
     "player_id", "recent_team", "opponent", "week", "prev_season_ppg", "prev_season_games",

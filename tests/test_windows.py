@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from weekcast.operators import aggregates as A
@@ -117,6 +118,12 @@ def test_densified_grid_and_ranking(spark):
         (2024, 1, "a"), (2024, 3, "b"), (2025, 2, "b")}
 
 
+def test_calendar_outside_its_range_fails(spark):
+    facts = spark.createDataFrame([("a", 2024, 61, 1.0)], "p string, season int, week int, v double")
+    with pytest.raises(PySparkException):
+        W.densify(facts, ["p"], "v").collect()
+
+
 def test_mode_tie_goes_to_the_smallest(spark):
     df = spark.createDataFrame(
         [("x", "WR"), ("x", "RB"), ("y", "QB"), ("y", "WR"), ("y", "WR"), (None, "QB")],

@@ -1,6 +1,7 @@
 """Domain-free joins.
 
-No join here carries a broadcast hint. Small sides are broadcast by Spark when
+No join here carries a broadcast hint (the one hint of the library is on the
+season calendar of ``windows.densify``, whose size is checked). Small sides are broadcast by Spark when
 their measured size (file statistics or adaptive runtime size) is under the
 configured threshold; beyond it the same plan runs as a shuffle join with
 adaptive skew splitting.
@@ -85,7 +86,9 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str,
     rows are spread over their times in the final join. When times are finer
     than days, ``bucket`` (a ``date_trunc`` unit) splits each key's points into
     independent windows; the value in force at the start of a bucket is
-    carried in from a per-bucket summary.
+    carried in from a per-bucket summary. Choose the unit so that a key has
+    few points per bucket and few buckets overall; the result is the same for
+    every unit.
     """
     out = out or value
     points = left.where(F.col(by).isNotNull() & F.col(left_time).isNotNull()).select(

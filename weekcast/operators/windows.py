@@ -118,20 +118,37 @@ def carry_forward(value: str, entity: Sequence[str], order: str = "week",
     return filled if default is None else F.coalesce(filled, F.lit(default))
 
 
+MAX_SEASON, MAX_WEEK = 9999, 60
+
+
+def season_weeks(calendar: DataFrame, season: str = "season", week: str = "week") -> DataFrame:
+    """One row per season with the list of its weeks.
+
+    A season or week outside the calendar's range fails the job, so the result
+    is known to hold at most ``MAX_SEASON`` rows of ``MAX_WEEK`` integers (a
+    few megabytes) whatever the size of the input.
+    """
+    inside = F.col(season).between(1, MAX_SEASON) & F.col(week).between(1, MAX_WEEK)
+    known = calendar.where(F.col(season).isNotNull() & F.col(week).isNotNull()).select(
+        season, week).distinct()
+    checked = known.withColumn(week, F.when(inside, F.col(week)).otherwise(F.raise_error(
+        F.lit("season or week outside the calendar")).cast("int")))
+    return checked.groupBy(season).agg(F.collect_set(week).alias("_weeks"))
+
+
 def densify(facts: DataFrame, entity: Sequence[str], value: str, *,
             season: str = "season", week: str = "week",
             calendar: DataFrame | None = None) -> DataFrame:
     """Every (entity, season) on every week of that season, value 0 where absent.
 
     ``calendar`` holds the (season, week) pairs, by default those of
-    ``facts``. It is folded to one row per season with its week list (weeks of
-    a year, so a bounded list), which the entity-seasons are expanded by. The
-    facts are then added by a union and one grouped sum instead of a join.
+    ``facts``. Folded to one checked row per season it is broadcast: a shuffle
+    on the season would put all entities of a season into one task. The facts
+    are then added by a union and one grouped sum instead of a join.
     """
-    calendar = facts if calendar is None else calendar
-    weeks = calendar.groupBy(season).agg(F.collect_set(week).alias("_weeks"))
+    weeks = season_weeks(facts if calendar is None else calendar, season, week)
     entities = facts.select(*entity, season).distinct()
-    grid = entities.join(weeks, season).select(
+    grid = entities.join(F.broadcast(weeks), season).select(
         *entity, season, F.explode("_weeks").alias(week), F.lit(0.0).alias(value))
     return (grid.unionByName(facts.select(*entity, season, week, value))
             .groupBy(*entity, season, week)
