@@ -107,10 +107,6 @@ def slate_split(season: int) -> Column:
     return F.when(val, "val").otherwise("train")
 
 
-def latest_season(df: DataFrame) -> int:
-    return df.agg(F.max("season")).first()[0]
-
-
 def is_forward_slate(gold: DataFrame, predictions: DataFrame) -> bool:
     """Predictions are ahead of gold, or hold more rows of the same week."""
     def newest(df: DataFrame):
