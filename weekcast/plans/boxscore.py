@@ -16,40 +16,61 @@ GRAIN = ["season", "week", "player_id", "player_name"]
 PLAY_COLUMNS = [f.name for f in schema.PLAYS.fields]
 
 
+# box-score column -> play column, per role
+_PASSING = {"pass_attempts": "pass_attempt", "completions": "complete_pass",
+            "passing_yards": "yards_gained", "passing_tds": "pass_touchdown",
+            "interceptions": "interception"}
+_RUSHING = {"rush_attempts": "rush_attempt", "rushing_yards": "yards_gained",
+            "rushing_tds": "rush_touchdown"}
+_RECEIVING = {"targets": "pass_attempt", "receptions": "complete_pass",
+              "receiving_yards": "yards_gained", "receiving_tds": "pass_touchdown"}
+
+
 def _role_rows(plays: DataFrame, role: str) -> DataFrame:
     return plays.withColumnsRenamed({
         f"{role}_player_id": "player_id", f"{role}_player_name": "player_name"})
 
 
+def _measured(plays: DataFrame, role: str, measures: dict[str, str]) -> DataFrame:
+    """One row per play of a role with its box-score measures."""
+    return _role_rows(plays, role).select(
+        *GRAIN, *[F.col(c).alias(n) for n, c in measures.items()])
+
+
+def _passes(plays: DataFrame) -> DataFrame:
+    """Passing plays, also those without a passer id."""
+    return _measured(plays.where(F.col("play_type") == "pass"), "passer", _PASSING)
+
+
+def _rushes(plays: DataFrame) -> DataFrame:
+    return _measured(plays.where(F.col("play_type") == "run"), "rusher", _RUSHING)
+
+
+def _targets(plays: DataFrame) -> DataFrame:
+    """Passing plays with a known receiver: each attempt is a target."""
+    targeted = (F.col("play_type") == "pass") & F.col("receiver_player_id").isNotNull()
+    return _measured(plays.where(targeted), "receiver", _RECEIVING)
+
+
 def passer_box(plays: DataFrame) -> DataFrame:
-    """Five passing sums; plays without a passer id form their own row."""
-    return A.sums(
-        _role_rows(plays.where(F.col("play_type") == "pass"), "passer"), GRAIN,
-        pass_attempts="pass_attempt", completions="complete_pass",
-        passing_yards="yards_gained", passing_tds="pass_touchdown",
-        interceptions="interception")
+    return A.sums(_passes(plays), GRAIN, **{c: c for c in _PASSING})
 
 
 def rusher_box(plays: DataFrame) -> DataFrame:
-    return A.sums(
-        _role_rows(plays.where(F.col("play_type") == "run"), "rusher"), GRAIN,
-        rush_attempts="rush_attempt", rushing_yards="yards_gained",
-        rushing_tds="rush_touchdown")
+    return A.sums(_rushes(plays), GRAIN, **{c: c for c in _RUSHING})
 
 
 def receiver_box(plays: DataFrame) -> DataFrame:
-    """Four receiving sums; a target is a pass attempt with a known receiver."""
-    targeted = plays.where(
-        (F.col("play_type") == "pass") & F.col("receiver_player_id").isNotNull())
-    return A.sums(
-        _role_rows(targeted, "receiver"), GRAIN,
-        targets="pass_attempt", receptions="complete_pass",
-        receiving_yards="yards_gained", receiving_tds="pass_touchdown")
+    return A.sums(_targets(plays), GRAIN, **{c: c for c in _RECEIVING})
 
 
 def box_score(plays: DataFrame) -> DataFrame:
-    """Merged box score of all roles with fantasy points, NULL ids kept."""
-    merged = merge_outer([passer_box(plays), rusher_box(plays), receiver_box(plays)], GRAIN)
+    """Merged box score of all roles with fantasy points, NULL ids kept.
+
+    The role rows themselves are merged, so the sums of all three roles share
+    one map-side combine and one shuffle.
+    """
+    merged = merge_outer([_passes(plays), _rushes(plays), _targets(plays)], GRAIN)
     return merged.select(*GRAIN, *schema.BOX_COLUMNS, S.ppr_points().alias(schema.TARGET))
 
 
