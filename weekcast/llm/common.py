@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,26 @@ LOWER = UPPER.lower()
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, for functions that run in Python workers."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="weekcast-"), "weekcast_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:               # Spark serves it from the driver
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

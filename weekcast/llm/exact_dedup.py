@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.llm.common import lower_ascii, row_number, whole_text, write_stage
+from weekcast.llm.common import lower_ascii, row_number, ship_code, whole_text, write_stage
 
 BLOCK_BYTES = 4096
 
@@ -89,6 +89,7 @@ def name_keys(rows: DataFrame, name: str) -> DataFrame:
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, sha (hex SHA-256 of the normalised
     text), level and name. Rows with equal (level, name) have equal texts."""
+    ship_code(docs.sparkSession)
     text = docs.select(row_number().alias("row"), "doc_id",
                        lower_ascii(whole_text()).cast("binary").alias("bytes"))
     size = F.octet_length("bytes")

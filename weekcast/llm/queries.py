@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import exact_dedup, shuffle_shards
+from weekcast.llm import exact_dedup, packing, shuffle_shards, token_shards
 from weekcast.llm.common import UPPER, LOWER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def tokenizer_file() -> str:
+    """The vocabulary file of a public tokenizer, as installed on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(run: Callable[[SparkSession, str], DataFrame]):
     QUERIES[run.__name__] = run
     return run
@@ -40,3 +46,17 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", shuffle_shards.record_bytes().alias("size"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, folder, "documents"), tokenizer_file())
+    return pieces.select("doc_id", "piece", "start", "length",
+                         F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op5_token_shards(spark: SparkSession, folder: str) -> DataFrame:
+    path = token_shards.write_token_shards(
+        read_table(spark, folder, "documents"), tokenizer_file())
+    return token_shards.read_token_shards(spark, path).drop("ids")

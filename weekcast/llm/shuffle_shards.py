@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from weekcast.llm.common import row_number
 from weekcast.session import new_path
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
 ROW_BYTES = 8
 
 
@@ -49,7 +49,7 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 17,
                .select("bucket", (F.sum("count").over(Window.orderBy("bucket"))
                                   - F.col("count")).alias("offset")))
     shuffled = (
-        placed.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket")
+        placed.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket")
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(F.struct("row", "record"))).alias("rows"))
         .join(offsets, "bucket")
