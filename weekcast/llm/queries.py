@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import exact_dedup, packing, shuffle_shards, token_shards
+from weekcast.llm import decontaminate, exact_dedup, packing, shuffle_shards, token_shards
 from weekcast.llm.common import UPPER, LOWER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,38 @@ def op5_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     path = token_shards.write_token_shards(
         read_table(spark, folder, "documents"), tokenizer_file())
     return token_shards.read_token_shards(spark, path).drop("ids")
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    judged = decontaminate.contamination(
+        read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", "n_items",
+                         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                         "contaminated")
+
+
+_WORDS = (f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+ORACLE["op1_decontamination"] = f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n,
+         unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+                               i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+  FROM item WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM item_windows),
+doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+at AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w
+       FROM doc, lengths WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, at.n, item FROM at JOIN item_windows t
+         ON t.n = at.n AND t.g = array_to_string(w[i:i + at.n - 1], ' ')),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items,
+                     string_agg(DISTINCT item, ',' ORDER BY item) AS items
+              FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
