@@ -53,6 +53,11 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BREAK), "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where it is used in a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_number() -> Column:
     """A number for every row of a stored table, the same in every scan of it.
 

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import broadcast_if, row_number, words, write_stage
+from weekcast.llm.common import broadcast_if, let, row_number, words, write_stage
 
 SPAN = 10
 GRAM = 5
@@ -25,7 +25,8 @@ BROADCAST_ROWS = 2_000_000          # fingerprints or windows of the benchmark,
 
 
 def gram_hashes(tokens: Column, k: int) -> Column:
-    """The hash of each k-gram, in order; no elements if there are fewer words."""
+    """The hash of each k-gram, in order; no elements if there are fewer words.
+    ``tokens`` is a column or lambda variable, not an expression."""
     return F.when(F.size(tokens) >= k, F.transform(
         F.sequence(F.lit(1), F.size(tokens) - (k - 1)),
         lambda i: F.xxhash64(F.slice(tokens, i, F.lit(k))))).otherwise(
@@ -40,21 +41,36 @@ def winnowed(hashes: Column, window: int) -> Column:
         F.array().cast("array<bigint>"))
 
 
+def fingerprints(tokens: Column, span: int, gram: int) -> Column:
+    """Fingerprints of a window length: winnowed k-grams, or whole short windows."""
+    k = min(gram, span)
+    return let(tokens, lambda t: let(gram_hashes(t, k), lambda h: winnowed(h, span - k + 1)))
+
+
 def window_texts(tokens: Column, starts: Column, span: int) -> Column:
-    """(start, text) of the windows at 0-based starts."""
+    """(start, window text) at each 0-based start."""
     return F.transform(starts, lambda s: F.struct(
         s.alias("start"), F.array_join(F.slice(tokens, s + 1, F.lit(span)), " ").alias("window")))
 
 
-def _starts(tokens: Column, span: int) -> Column:
-    return F.when(F.size(tokens) >= span, F.sequence(F.lit(0), F.size(tokens) - span)).otherwise(
-        F.array().cast("array<int>"))
+def all_windows(tokens: Column, span: int) -> Column:
+    return let(tokens, lambda t: window_texts(t, F.when(
+        F.size(t) >= span, F.sequence(F.lit(0), F.size(t) - span)).otherwise(
+        F.array().cast("array<int>")), span))
 
 
-def _fingerprints(tokens: Column, span: int, gram: int) -> Column:
-    """Fingerprints of a window length: winnowed k-grams, or whole short windows."""
+def windows_around(tokens: Column, prints: Column, span: int, gram: int) -> Column:
+    """The windows that hold a k-gram whose hash is among ``prints``."""
     k = min(gram, span)
-    return winnowed(gram_hashes(tokens, k), span - k + 1)
+
+    def around(t: Column, h: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(0), F.size(h) - 1),
+                        lambda j: F.array_contains(prints, F.get(h, j)))
+        starts = F.array_distinct(F.flatten(F.transform(hits, lambda j: F.sequence(
+            F.greatest(j - (span - k), F.lit(0)), F.least(j, F.size(t) - span)))))
+        return let(starts, lambda s: window_texts(t, s, span))
+
+    return let(tokens, lambda t: let(gram_hashes(t, k), lambda h: around(t, h)))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
@@ -81,11 +97,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     found = []
     for n in lengths:
         prints = of_length(n).select(
-            F.explode(_fingerprints(F.col("words"), n, gram)).alias("print")).distinct()
+            F.explode(fingerprints(F.col("words"), n, gram)).alias("print")).distinct()
         prints = write_stage(prints, "prints")
         side = broadcast_if(prints, prints.count(), broadcast_rows)
         found.append(base.select("row", F.explode(
-            _fingerprints(F.col("words"), n, gram)).alias("print"))
+            fingerprints(F.col("words"), n, gram)).alias("print"))
             .join(side, "print").select("row", F.lit(n).alias("n"), "print"))
     counted = docs.select(row_number().alias("row"), "doc_id",
                           F.size(words(F.col("text"))).cast("long").alias("n_words"))
@@ -101,20 +117,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     # extend: the windows around each hit, compared in full
     places = []
     for n in lengths:
-        k = min(gram, n)
-        hashes, w = gram_hashes(F.col("words"), k), n - k + 1
-        here = (base.join(prints_of.where(F.col("n") == n), "row")
-                .withColumn("hashes", hashes))
-        at = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1),
-                      lambda j: F.array_contains("prints", F.get("hashes", j)))
-        last = F.size("words") - n
-        starts = F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(
-            F.greatest(j - (w - 1), F.lit(0)), F.least(j, last)))))
-        windows = (here.select("row", "words", starts.alias("starts"))
-                   .select("row", F.inline(window_texts(F.col("words"), F.col("starts"), n)))
+        windows = (base.join(prints_of.where(F.col("n") == n), "row")
+                   .select("row", F.inline(windows_around(
+                       F.col("words"), F.col("prints"), n, gram)))
                    .groupBy("row", "window").agg(F.collect_list("start").alias("starts")))
-        texts = (of_length(n).select("item", F.inline(window_texts(
-            F.col("words"), _starts(F.col("words"), n), n)))
+        texts = (of_length(n).select("item", F.inline(all_windows(F.col("words"), n)))
             .groupBy("window").agg(F.collect_set("item").alias("items")))
         texts = write_stage(texts, "windows")
         places.append(windows.join(broadcast_if(texts, texts.count(), broadcast_rows), "window")

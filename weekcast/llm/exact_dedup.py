@@ -64,6 +64,8 @@ def _rank_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def name_keys(rows: DataFrame, name: str) -> DataFrame:
     """Replace binary ``key`` by ``name``: the rank of the key among all keys.
 
+    Keys are ordered by a hash, then by themselves: the range bounds that the driver
+    sees are a few bytes each, and the hash never decides that keys are equal.
     ``rows`` needs columns ``row`` and ``pos`` to spread equal keys. The result is
     stored, so names stay as they are when tasks run again.
     """
@@ -72,7 +74,9 @@ def name_keys(rows: DataFrame, name: str) -> DataFrame:
         T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()),
         T.StructField("first", T.BinaryType()), T.StructField("last", T.BinaryType())])
     ranked = write_stage(
-        rows.repartitionByRange("key", "row", "pos").sortWithinPartitions("key")
+        rows.withColumn("order", F.xxhash64("key"))
+        .repartitionByRange("order", "row", "pos").sortWithinPartitions("order", "key")
+        .drop("order")
         .mapInArrow(_rank_sorted, out), name)
     # one row per partition that had rows
     in_order = Window.orderBy("part")

@@ -78,14 +78,14 @@ WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchm
 item_windows AS (
   SELECT DISTINCT item, least(len(w), 10) AS n,
          unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
-                               i -> array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
+                               lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS g
   FROM item WHERE len(w) > 0),
 lengths AS (SELECT DISTINCT n FROM item_windows),
 doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-at AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w
+spots AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w
        FROM doc, lengths WHERE len(w) >= n),
-hits AS (SELECT doc_id, i, at.n, item FROM at JOIN item_windows t
-         ON t.n = at.n AND t.g = array_to_string(w[i:i + at.n - 1], ' ')),
+hits AS (SELECT doc_id, i, spots.n, item FROM spots JOIN item_windows t
+         ON t.n = spots.n AND t.g = array_to_string(w[i:i + spots.n - 1], ' ')),
 hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
               FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
 hit_items AS (SELECT doc_id, count(DISTINCT item) AS n_items,
