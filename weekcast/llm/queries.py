@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekcast.llm import decontaminate, exact_dedup, packing, shuffle_shards, token_shards
+from weekcast.llm import (
+    decontaminate, exact_dedup, near_dup, packing, shuffle_shards, token_shards)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +96,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)"""
+
+
+@query
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dup.near_duplicates(read_table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept")
