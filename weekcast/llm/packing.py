@@ -21,7 +21,7 @@ from weekcast.llm.tokens import encoder
 
 OPEN = 4096
 TASK_BYTES = 32 << 20
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 200
 
 
 class BestFit:

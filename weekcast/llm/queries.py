@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (
-    decontaminate, exact_dedup, near_dup, packing, shuffle_shards, token_shards)
+    decontaminate, exact_dedup, near_dup, packing, shuffle_shards, token_shards,
+    warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,9 @@ FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)""
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dup.near_duplicates(read_table(spark, folder, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept")
+
+
+@query
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    arc = warc.write_arc(read_table(spark, folder, "pages"))
+    return warc.page_records(spark, warc.convert(spark, arc, smallest=0))

@@ -28,9 +28,9 @@ from weekcast.session import new_path
 
 LENGTH = 2048                      # ids of a sequence
 HEADER = "<IQI"     # stream, number in the stream, ids that are no padding
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 TASK_BYTES = 32 << 20
-ROWS_AT_ONCE = 500
+ROWS_AT_ONCE = 200
 ROUNDS = 6
 END = "\n"                         # the writer closes each record with it
 
@@ -68,7 +68,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int
     """stream, number and packed (a zstandard frame of one record) of each sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, squeeze = encoder(tokenizer, "<u2"), zstandard.ZstdCompressor(level=1)
+        ids_of, squeeze = encoder(tokenizer, "<u2"), zstandard.ZstdCompressor(level=3)
         stream, number, rest = TaskContext.get().partitionId(), 0, b""
         end, full = np.uint16(end_id).tobytes(), 2 * length
 
@@ -169,10 +169,10 @@ def read_token_shards(spark: SparkSession, path: str, start: int = 0, length: in
                         names=["slot", "shard", "place", "stream", "number", "n_tokens", "ids",
                                "ids_crc32"])
 
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
-             .schema("path string, modificationTime timestamp, length long, content binary, "
-                     "shard int").load(path)
-             .where(F.col("shard") >= start // per_shard))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    if "shard" not in files.columns:                     # no sequences, no folders
+        files = files.withColumn("shard", F.lit(0))
+    files = files.where(F.col("shard") >= start // per_shard)
     return files.select("shard", "content").mapInArrow(
         run, "slot long, shard int, place int, stream int, number long, n_tokens int, "
              "ids binary, ids_crc32 long")

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000         # of two generations each
 # White space for str.split() but not for the tokenizer: such texts are encoded whole.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WIDE = re.compile("[̀-\U0010ffff]")
@@ -28,6 +28,7 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << (8 * self.dtype.itemsize):
             raise ValueError(f"ids do not fit in {dtype}")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -39,28 +40,40 @@ class Encoder:
             return text.split()
         return _CLOSING.sub(r" \1", text.lower()).split()
 
+    def _learn(self, words: list[str]) -> None:
+        """Put words into the cache: one call for many, told apart by their places."""
+        for i in range(0, len(words), 5000):
+            some = words[i:i + 5000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype)
+            begins = np.array([o[0] for o in found.offsets] or [0], dtype=np.int64)
+            words_begin = np.cumsum([0] + [len(w) + 1 for w in some])
+            ends = np.searchsorted(begins[:len(ids)], words_begin).tolist()
+            self.cache.update((w, ids[a:b].tobytes())
+                              for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
-        split = [self._pieces(t or "") for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        cache, missing = self.cache, {}
-        for pieces in split:
-            if pieces:
-                missing.update(dict.fromkeys(p for p in pieces if p not in cache))
-        new = list(missing)
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype=self.dtype)
-            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64),
-                                   np.arange(len(some) + 1)).tolist()
-            cache.update((w, ids[a:b].tobytes())
-                         for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
-        whole = lambda t: self.pack(
-            self.tokenizer.encode(t, add_special_tokens=False).ids)
-        return [whole(t) if pieces is None else b"".join(map(cache.__getitem__, pieces))
-                for t, pieces in zip(texts, split, strict=True)]
+        if len(self.cache) > CACHED_WORDS:            # words in use come back from there
+            self.older, self.cache = self.cache, {}
+        get, older, out, missing = self.cache.get, self.older.get, [], {}
+        for text in texts:
+            pieces = self._pieces(text or "")
+            if pieces is None:
+                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
+            known = list(map(get, pieces))
+            if None in known:
+                for p, k in zip(pieces, known, strict=True):
+                    if k is None and p not in missing:
+                        missing[p] = older(p)
+                out.append(pieces)
+            else:
+                out.append(b"".join(known))
+        self.cache.update((p, k) for p, k in missing.items() if k is not None)
+        self._learn([p for p, k in missing.items() if k is None])
+        return [o if isinstance(o, bytes) else b"".join(map(self.cache.__getitem__, o))
+                for o in out]
 
 
 @lru_cache(maxsize=2)
