@@ -8,8 +8,10 @@ probability of their weighted Jaccard similarity. Only about ``k ln k`` darts of
 text are ever made, however long it is.
 
 Texts that agree in all coordinates of a band are compared exactly. In a bucket all
-members are compared with its first one, and only members of different groups so far
-with each other, so a group of thousands costs no more than its members.
+members are compared with the first and the last one. Texts that still share buckets
+with another group are banded again, with wider bands, and there members of different
+groups are all compared. So a group of thousands costs no more than its members, and
+texts that only share a passage hardly meet.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ from weekcast.llm.common import LOWER, UPPER, row_number, ship_code, write_stage
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+# The second round, for texts whose buckets hold several groups: wider bands, drawn
+# from other darts, let far fewer texts meet that only share a passage.
+WIDE_BANDS, WIDE_ROWS, WIDE_COORDINATES, SALT = 150, 12, 320, 0x5851F42D4C957F2D
 CACHED_WORDS = 600_000
 DOCS_AT_ONCE = 200
 _BREAK = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -86,7 +91,7 @@ def uniform(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
-def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
+def signatures(sets: list[np.ndarray], k: int, salt: int = 0) -> np.ndarray:
     """A row of ``k`` 64-bit values for each non-empty set of unit elements.
 
     Along the rank axis the darts in the region of an element are a Poisson process
@@ -96,11 +101,11 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
     """
     out = np.zeros((len(sets), k), dtype=np.uint64)
     darts = k * np.log(k) + 2 * k
-    todo = [(i, s, 0.0, darts / len(s)) for i, s in enumerate(sets)]
+    todo = [(i, s ^ np.uint64(salt), darts / len(s)) for i, s in enumerate(sets)]
     with np.errstate(over="ignore"):
         while todo:
             owner = np.repeat([t[0] for t in todo], [len(t[1]) for t in todo])
-            upto = np.repeat([t[3] for t in todo], [len(t[1]) for t in todo])
+            upto = np.repeat([t[2] for t in todo], [len(t[1]) for t in todo])
             element = np.concatenate([t[1] for t in todo])
             rank, turn = np.zeros(len(element)), 0
             owners, ranks, names = [], [], []
@@ -122,7 +127,7 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
             full = np.zeros(len(sets) * k, dtype=bool)
             full[slot] = True
             full = full.reshape(len(sets), k).all(axis=1)
-            todo = [(i, s, 0.0, 2 * r) for i, s, _, r in todo if not full[i]]
+            todo = [(i, s, 2 * r) for i, s, r in todo if not full[i]]
     return out
 
 
@@ -135,10 +140,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(ua) + len(ub) - both)
 
 
+def band_keys(signed: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band; ``chosen`` has the coordinates of a band in a row."""
+    with np.errstate(over="ignore"):
+        key = np.full((len(signed), len(chosen)), 7, dtype=np.uint64)
+        for j in range(chosen.shape[1]):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + signed[:, chosen[:, j]])
+    return key.view(np.int64)
+
+
 def bands_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, sets (128-bit digest of the shingle multiset, 16 bytes) and keys
     (a 64-bit value for each band; none for a text without words)."""
     k = bands * rows
+    chosen = np.arange(k).reshape(rows, bands).T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +164,7 @@ def bands_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                 keys: list = [None] * len(hashed)
                 if some:
                     signed = signatures([units(hashed[i]) for i in some], k)
-                    with np.errstate(over="ignore"):
-                        key = np.full((len(some), bands), 7, dtype=np.uint64)
-                        for j in range(rows):
-                            key = mixed(key * np.uint64(0x9E3779B97F4A7C15)
-                                        + signed[:, j::rows])
-                    for i, v in zip(some, key.view(np.int64), strict=True):
+                    for i, v in zip(some, band_keys(signed, chosen), strict=True):
                         keys[i] = v
                 digest = [xxhash.xxh3_128_digest(h.tobytes()) for h in hashed]
                 yield pa.RecordBatch.from_arrays(
@@ -205,6 +215,65 @@ def hashes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "row long, hashes binary")
 
 
+def wide_bands_of(hashes: DataFrame) -> DataFrame:
+    """text and keys of the second round, from stored shingle hashes."""
+    pick = np.random.default_rng(12)
+    chosen = np.array([pick.choice(WIDE_COORDINATES, WIDE_ROWS, replace=False)
+                       for _ in range(WIDE_BANDS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
+                sets = [units(np.frombuffer(h.as_buffer(), np.uint64))
+                        for h in part.column("hashes")]
+                keys = band_keys(signatures(sets, WIDE_COORDINATES, SALT), chosen)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), pa.array(list(keys), pa.list_(pa.int64()))],
+                    names=["text", "keys"])
+
+    return hashes.where("length(hashes) > 0").select("row", "hashes").mapInArrow(
+        run, "text long, keys array<long>")
+
+
+def buckets(texts: DataFrame, name: str) -> DataFrame:
+    """band, key and text of every bucket with two members or more, and its first and
+    last member."""
+    entries = texts.select("text", F.posexplode("keys").alias("band", "key"))
+    hubs = write_stage(entries.groupBy("band", "key").agg(
+        F.min("text").alias("first"), F.max("text").alias("last")).where("first < last"),
+        f"{name}-hubs")
+    return write_stage(entries.join(hubs, ["band", "key"]), name)
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket with its first and its last one."""
+    return (members.select("text", F.explode(F.array("first", "last")).alias("hub"))
+            .where("text <> hub")
+            .select(F.least("text", "hub").alias("a"), F.greatest("text", "hub").alias("b"))
+            .distinct())
+
+
+def labelled(members: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    return write_stage(
+        members.select("band", "key", "text")
+        .join(groups.withColumnRenamed("row", "text"), "text", "left")
+        .select("band", "key", "text", F.coalesce("root", "text").alias("root")), name)
+
+
+def across_groups(label: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are in different groups."""
+    roots = label.select("band", "key", "root").distinct()
+    both = (roots.withColumnRenamed("root", "low")
+            .join(roots.withColumnRenamed("root", "high"), ["band", "key"])
+            .where("low < high"))
+    side = lambda root, text: label.select(
+        "band", "key", F.col("root").alias(root), F.col("text").alias(text))
+    return (both.join(side("low", "x"), ["band", "key", "low"])
+            .join(side("high", "y"), ["band", "key", "high"])
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """row and root: the smallest row of each row's connected component, for rows with
     edges (a, b). Large-star and small-star steps, until nothing changes. Every step is
@@ -251,41 +320,34 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
         F.min("row").alias("text"), F.count(F.lit(1)).alias("n")).where("n > 1"), "same")
     signed = write_stage(signed.join(same, "sets", "left").select(
         "row", "doc_id", F.coalesce("text", "row").alias("text"), "keys"), "texts")
-    texts = signed.where("row = text").select("text", "keys")
-    entries = texts.select("text", F.posexplode("keys").alias("band", "key"))
-    # the first and the last member of each bucket are the hubs of its stars
-    hubs = write_stage(entries.groupBy("band", "key").agg(
-        F.min("text").alias("first"), F.max("text").alias("last")).where("first < last"), "hubs")
-    members = write_stage(entries.join(hubs, ["band", "key"]), "members")
+    members = buckets(signed.where("row = text").select("text", "keys"), "members")
     in_bucket = members.select(F.col("text").alias("row")).distinct()
     hashes = write_stage(hashes_of(
         docs.select(row_number().alias("row"), "text").join(in_bucket, "row")), "hashes")
-
-    star = write_stage(members.select("text", F.explode(F.array("first", "last")).alias("hub"))
-                       .where("text <> hub")
-                       .select(F.least("text", "hub").alias("a"), F.greatest("text", "hub").alias("b"))
-                       .distinct(), "stars")
+    star = write_stage(stars(members), "stars")
     links = write_stage(verified(star, hashes, threshold), "links")
     groups = components(links)
 
-    # what the stars leave open: members of a bucket that are in different groups
-    label = write_stage(
-        members.select("band", "key", "text")
-        .join(groups, members["text"] == groups["row"], "left")
-        .select("band", "key", "text", F.coalesce("root", "text").alias("root")), "labels")
-    roots = label.select("band", "key", "root").distinct()
-    across = (roots.withColumnRenamed("root", "low")
-              .join(roots.withColumnRenamed("root", "high"), ["band", "key"])
-              .where("low < high"))
-    side = lambda root, text: label.select(
-        "band", "key", F.col("root").alias(root), F.col("text").alias(text))
-    still_open = (across.join(side("low", "x"), ["band", "key", "low"])
-                  .join(side("high", "y"), ["band", "key", "high"])
-                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-                  .distinct().join(star, ["a", "b"], "left_anti"))
-    more = write_stage(verified(still_open, hashes, threshold), "more-links")
-    if more.limit(1).count():
-        groups = components(links.unionByName(more))
+    # what the stars leave open: texts that share a bucket with another group
+    label = labelled(members, groups, "labels")
+    several = (label.groupBy("band", "key")
+               .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+               .where("low < high").select("band", "key"))
+    open_texts = (label.join(several, ["band", "key"]).select(F.col("text").alias("row"))
+                  .distinct())
+    members = buckets(wide_bands_of(hashes.join(open_texts, "row")), "wide-members")
+    root = lambda c: groups.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
+    more = write_stage(
+        stars(members).join(star, ["a", "b"], "left_anti")
+        .join(root("a"), "a", "left").join(root("b"), "b", "left")
+        .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "more-stars")
+    links = write_stage(links.unionByName(verified(more, hashes, threshold)), "more-links")
+    groups = components(links)
+    rest = (across_groups(labelled(members, groups, "wide-labels"))
+            .join(star.unionByName(more), ["a", "b"], "left_anti"))
+    last = write_stage(verified(rest, hashes, threshold), "last-links")
+    if last.limit(1).count():
+        groups = components(links.unionByName(last))
 
     told = write_stage(
         signed.join(groups.withColumnRenamed("row", "text"), "text", "left")
