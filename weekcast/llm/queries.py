@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weekcast.llm import (
     decontaminate, exact_dedup, near_dup, packing, shuffle_shards, token_shards,
-    warc)
+    toxicity, warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,10 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     arc = warc.write_arc(read_table(spark, folder, "pages"))
     return warc.page_records(spark, warc.convert(spark, arc, smallest=0))
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = toxicity.fit(docs, read_table(spark, folder, "labels"))
+    return toxicity.score(docs, model).drop("row")
