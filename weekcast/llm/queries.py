@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (
-    decontaminate, exact_dedup, near_dup, packing, shuffle_shards, token_shards,
+    decontaminate, exact_dedup, near_dup, packing, quality, shuffle_shards, token_shards,
     toxicity, warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
@@ -116,3 +116,9 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     model = toxicity.fit(docs, read_table(spark, folder, "labels"))
     return toxicity.score(docs, model).drop("row")
+
+
+@query
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(read_table(spark, folder, "documents"),
+                           read_table(spark, folder, "labels")).drop("row")
