@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (
-    decontaminate, exact_dedup, near_dup, packing, quality, shuffle_shards, token_shards,
+    decontaminate, exact_dedup, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
     toxicity, warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
@@ -122,3 +122,34 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(read_table(spark, folder, "documents"),
                            read_table(spark, folder, "labels")).drop("row")
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(read_table(spark, folder, "documents")).drop("row")
+
+
+def _license_sql() -> str:
+    """All windows of all texts, compared with all notices by exact containment."""
+    quoted = lambda w: "'" + w + "'"
+    rows = ", ".join(
+        f"('{p.license}', {p.number}, {len(p.words)}, {p.size}, "
+        f"{licenses.window_of(len(p.words))}, {licenses.step_of(len(p.words))}, "
+        f"[{', '.join(quoted(' '.join(s)) for s in p.shingles)}])"
+        for p in licenses.parts_of(licenses.NOTICES))
+    return f"""
+WITH notice(license, part, n, size, span, step, own) AS (VALUES {rows}),
+doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, license, part, size, span, own, w,
+                   unnest(range(0, len(w) - n + 1, step)) AS s
+            FROM doc, notice WHERE len(w) >= n),
+shared AS (SELECT doc_id, license, part, s, len(list_intersect(own, list_transform(
+             range(s + 1, least(s + span, len(w)) - size + 2),
+             lambda i: array_to_string(w[i:i + size - 1], ' ')))) / len(own) AS share
+           FROM windows)
+SELECT doc_id, license, count(DISTINCT part) AS parts, count(*) AS windows,
+       max(share) AS containment, CAST(min(s) AS INTEGER) AS start
+FROM shared WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license"""
+
+
+ORACLE["op8_license_scan"] = _license_sql()
