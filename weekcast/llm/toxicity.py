@@ -115,6 +115,9 @@ class Model:
     toxic: bytes
     weights: np.ndarray
 
+    def __getstate__(self) -> dict:                # compressors are made where they are used
+        return {k: getattr(self, k) for k in ("ordinary", "toxic", "weights")}
+
     @cached_property
     def name(self) -> str:
         return hashlib.sha1(self.ordinary + b"|" + self.toxic).hexdigest()
@@ -169,9 +172,11 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
         coded(f" {trained(base, ORDINARY_BYTES, 64)} "),
         coded(f" {trained_in_rounds([[w for w in d if w in own] for d in toxic], TOXIC_BYTES)} "),
         np.zeros(0))
-    x = np.array([model.features(t) for t, _ in check] or [model.features("")])
-    y = np.array([y for _, y in check] or [0], dtype=float)
-    model.weights = logistic(x, y)
+    if not check:
+        model.weights = np.zeros(len(model.features("")) + 1)
+        return model
+    model.weights = logistic(np.array([model.features(t) for t, _ in check]),
+                             np.array([y for _, y in check], dtype=float))
     return model
 
 
