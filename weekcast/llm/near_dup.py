@@ -10,8 +10,9 @@ text are ever made, however long it is.
 Texts that agree in all coordinates of a band are compared exactly. In a bucket all
 members are compared with the first and the last one. Texts that still share buckets
 with another group are banded again, with wider bands, and there members of different
-groups are all compared. So a group of thousands costs no more than its members, and
-texts that only share a passage hardly meet.
+groups are compared, unless counting what each shares with any other text rules them
+out. So a group of thousands costs no more than its members, and texts that only share
+a passage hardly meet.
 """
 
 from __future__ import annotations
@@ -216,7 +217,7 @@ def hashes_of(docs: DataFrame) -> DataFrame:
 
 
 def wide_bands_of(hashes: DataFrame) -> DataFrame:
-    """text and keys of the second round, from stored shingle hashes."""
+    """text, keys of the second round and unit elements, from stored shingle hashes."""
     pick = np.random.default_rng(12)
     chosen = np.array([pick.choice(WIDE_COORDINATES, WIDE_ROWS, replace=False)
                        for _ in range(WIDE_BANDS)])
@@ -229,17 +230,30 @@ def wide_bands_of(hashes: DataFrame) -> DataFrame:
                         for h in part.column("hashes")]
                 keys = band_keys(signatures(sets, WIDE_COORDINATES, SALT), chosen)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), pa.array(list(keys), pa.list_(pa.int64()))],
-                    names=["text", "keys"])
+                    [part.column("row"), pa.array(list(keys), pa.list_(pa.int64())),
+                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
+                    names=["text", "keys", "units"])
 
     return hashes.where("length(hashes) > 0").select("row", "hashes").mapInArrow(
-        run, "text long, keys array<long>")
+        run, "text long, keys array<long>, units array<long>")
 
 
-def buckets(texts: DataFrame, name: str) -> DataFrame:
+def with_bounds(texts: DataFrame) -> DataFrame:
+    """``texts`` with size and shared: how many units a text has, and how many of them
+    any other of these texts has too. No other text can share more."""
+    alone = (texts.select("text", F.explode("units").alias("unit"))
+             .groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
+             .where("n = 1").groupBy("text").agg(F.count(F.lit(1)).alias("alone")))
+    size = F.size("units")
+    return texts.join(alone, "text", "left").select(
+        "text", "keys", size.alias("size"),
+        (size - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def buckets(texts: DataFrame, name: str, *more: str) -> DataFrame:
     """band, key and text of every bucket with two members or more, and its first and
     last member."""
-    entries = texts.select("text", F.posexplode("keys").alias("band", "key"))
+    entries = texts.select("text", *more, F.posexplode("keys").alias("band", "key"))
     hubs = write_stage(entries.groupBy("band", "key").agg(
         F.min("text").alias("first"), F.max("text").alias("last")).where("first < last"),
         f"{name}-hubs")
@@ -255,22 +269,29 @@ def stars(members: DataFrame) -> DataFrame:
 
 
 def labelled(members: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    rest = [c for c in members.columns if c not in ("first", "last")]
     return write_stage(
-        members.select("band", "key", "text")
-        .join(groups.withColumnRenamed("row", "text"), "text", "left")
-        .select("band", "key", "text", F.coalesce("root", "text").alias("root")), name)
-
-
-def across_groups(label: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a bucket that are in different groups."""
-    roots = label.select("band", "key", "root").distinct()
-    both = (roots.withColumnRenamed("root", "low")
-            .join(roots.withColumnRenamed("root", "high"), ["band", "key"])
-            .where("low < high"))
-    side = lambda root, text: label.select(
-        "band", "key", F.col("root").alias(root), F.col("text").alias(text))
+        members.select(*rest).join(groups.withColumnRenamed("row", "text"), "text", "left")
+        .select(*rest, F.coalesce("root", "text").alias("root")), name)
+
+
+def across_groups(label: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of a bucket that are in different groups and have enough
+    shared units to be similar: c common ones of x and y make c / (x + y - c)."""
+    enough = lambda c, sizes: c * (1 + threshold) >= F.lit(threshold - 1e-9) * sizes
+    roots = label.groupBy("band", "key", "root").agg(
+        F.min("size").alias("least"), F.max("shared").alias("most"))
+    side = lambda root, x: label.select(
+        "band", "key", F.col("root").alias(root), F.col("text").alias(x),
+        F.col("size").alias(f"{x}_size"), F.col("shared").alias(f"{x}_shared"))
+    high = roots.withColumnsRenamed({"root": "high", "least": "least_y", "most": "most_y"})
+    both = (roots.withColumnRenamed("root", "low").join(high, ["band", "key"])
+            .where(F.col("low") < F.col("high"))
+            .where(enough(F.least("most", "most_y"), F.col("least") + F.col("least_y"))))
     return (both.join(side("low", "x"), ["band", "key", "low"])
+            .where(enough(F.least("x_shared", "most_y"), F.col("x_size") + F.col("least_y")))
             .join(side("high", "y"), ["band", "key", "high"])
+            .where(enough(F.least("x_shared", "y_shared"), F.col("x_size") + F.col("y_size")))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
@@ -335,7 +356,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
                .where("low < high").select("band", "key"))
     open_texts = (label.join(several, ["band", "key"]).select(F.col("text").alias("row"))
                   .distinct())
-    members = buckets(wide_bands_of(hashes.join(open_texts, "row")), "wide-members")
+    wide = write_stage(wide_bands_of(hashes.join(open_texts, "row")), "wide-bands")
+    wide = with_bounds(wide).where(F.col("shared") >= F.lit(threshold - 1e-9) * F.col("size"))
+    members = buckets(write_stage(wide, "wide-texts"), "wide-members", "size", "shared")
     root = lambda c: groups.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
     more = write_stage(
         stars(members).join(star, ["a", "b"], "left_anti")
@@ -343,7 +366,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
         .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "more-stars")
     links = write_stage(links.unionByName(verified(more, hashes, threshold)), "more-links")
     groups = components(links)
-    rest = (across_groups(labelled(members, groups, "wide-labels"))
+    rest = (across_groups(labelled(members, groups, "wide-labels"), threshold)
             .join(star.unionByName(more), ["a", "b"], "left_anti"))
     last = write_stage(verified(rest, hashes, threshold), "last-links")
     if last.limit(1).count():
