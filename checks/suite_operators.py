@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from checks.suite import GOLD_DOUBLES, Domain, add
@@ -226,28 +228,40 @@ add("j15_asof_events", _asof_events, """
 
 
 def _slate_roster(d: Domain, week=2):
-    return SL.eligible_roster(d.star.rosters, d.star.depth_snapshots, 2001).join(
+    as_of = SL.first_gameday(d.star.schedules, 2001, week)
+    return SL.eligible_roster(d.star.rosters, d.star.depth_snapshots, 2001, as_of).join(
         C.slate_context(d.star.schedules, 2001, week), "team")
 
 
-_LATEST_RANK = """(SELECT gsis_id, arg_max(r, dt_instant) AS pos_rank FROM (
+def latest_rank_sql(week: int | None = None) -> str:
+    """Ranks of the newest 2001 snapshots, up to the first game of a week."""
+    known = "" if week is None else f"""AND CAST(dt_instant AS DATE) <= (
+        SELECT min(gameday) FROM games WHERE season = 2001 AND week = {week})"""
+    return f"""(SELECT gsis_id, arg_max(r, dt_instant) AS pos_rank FROM (
       SELECT gsis_id, dt_instant, min(pos_rank) AS r FROM depth_snapshots
-      WHERE pos_abb IN ('QB', 'RB', 'WR', 'TE', 'FB') GROUP BY ALL) GROUP BY gsis_id)"""
-SLATE_ROSTER = f"""(SELECT r.player_id, r.full_name AS player_name, r.position, r.team,
+      WHERE pos_abb IN ('QB', 'RB', 'WR', 'TE', 'FB') AND year(dt_instant) = 2001 {known}
+      GROUP BY ALL) GROUP BY gsis_id)"""
+
+
+def slate_roster_sql(week: int | None = None) -> str:
+    return f"""(SELECT r.player_id, r.full_name AS player_name, r.position, r.team,
       CAST(coalesce(k.pos_rank, 99) AS INTEGER) AS depth_chart_rank
-    FROM rosters r LEFT JOIN {_LATEST_RANK} k ON k.gsis_id = r.player_id
+    FROM rosters r LEFT JOIN {latest_rank_sql(week)} k ON k.gsis_id = r.player_id
     WHERE r.season = 2001 AND r.position IN ('QB', 'RB', 'WR', 'TE')
       AND (r.position NOT IN ('QB', 'TE') OR coalesce(k.pos_rank, 99) = 1))"""
+
+
+SLATE_ROSTER = slate_roster_sql(2)
 add("j16_slate_inner", lambda d: _slate_roster(d).select(
     "player_id", "team", "opponent", "is_home", "depth_chart_rank"), f"""
     SELECT e.player_id, e.team, g.opponent, g.is_home, e.depth_chart_rank
     FROM {SLATE_ROSTER} e JOIN games g ON g.team = e.team AND g.season = 2001 AND g.week = 2""")
 add("j17_latest_rank", lambda d: d.star.rosters.join(
-    SL.latest_depth_ranks(d.star.depth_snapshots), "player_id", "left").select(
+    SL.latest_depth_ranks(d.star.depth_snapshots, 2001), "player_id", "left").select(
     "player_id", "season",
     F.coalesce("pos_rank", F.lit(schema.SLATE_UNLISTED_RANK)).alias("rank")), f"""
     SELECT r.player_id, r.season, CAST(coalesce(k.pos_rank, 99) AS INTEGER) AS rank
-    FROM rosters r LEFT JOIN {_LATEST_RANK} k ON k.gsis_id = r.player_id""")
+    FROM rosters r LEFT JOIN {latest_rank_sql()} k ON k.gsis_id = r.player_id""")
 add("j18_roster_predictions", lambda d: Q.team_roster(d.gold, d.predictions, "T3").select(
     "player_id", "projected_ppr"), """
     SELECT r.player_id, p.projected_ppr
@@ -569,13 +583,12 @@ add("w13_last_rows", lambda d: A.top_per_group(
     [F.desc("week")], 4), f"""
     SELECT player_id, week, wopr, CAST(row_number() OVER (
       PARTITION BY player_id ORDER BY week DESC) AS INTEGER) AS rank FROM {_LAST4}""", "wopr")
-add("w14_slate_rank", lambda d: A.top_per_group(
+add("w14_slate_rank", lambda d: A.ranked(
     d.gold.select("player_id", "season", "week", "fantasy_points_ppr"), ["season", "week"],
-    [F.desc("fantasy_points_ppr"), F.asc("player_id")], 10), """
-    SELECT player_id, season, week, fantasy_points_ppr, CAST(r AS INTEGER) AS rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY season, week
-        ORDER BY fantasy_points_ppr DESC, player_id) AS r FROM gold) WHERE r <= 10""",
-    "fantasy_points_ppr")
+    [F.desc("fantasy_points_ppr"), F.asc("player_id")]), """
+    SELECT player_id, season, week, fantasy_points_ppr, CAST(row_number() OVER (
+      PARTITION BY season, week ORDER BY fantasy_points_ppr DESC, player_id) AS INTEGER) AS rank
+    FROM gold""", "fantasy_points_ppr")
 
 # --- sorts and top-k ----------------------------------------------------------
 
@@ -600,10 +613,10 @@ add("l4_limit_offset", lambda d: d.gold.select(*FT.PLAYER_WEEK).orderBy(
     SELECT player_id, season, week FROM gold ORDER BY player_id, season, week
     LIMIT 50 OFFSET 100""")
 add("l5_nulls_last", lambda d: d.predictions.orderBy(
-    F.desc_nulls_last("projected_ppr"), "player_name", "week").limit(90).select(
-    "player_id", "week", "projected_ppr"), """
-    SELECT player_id, week, projected_ppr FROM predictions
-    ORDER BY projected_ppr DESC NULLS LAST, player_name NULLS FIRST, week LIMIT 90""",
+    F.desc_nulls_last("projected_ppr"), "player_name", "season", "week").select(
+    "player_id", "season", "week", "projected_ppr"), """
+    SELECT player_id, season, week, projected_ppr FROM predictions
+    ORDER BY projected_ppr DESC NULLS LAST, player_name NULLS FIRST, season, week""",
     "projected_ppr")
 add("l6_chosen_key", lambda d: V.rankings(
     d.predictions, key="team_spread", descending=False).select(
@@ -611,16 +624,15 @@ add("l6_chosen_key", lambda d: V.rankings(
     SELECT player_id, team_spread, CAST((SELECT count(*) FROM latest_slate) AS INTEGER) AS total
     FROM latest_slate ORDER BY team_spread ASC NULLS LAST, player_id LIMIT 50""",
     "team_spread")
-add("l7_depth_order", lambda d: A.top_per_group(
-    d.gold.where("season = 2001").select(
-        "player_id", "week", "recent_team", "position", "depth_chart_rank"),
-    ["recent_team"], [V.position_order(), F.coalesce(
-        "depth_chart_rank", F.lit(99)), F.asc("player_id"), F.asc("week")], 3), """
-    SELECT player_id, week, recent_team, position, depth_chart_rank, CAST(r AS INTEGER) AS rank
-    FROM (SELECT *, row_number() OVER (PARTITION BY recent_team ORDER BY
+add("l7_depth_order", lambda d: A.ranked(
+    d.gold.select("player_id", "season", "week", "recent_team", "position", "depth_chart_rank"),
+    ["season", "recent_team"], [V.position_order(), F.coalesce(
+        "depth_chart_rank", F.lit(99)), F.asc("player_id"), F.asc("week")]), """
+    SELECT player_id, season, week, recent_team, position, depth_chart_rank,
+      CAST(row_number() OVER (PARTITION BY season, recent_team ORDER BY
         list_position(['QB', 'RB', 'WR', 'TE'], position), coalesce(depth_chart_rank, 99),
-        player_id, week) AS r
-      FROM gold WHERE season = 2001) WHERE r <= 3""")
+        player_id, week) AS INTEGER) AS rank
+    FROM gold""")
 _MISS = "fantasy_points_3wk_avg - fantasy_points_ppr"
 _MISS_COLUMNS = ("player_id, player_name, season, week, position, fantasy_points_ppr AS actual, "
                  "fantasy_points_3wk_avg AS predicted, week AS test_week, "
@@ -668,11 +680,16 @@ def _bypass(d: Domain):
 add("u3_bypass_rows", _bypass, """
     SELECT player_id, season, week, CAST(NULL AS INTEGER) AS rank_snapshot
     FROM players_in_context WHERE gameday IS NULL""")
-add("u4_fold_union", lambda d: E.naive_form(d.gold.where("week = 5")).unionByName(
-    E.naive_form(d.gold.where("week = 6"))).groupBy("test_week").agg(
-    F.avg(S.absolute_error("actual", "predicted")).alias("mae")), f"""
-    SELECT week AS test_week, {_ERROR} AS mae FROM gold WHERE week IN (5, 6) GROUP BY ALL""",
-    "mae")
+def _fold_union(d: Domain):
+    """The rows of each test week, united and scored."""
+    weeks = sorted(r[0] for r in d.gold.select("week").distinct().collect())   # a calendar
+    folds = [E.naive_form(d.gold.where(c("week") == w)) for w in weeks]
+    return reduce(lambda a, b: a.unionByName(b), folds).groupBy("test_week").agg(
+        F.avg(S.absolute_error("actual", "predicted")).alias("mae"))
+
+
+add("u4_fold_union", _fold_union,
+    f"SELECT week AS test_week, {_ERROR} AS mae FROM gold GROUP BY ALL", "mae")
 add("u5_date_union", lambda d: C.last_game_dates(d.star.schedules, 3),
     "SELECT team, max(gameday) AS gameday FROM team_games WHERE week = 3 GROUP BY ALL")
 add("u6_team_set", lambda d: V.slate_teams(d.predictions), """

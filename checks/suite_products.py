@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.suite import GOLD_DOUBLES, PREDICTION_DOUBLES, Domain, add
 from checks.suite_operators import (
-    CAREER, PASSED, SLATE_ROSTER, _LATEST, _MISS_COLUMNS)
+    CAREER, PASSED, SLATE_ROSTER, _LATEST, _MISS_COLUMNS, slate_roster_sql)
 from checks.tables_sql import TEMPLATE, blend
 from weekcast import schema
 from weekcast.operators import aggregates as A
@@ -190,7 +190,7 @@ add("g2_rest_from_previous_week", lambda d: C.rest_days(
     d.star.schedules.where(c("season") == SEASON), 2),
     f"SELECT team, CAST(rest AS INTEGER) AS rest_days FROM {_REST.format(week=2)}")
 add("g3_eligible_roster", lambda d: SL.eligible_roster(
-    d.star.rosters, d.star.depth_snapshots, SEASON), f"SELECT * FROM {SLATE_ROSTER}")
+    d.star.rosters, d.star.depth_snapshots, SEASON), f"SELECT * FROM {slate_roster_sql()}")
 add("g4_starter_filter", lambda d: FT.starters_only(d.unfiltered_gold).select(
     *FT.PLAYER_WEEK, "position", "depth_chart_rank"),
     "SELECT player_id, season, week, position, depth_chart_rank FROM gold")
@@ -272,7 +272,8 @@ def _slate_written(d: Domain):
     scored = _slate(d).withColumn("prediction", c("fantasy_points_3wk_avg"))
     out = SL.slate_output(scored)
     sinks.replace_slice(SL.to_predictions(out), path, SEASON, 2)
-    return tables.read_predictions(d.spark, path).where(c("week") == 2)
+    return tables.read_predictions(d.spark, path).where(
+        (c("season") == SEASON) & (c("week") == 2))
 
 
 add("g10_slate_output", _slate_written, f"""
@@ -312,7 +313,7 @@ add("g10_opening_slate", lambda d: SL.build_opening_slate(
       coalesce(ppg, 0) AS prev_season_ppg, coalesce(games, 0) AS prev_season_games,
       0.0::DOUBLE AS fantasy_points_3wk_avg, 0 AS rolling_games_count,
       0.0::DOUBLE AS opp_def_ppg_allowed, 0 AS wr1_wr2_healthy
-    FROM {SLATE_ROSTER} e JOIN team_games g ON g.team = e.team AND g.season = 2001 AND g.week = 1
+    FROM {slate_roster_sql(1)} e JOIN team_games g ON g.team = e.team AND g.season = 2001 AND g.week = 1
     LEFT JOIN (SELECT player_id, avg(fantasy_points_ppr) AS ppg, CAST(count(*) AS DOUBLE) AS games
       FROM gold WHERE season = 2000 GROUP BY ALL) p ON p.player_id = e.player_id""",
     "prev_season_ppg prev_season_games fantasy_points_3wk_avg opp_def_ppg_allowed")
@@ -426,10 +427,14 @@ def _played(d: Domain):
 
 
 add("v3_results", lambda d: V.results(_played(d)), f"""
-    SELECT player_id, player_name, position, recent_team, {_MATCHUP}, actual_ppr,
+    SELECT season, week, CAST(row_number() OVER (PARTITION BY season, week
+        ORDER BY actual_ppr DESC, player_id) AS INTEGER) AS rank,
+      player_id, player_name, position, recent_team, {_MATCHUP}, actual_ppr,
       coalesce(projected_ppr, 0) AS projected_ppr,
       actual_ppr - coalesce(projected_ppr, 0) AS delta
-    FROM predictions WHERE actual_ppr IS NOT NULL""", "actual_ppr projected_ppr delta")
+    FROM (SELECT p.* FROM predictions p JOIN last_slices s
+      ON p.season = s.season AND p.week = s.week AND age = 2)""",
+    "actual_ppr projected_ppr delta")
 add("v4_team_depth", lambda d: V.team_depth(d.gold, d.predictions, "T9"), f"""
     SELECT position, CAST(count(*) OVER (PARTITION BY position) AS INTEGER) AS on_roster,
       depth_chart_rank, player_id, player_name, projected_ppr, actual_ppr, opponent

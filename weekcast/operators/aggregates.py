@@ -68,11 +68,16 @@ def keep_one(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
             .where("_rank = 1").drop("_rank"))
 
 
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
+           rank: str = "rank") -> DataFrame:
+    """Every row with its 1-based rank within its key."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
                   rank: str = "rank") -> DataFrame:
     """The first k rows per key with their 1-based rank (pruned on the map side)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return ranked(df, keys, order, rank).where(F.col(rank) <= k)
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:

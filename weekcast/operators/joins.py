@@ -111,8 +111,12 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str,
         found = _carry_in(found, known, bucket)
     answers = found.where("_found IS NOT NULL").select(
         F.col("_key").alias(by), F.col("_time").alias(left_time),
-        F.col("_found").alias(out))
-    return left.join(answers, [by, left_time], "left").select(*left.columns, out)
+        F.col("_found").alias(out), F.lit(0).cast("long").alias("_spread"))
+    # rows that can match nothing are spread by their content, not sent to one partition
+    missing = F.col(by).isNull() | F.col(left_time).isNull()
+    spread = left.withColumn("_spread", F.when(missing, F.xxhash64(*left.columns))
+                             .otherwise(F.lit(0).cast("long")))
+    return spread.join(answers, [by, left_time, "_spread"], "left").select(*left.columns, out)
 
 
 def _carry_in(found: DataFrame, known: DataFrame, bucket: str) -> DataFrame:

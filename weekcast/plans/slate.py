@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekcast import schema
@@ -29,22 +29,41 @@ def before(gold: DataFrame, season: int, week: int) -> DataFrame:
 # Who plays
 # --------------------------------------------------------------------------
 
-def latest_depth_ranks(depth_snapshots: DataFrame) -> DataFrame:
-    """Best rank of each player on their newest snapshot (to the instant)."""
+def first_gameday(schedules: DataFrame, season: int, week: int) -> Column:
+    """The day of the week's first game, as a scalar subquery."""
+    games = schedules.where((F.col("season") == season) & (F.col("week") == week))
+    return games.agg(F.min(F.col("gameday").cast("date"))).scalar()
+
+
+def latest_depth_ranks(depth_snapshots: DataFrame, season: int | None = None,
+                       as_of: Column | str | None = None) -> DataFrame:
+    """Best rank of each player on their newest snapshot (to the instant).
+
+    Only snapshots of the season are read (their ISO text is compared, so the filter
+    reaches the scan), and with ``as_of`` only those up to that day.
+    """
     listed = depth_snapshots.where(
         F.col("pos_abb").isin(schema.DEPTH_POSITIONS) & F.col("gsis_id").isNotNull())
+    if season is not None:
+        listed = listed.where((F.col("dt") >= str(season)) & (F.col("dt") < str(season + 1)))
+    if as_of is not None:
+        day = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
+        listed = listed.where(S.day("dt") <= day)
     ranks = listed.groupBy(
         F.col("gsis_id").alias("player_id"), S.instant("dt").alias("at")).agg(
         F.min("pos_rank").alias("pos_rank"))
     return A.keep_one(ranks, ["player_id"], [F.desc("at")]).select("player_id", "pos_rank")
 
 
-def eligible_roster(rosters: DataFrame, depth_snapshots: DataFrame, season: int) -> DataFrame:
-    """Skill players of the season; QB and TE only when ranked first."""
+def eligible_roster(rosters: DataFrame, depth_snapshots: DataFrame, season: int,
+                    as_of: Column | str | None = None) -> DataFrame:
+    """Skill players of the season; QB and TE only when ranked first on the newest
+    depth chart of the season (up to ``as_of``). Players without one rank last."""
     listed = rosters.where(
         (F.col("season") == season) & F.col("position").isin(schema.POSITIONS)
     ).select("player_id", F.col("full_name").alias("player_name"), "position", "team")
-    ranked = listed.join(latest_depth_ranks(depth_snapshots), "player_id", "left").withColumn(
+    ranked = listed.join(latest_depth_ranks(depth_snapshots, season, as_of),
+                         "player_id", "left").withColumn(
         "depth_chart_rank",
         F.coalesce("pos_rank", F.lit(schema.SLATE_UNLISTED_RANK))).drop("pos_rank")
     return FT.starters_only(ranked)
@@ -158,7 +177,8 @@ def roster_in_context(rosters: DataFrame, depth_snapshots: DataFrame, schedules:
                       gold: DataFrame, season: int, week: int,
                       carryover_max_week: int | None) -> DataFrame:
     """Eligible players of teams with a game, with carry-over; byes drop out."""
-    roster = eligible_roster(rosters, depth_snapshots, season).join(
+    as_of = first_gameday(schedules, season, week)
+    roster = eligible_roster(rosters, depth_snapshots, season, as_of).join(
         carryover(gold, season, carryover_max_week), "player_id", "left").fillna(
         0.0, subset=["prev_season_ppg", "prev_season_games"])
     slate = roster.join(slate_context(schedules, season, week), "team")

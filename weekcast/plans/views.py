@@ -95,13 +95,14 @@ def slate_insights(predictions: DataFrame) -> DataFrame:
 
 
 def results(predictions: DataFrame) -> DataFrame:
-    """Leaderboard of played games by actual score."""
-    scored = prediction_rows(predictions).where(F.col("actual_ppr").isNotNull())
+    """Leaderboard of played games by actual score, numbered within each slice."""
+    scored = A.ranked(prediction_rows(predictions).where(F.col("actual_ppr").isNotNull()),
+                      ["season", "week"], [F.desc("actual_ppr"), F.asc("player_id")])
     return scored.select(
-        "player_id", "player_name", "position", "recent_team", L.matchup().alias("matchup"),
+        "season", "week", "rank", "player_id", "player_name", "position", "recent_team", L.matchup().alias("matchup"),
         "actual_ppr", "projected_ppr",
         S.delta("actual_ppr", "projected_ppr").alias("delta"),
-    ).orderBy(F.desc("actual_ppr"), F.asc("player_id"))
+    ).orderBy(F.desc("season"), F.desc("week"), "rank")
 
 
 def team_depth(gold: DataFrame, predictions: DataFrame, team: str) -> DataFrame:

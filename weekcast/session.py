@@ -49,8 +49,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_SETTING} to a shared folder")
-    return _local_folders.setdefault(
-        sc.applicationId, tempfile.mkdtemp(prefix="weekcast-"))
+    if sc.applicationId not in _local_folders:
+        _local_folders[sc.applicationId] = tempfile.mkdtemp(prefix="weekcast-")
+    return _local_folders[sc.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

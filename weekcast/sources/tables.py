@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,9 +39,16 @@ def read_source(spark: SparkSession, folder: str, name: str,
 def read_depth_charts(spark: SparkSession, folder: str, seasons: Iterable[int] | None = None,
                       last_weekly: int = schema.WEEKLY_DEPTH_LAST_SEASON
                       ) -> tuple[DataFrame, DataFrame]:
-    """(weekly lists, snapshots): the two eras have different schemas."""
+    """(weekly lists, snapshots): the two eras have different schemas.
+
+    Snapshots have no season; they are limited by the year of their ISO text, which
+    is compared as text and so reaches the scan.
+    """
     weekly = read_source(spark, folder, "depth_weekly", seasons)
     snapshots = read_source(spark, folder, "depth_snapshots")
+    if seasons is not None:
+        years = [(F.col("dt") >= str(y)) & (F.col("dt") < str(y + 1)) for y in seasons]
+        snapshots = snapshots.where(reduce(operator.or_, years, F.lit(False)))
     return weekly.where(F.col("season") <= last_weekly), snapshots
 
 
