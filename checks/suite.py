@@ -91,18 +91,19 @@ def _write(df: DataFrame, path: str) -> None:
 
 def predictions_of(gold: DataFrame) -> DataFrame:
     """A predictions history over every slice of gold, the newest one unplayed."""
+    four = lambda c: F.round(F.col(c).cast("decimal(28,9)"), 4).cast("double")
     newest = gold.select("season", "week").orderBy(F.desc("season"), F.desc("week")).first()
     unplayed = ((F.col("season") == F.lit(newest["season"]))
                 & (F.col("week") == F.lit(newest["week"]))) if newest else F.lit(False)
     rows = gold
     context = [F.col(c) if c == "depth_chart_rank"
-               else F.round(F.round(F.col(c).cast("double"), DIGITS), 4).alias(c)
+               else four(c).alias(c)
                for c in schema.PREDICTION_CONTEXT]
     hidden = (F.col("position") == "QB") & (F.col("is_dome") == 1)
     rows = rows.select(
         "player_id", "player_name", "position", "recent_team", "opponent", "season", "week",
         F.when(~F.coalesce(hidden, F.lit(False)),
-               S.round_even(F.round(F.round("fantasy_points_5wk_avg", DIGITS), 4), 1)).alias("projected_ppr"),
+               S.round_even(four("fantasy_points_5wk_avg"), 1)).alias("projected_ppr"),
         F.when(~unplayed, S.round_even(schema.TARGET, 1)).alias("actual_ppr"), *context)
     text = F.when(F.col("position") == "TE", "").when(
         F.coalesce(F.col("depth_chart_rank") == 2, F.lit(False)), None).otherwise(

@@ -494,7 +494,7 @@ FROM (SELECT DISTINCT season, week FROM gold) QUALIFY age <= 2"""
 
 _CONTEXT = ", ".join(
     f"CAST(g.{c} AS INTEGER) AS {c}" if c == "depth_chart_rank"
-    else f"round(round(CAST(g.{c} AS DOUBLE), 9), 4) AS {c}" for c in schema.PREDICTION_CONTEXT)
+    else f"CAST(round(CAST(g.{c} AS DECIMAL(28, 9)), 4) AS DOUBLE) AS {c}" for c in schema.PREDICTION_CONTEXT)
 
 
 def num(c: str, default: str = "0") -> str:
@@ -524,7 +524,7 @@ TEMPLATE = f"""concat_ws(' ',
 TABLES["prediction_base"] = f"""
 SELECT g.player_id, g.player_name, g.position, g.recent_team, g.opponent, g.season, g.week,
   CASE WHEN g.position = 'QB' AND g.is_dome = 1 THEN NULL
-       ELSE round_even(round(round(g.fantasy_points_5wk_avg, 9), 4), 1) END AS projected_ppr,
+       ELSE round_even(CAST(round(CAST(g.fantasy_points_5wk_avg AS DECIMAL(28, 9)), 4) AS DOUBLE), 1) END AS projected_ppr,
   CASE WHEN s.age IS NULL OR s.age > 1 THEN round_even(g.fantasy_points_ppr, 1) END AS actual_ppr,
   {_CONTEXT}
 FROM gold g LEFT JOIN last_slices s ON g.season = s.season AND g.week = s.week"""
