@@ -41,6 +41,12 @@ class Domain:
     def plays(self) -> DataFrame:
         return self.star.plays()
 
+    @cached_property
+    def box_plays(self) -> DataFrame:
+        """Plays without the columns that need other tables: teams and yard line."""
+        apart = {"posteam", "defteam", "yardline_100"}
+        return self.star.plays([f.name for f in schema.PLAYS.fields if f.name not in apart])
+
     @cached_property
     def sources(self) -> Sources:
         s = self.star

@@ -46,7 +46,7 @@ add("gold_features", lambda d: FT.build_gold(d.sources),
 
 # --- joins -------------------------------------------------------------------
 
-add("j1_null_safe_outer", lambda d: B.box_score(d.plays),
+add("j1_null_safe_outer", lambda d: B.box_score(d.box_plays),
     f"SELECT {GRAIN}, {BOX.replace(' ', ', ')}, fantasy_points_ppr FROM box",
     f"{BOX} fantasy_points_ppr")
 _ROLES = ["season", "week", "play_type", "posteam", *[
@@ -60,7 +60,7 @@ def mentions(d: Domain):
 def _position_lookup(d: Domain):
     known = B.player_positions(mentions(d), d.star.rosters).withColumnRenamed(
         "player_name", "known_name")
-    box = B.box_score(d.plays)
+    box = B.box_score(d.box_plays)
     return J.lookup(box, known, {"player_id": "player_id"}).select(
         "season", "week", "player_id",
         F.coalesce("player_name", "known_name").alias("player_name"), "position")
@@ -69,7 +69,7 @@ def _position_lookup(d: Domain):
 add("j2_position_lookup", _position_lookup, """
     SELECT b.season, b.week, b.player_id, coalesce(b.player_name, p.player_name) AS player_name,
       p.position FROM box b LEFT JOIN player_position p ON b.player_id = p.player_id""")
-add("j3_team_per_season", lambda d: B.box_score(d.plays).join(
+add("j3_team_per_season", lambda d: B.box_score(d.box_plays).join(
     B.player_teams(mentions(d)), ["player_id", "season"], "left").select(
     "player_id", "season", "week", "recent_team"), """
     SELECT b.player_id, b.season, b.week, t.recent_team FROM box b
@@ -313,13 +313,13 @@ add("j22_team_passers", lambda d: SL.team_passers(
 
 # --- aggregations ------------------------------------------------------------
 
-add("a1_passer_box", lambda d: B.passer_box(d.plays), "SELECT * FROM pass_box",
+add("a1_passer_box", lambda d: B.passer_box(d.box_plays), "SELECT * FROM pass_box",
     "pass_attempts completions passing_yards passing_tds interceptions")
-add("a2_rusher_box", lambda d: B.rusher_box(d.plays), "SELECT * FROM rush_box",
+add("a2_rusher_box", lambda d: B.rusher_box(d.box_plays), "SELECT * FROM rush_box",
     "rush_attempts rushing_yards rushing_tds")
-add("a3_receiver_box", lambda d: B.receiver_box(d.plays), "SELECT * FROM recv_box",
+add("a3_receiver_box", lambda d: B.receiver_box(d.box_plays), "SELECT * FROM recv_box",
     "targets receptions receiving_yards receiving_tds")
-add("a4_single_season_box", lambda d: B.box_score(d.plays.where(c("season") == 2000)).drop(
+add("a4_single_season_box", lambda d: B.box_score(d.box_plays.where(c("season") == 2000)).drop(
     "season"), "SELECT week, player_id, player_name, {}, fantasy_points_ppr FROM box "
     "WHERE season = 2000".format(BOX.replace(" ", ", ")), f"{BOX} fantasy_points_ppr")
 add("a5_modal_position", lambda d: A.mode_by_count(mentions(d), "player_id", "position"),
@@ -559,7 +559,7 @@ add("w8_carry_forward_weekly", _carry_weekly, """
     LEFT JOIN weekly_rank w ON w.player_id = s.player_id AND w.season = s.season
       AND w.week = s.week""")
 add("w9_own_name_fill", lambda d: A.first_by(
-    B.passer_box(d.plays).withColumn("zero", F.lit(0)), "player_id", "player_name",
+    B.passer_box(d.box_plays).withColumn("zero", F.lit(0)), "player_id", "player_name",
     ["season", "week"]), """
     SELECT player_id, arg_min(player_name, season * 100 + week) AS player_name FROM pass_box
     WHERE player_id IS NOT NULL AND player_name IS NOT NULL GROUP BY ALL""")
@@ -592,7 +592,7 @@ add("w14_slate_rank", lambda d: A.ranked(
 
 # --- sorts and top-k ----------------------------------------------------------
 
-add("l1_order_by_score", lambda d: B.box_score(d.plays).orderBy(
+add("l1_order_by_score", lambda d: B.box_score(d.box_plays).orderBy(
     F.desc("fantasy_points_ppr"), *B.GRAIN).select(*B.GRAIN, "fantasy_points_ppr"),
     f"SELECT {GRAIN}, fantasy_points_ppr FROM box", "fantasy_points_ppr")
 add("l2_top_rows", lambda d: d.gold.orderBy(

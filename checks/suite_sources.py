@@ -125,7 +125,7 @@ add("p3_membership", lambda d: d.star.rosters.where(c("position").isin(schema.PO
     "SELECT * FROM rosters WHERE position IN ('QB', 'RB', 'WR', 'TE')")
 add("p4_season_scope", lambda d: tables.fantasy_weeks(d.gold, 9).select(*PICK),
     f"SELECT {PICKED} FROM gold WHERE week <= 9", "fantasy_points_ppr")
-add("p5_rename_project", lambda d: B.passer_box(d.plays).select(
+add("p5_rename_project", lambda d: B.passer_box(d.box_plays).select(
     c("player_id").alias("passer"), c("pass_attempts").alias("attempts"), "season", "week"),
     "SELECT player_id AS passer, pass_attempts AS attempts, season, week FROM pass_box",
     "attempts")
@@ -230,7 +230,7 @@ add("p23_parse_dates", lambda d: d.star.depth_snapshots.select(
 
 # --- scalar functions --------------------------------------------------------
 
-add("f1_ppr_points", lambda d: B.box_score(d.plays).select(
+add("f1_ppr_points", lambda d: B.box_score(d.box_plays).select(
     *B.GRAIN, "fantasy_points_ppr"),
     "SELECT season, week, player_id, player_name, fantasy_points_ppr FROM box",
     "fantasy_points_ppr")
@@ -261,12 +261,12 @@ add("f5_wopr", lambda d: d.gold.select(
     "player_id", "season", "week", S.wopr("target_share", "air_yards_share").alias("w")),
     """SELECT player_id, season, week, 1.5::DOUBLE * target_share
          + 0.7::DOUBLE * air_yards_share AS w FROM gold""", "w")
-add("f6_adjusted_yards", lambda d: B.box_score(d.plays).select(
+add("f6_adjusted_yards", lambda d: B.box_score(d.box_plays).select(
     *B.GRAIN, S.adjusted_yards_per_attempt(
         "passing_yards", "passing_tds", "interceptions", "pass_attempts").alias("aya")),
     """SELECT season, week, player_id, player_name, coalesce((passing_yards + 20 * passing_tds
          - 45 * interceptions) / nullif(pass_attempts, 0), 0) AS aya FROM box""", "aya")
-add("f7_opportunities", lambda d: B.box_score(d.plays).select(
+add("f7_opportunities", lambda d: B.box_score(d.box_plays).select(
     *B.GRAIN, S.opportunities().alias("chances")),
     "SELECT season, week, player_id, player_name, rush_attempts + targets AS chances FROM box",
     "chances")
@@ -285,7 +285,7 @@ add("f9_day_difference", lambda d: d.star.schedules.select(
     S.days_between(F.to_date("gameday"), F.make_date("season", F.lit(1), F.lit(1))).alias("days")),
     """SELECT season, week, home_team, CAST(date_diff('day', make_date(season, 1, 1),
          CAST(gameday AS DATE)) AS INTEGER) AS days FROM schedules""")
-add("f10_null_test_cast", lambda d: d.plays.groupBy("season", "week").agg(
+add("f10_null_test_cast", lambda d: d.box_plays.groupBy("season", "week").agg(
     F.sum(c("yards_gained").isNull().cast("int")).alias("unknown_yards")),
     """SELECT season, week, CAST(sum(CAST(yards_gained IS NULL AS INTEGER)) AS BIGINT)
          AS unknown_yards FROM plays GROUP BY ALL""")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from weekcast import schema
 from weekcast.functions import scoring as S
 from weekcast.operators import aggregates as A
-from weekcast.operators.joins import merge_outer
 
 GRAIN = ["season", "week", "player_id", "player_name"]
 
@@ -67,10 +66,25 @@ def receiver_box(plays: DataFrame) -> DataFrame:
 def box_score(plays: DataFrame) -> DataFrame:
     """Merged box score of all roles with fantasy points, NULL ids kept.
 
-    The role rows themselves are merged, so the sums of all three roles share
-    one map-side combine and one shuffle.
+    Each play is expanded to the roles it counts for, so all roles share one scan, one
+    map-side combine and one shuffle.
     """
-    merged = merge_outer([_passes(plays), _rushes(plays), _targets(plays)], GRAIN)
+    passing, rushing = F.col("play_type") == "pass", F.col("play_type") == "run"
+    roles = [("passer", passing, _PASSING), ("rusher", rushing, _RUSHING),
+             ("receiver", passing & F.col("receiver_player_id").isNotNull(), _RECEIVING)]
+    names = [n for _, _, measures in roles for n in measures]
+    nothing = F.lit(None).cast("double")
+
+    def row(role: str, measures: dict[str, str]) -> Column:
+        return F.struct(
+            F.col(f"{role}_player_id").alias("player_id"),
+            F.col(f"{role}_player_name").alias("player_name"),
+            *[(F.col(measures[n]) if n in measures else nothing).alias(n) for n in names])
+
+    rows = plays.select("season", "week", F.inline(F.array_compact(F.array(*[
+        F.when(counts, row(role, measures)) for role, counts, measures in roles]))))
+    merged = rows.groupBy(*GRAIN).agg(
+        *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in names])
     return merged.select(*GRAIN, *schema.BOX_COLUMNS, S.ppr_points().alias(schema.TARGET))
 
 
