@@ -15,6 +15,7 @@ from weekcast.plans import evaluation as E
 from weekcast.plans import features as FT
 from weekcast.plans import insight as I
 from weekcast.plans import serving as Q
+from weekcast.plans.weekly import weekly_run
 from weekcast.session import new_path
 from weekcast.sources import sinks, tables
 
@@ -377,6 +378,24 @@ def _insights_written(d: Domain):
         "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
 
 
+def _weekly_run(d: Domain):
+    """Gold ends a week before the history: the slate in it is kept and told."""
+    path = new_path(d.spark, "weekly")
+    sinks.rebuild(I.without_insights(d.predictions), path)
+    newest = Q.in_latest_slice(d.gold).select("season", "week").distinct()
+    earlier = d.gold.join(F.broadcast(newest), ["season", "week"], "left_anti")   # one row
+    return weekly_run(earlier, path, told=20).select(
+        "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
+
+
+add("i5_weekly_run", _weekly_run, f"""
+    SELECT player_id, season, week, projected_ppr,
+      CASE WHEN place <= 20 THEN {TEMPLATE} END AS insight,
+      CASE WHEN place <= 20 THEN 'offline_template' END AS insight_source
+    FROM (SELECT *, row_number() OVER (ORDER BY projected_ppr DESC NULLS LAST, player_id) AS place
+          FROM latest_slate)""", "projected_ppr")
+
+
 add("i4_attach_insights", _insights_written, f"""
     SELECT player_id, season, week, projected_ppr,
       CASE WHEN actual_ppr IS NULL THEN {TEMPLATE} END AS insight,
