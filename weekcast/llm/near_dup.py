@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -275,10 +275,27 @@ def labelled(members: DataFrame, groups: DataFrame, name: str) -> DataFrame:
         .select(*rest, F.coalesce("root", "text").alias("root")), name)
 
 
+def enough(common: Column, sizes: Column, threshold: float) -> Column:
+    """Whether texts of these sizes in sum can be similar with so many common units: c of
+    them make c / (x + y - c)."""
+    return common * (1 + threshold) >= F.lit(threshold - 1e-9) * sizes
+
+
+def possible(pairs: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose bounds allow them to be similar."""
+    side = lambda x: bounds.select(
+        F.col("text").alias(x), F.col("size").alias(f"{x}_size"),
+        F.col("shared").alias(f"{x}_shared"))
+    return (pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+            .join(side("x"), "x").join(side("y"), "y")
+            .where(enough(F.least("x_shared", "y_shared"), F.col("x_size") + F.col("y_size"),
+                          threshold))
+            .select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def across_groups(label: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of members of a bucket that are in different groups and have enough
-    shared units to be similar: c common ones of x and y make c / (x + y - c)."""
-    enough = lambda c, sizes: c * (1 + threshold) >= F.lit(threshold - 1e-9) * sizes
+    shared units to be similar."""
     roots = label.groupBy("band", "key", "root").agg(
         F.min("size").alias("least"), F.max("shared").alias("most"))
     side = lambda root, x: label.select(
@@ -287,11 +304,13 @@ def across_groups(label: DataFrame, threshold: float) -> DataFrame:
     high = roots.withColumnsRenamed({"root": "high", "least": "least_y", "most": "most_y"})
     both = (roots.withColumnRenamed("root", "low").join(high, ["band", "key"])
             .where(F.col("low") < F.col("high"))
-            .where(enough(F.least("most", "most_y"), F.col("least") + F.col("least_y"))))
+            .where(enough(F.least("most", "most_y"), F.col("least") + F.col("least_y"), threshold)))
     return (both.join(side("low", "x"), ["band", "key", "low"])
-            .where(enough(F.least("x_shared", "most_y"), F.col("x_size") + F.col("least_y")))
+            .where(enough(F.least("x_shared", "most_y"), F.col("x_size") + F.col("least_y"),
+                          threshold))
             .join(side("high", "y"), ["band", "key", "high"])
-            .where(enough(F.least("x_shared", "y_shared"), F.col("x_size") + F.col("y_size")))
+            .where(enough(F.least("x_shared", "y_shared"), F.col("x_size") + F.col("y_size"),
+                          threshold))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
@@ -358,10 +377,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
                   .distinct())
     wide = write_stage(wide_bands_of(hashes.join(open_texts, "row")), "wide-bands")
     wide = with_bounds(wide).where(F.col("shared") >= F.lit(threshold - 1e-9) * F.col("size"))
-    members = buckets(write_stage(wide, "wide-texts"), "wide-members", "size", "shared")
+    wide = write_stage(wide, "wide-texts")
+    members = buckets(wide, "wide-members", "size", "shared")
     root = lambda c: groups.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
     more = write_stage(
-        stars(members).join(star, ["a", "b"], "left_anti")
+        possible(stars(members), wide, threshold).join(star, ["a", "b"], "left_anti")
         .join(root("a"), "a", "left").join(root("b"), "b", "left")
         .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "more-stars")
     links = write_stage(links.unionByName(verified(more, hashes, threshold)), "more-links")
