@@ -153,8 +153,9 @@ def scan(docs: DataFrame, notices: list[tuple[str, str]] = NOTICES,
 
     # any match holds one of these words
     some = "|".join(re.escape(w) for w in hitting_words(parts)) or "(?!)"
+    inside = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
     base = (docs.select(row_number().alias("row"), "doc_id", "text")
-            .where(F.col("text").rlike(f"(?i)(?:{some})"))
+            .where(F.col("text").rlike(f"(?<!{inside})(?i:{some})(?!{inside})"))
             .select("row", "doc_id", words(F.col("text")).alias("tokens")))
     if not lengths:
         base = base.where(F.lit(False))
