@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from checks.suite import GOLD_DOUBLES, PREDICTION_DOUBLES, Domain, add
@@ -23,8 +21,8 @@ from weekcast.sources import sinks, tables
 
 c = F.col
 SEASON = 2001
-# A short schedule of rounds; the full protocol is the default of the functions.
-QUICK = replace(E.Params(), rounds=4, patience=2)
+# The first test week; the last one is the last week of the data.
+TESTED = (9, None)
 KEY = "player_id, player_name, season, week"
 
 # --- splits -------------------------------------------------------------------
@@ -51,7 +49,7 @@ add("m4_slate_split", lambda d: _split(d, E.slate_split(SEASON)), f"""
 
 
 def _frame(d: Domain):
-    return E.training_frame(d.gold)
+    return E.stored_frame(E.training_frame(d.gold))
 
 
 def _parts(frame, split):
@@ -67,7 +65,7 @@ def _results(fitted: E.Fitted, rows):
 
 def _static(d: Domain):
     part = _parts(_frame(d), E.static_split(SEASON, 6))
-    return E.fit(part("train"), E.feature_names(), replace(E.BASELINE, rounds=4)), part("test")
+    return E.fit(part("train"), E.feature_names(), E.BASELINE), part("test")
 
 
 add("m5_boosted_baseline", lambda d: _results(*_static(d)))
@@ -75,7 +73,7 @@ add("m5_boosted_baseline", lambda d: _results(*_static(d)))
 
 def _early(d: Domain):
     part = _parts(_frame(d), E.cold_start_split(SEASON))
-    return E.fit(part("train"), E.feature_names(), QUICK, part("val")), part("test")
+    return E.fit(part("train"), E.feature_names(), E.Params(), part("val")), part("test")
 
 
 add("m6_early_stopping", lambda d: _results(*_early(d)))
@@ -97,13 +95,13 @@ add("m7_feature_groups", _feature_groups, """
 
 
 def _global_walk(d: Domain):
-    return E.walk_forward(_frame(d), E.feature_names(), QUICK, weeks=(9, 10))
+    return E.walk_forward(E.training_frame(d.gold), E.feature_names(), E.Params(), weeks=TESTED)
 
 
 add("m8_walk_forward_global", _global_walk)
-add("m8_walk_forward_positions", lambda d: E.per_position(_frame(d), QUICK, weeks=(10, 10)))
-add("m9_grid_tuning", lambda d: E.tune(
-    _frame(d), [replace(p, rounds=2, patience=1) for p in E.GRID[:2]], weeks=(6, 6)))
+add("m8_walk_forward_positions", lambda d: E.per_position(
+    E.training_frame(d.gold), E.Params(), weeks=TESTED))
+add("m9_grid_tuning", lambda d: E.tune(E.training_frame(d.gold), E.GRID, weeks=E.TUNE_WEEKS))
 for _name, _make, _sql in [
         ("form", E.naive_form, "fantasy_points_3wk_avg"),
         ("last_season", E.naive_previous_season, "greatest(prev_season_ppg, 0)")]:
@@ -127,7 +125,7 @@ add("m11_naive_comparison", lambda d: E.compare({
 
 def _head_to_head(d: Domain):
     learned = _results(*_early(d))
-    rows = _parts(_frame(d), E.cold_start_split(SEASON))("test")
+    rows = _parts(E.training_frame(d.gold), E.cold_start_split(SEASON))("test")
     return E.compare({"form": E.naive_form(rows), "model": learned})
 
 
@@ -140,7 +138,7 @@ add("m13_forward_slate", lambda d: A.latest_slice(d.predictions).withColumn(
       > (SELECT count(*) FROM gold g JOIN last_slices s
         ON g.season = s.season AND g.week = s.week AND age = 1) AS INTEGER) AS forward
     FROM last_slices WHERE age = 1""")
-add("m14_predict_latest", lambda d: E.predict_latest(d.gold, QUICK))
+add("m14_predict_latest", lambda d: E.predict_latest(d.gold, E.Params()))
 
 
 def _prediction_rows(d: Domain):
@@ -287,8 +285,9 @@ add("g10_slate_output", _slate_written, f"""
 
 
 def _slate_model(d: Domain):
-    part = _parts(E.training_frame(SL.before(d.gold, SEASON, 2)), E.slate_split(SEASON))
-    fitted = E.fit(part("train"), E.feature_names(), QUICK, part("val"))
+    part = _parts(E.stored_frame(E.training_frame(SL.before(d.gold, SEASON, 2))),
+                  E.slate_split(SEASON))
+    fitted = E.fit(part("train"), E.feature_names(), E.Params(), part("val"))
     slate = E.one_hot(_slate(d))
     names = [n for n in E.feature_names() if n not in ("season", "week")]
     kept = [x for x in slate.columns if x not in names]

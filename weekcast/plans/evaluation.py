@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from itertools import product
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +18,7 @@ from weekcast import schema
 from weekcast.functions import scoring as S
 from weekcast.operators import aggregates as A
 from weekcast.operators.joins import same_rows
+from weekcast.session import stage
 from weekcast.sources.tables import fantasy_weeks
 
 ROW_KEY = ["player_id", "player_name", "season", "week"]
@@ -25,6 +26,7 @@ TARGET = schema.TARGET
 MIN_TRAIN_ROWS = 50
 TUNE_WEEKS, TEST_WEEKS = (5, 10), (11, 17)
 TRAIN_MAX_WEEK = 10
+FIRST_ROUNDS = 64                  # before the early stop is looked for
 
 
 # --------------------------------------------------------------------------
@@ -184,36 +186,70 @@ def best_round(errors: Sequence[float], patience: int) -> int:
     return best
 
 
+def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
+    """The model cut after ``rounds`` rounds, without fitting it again."""
+    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(ml.DecisionTreeRegressionModel, rounds)
+    weights = gateway.new_array(gateway.jvm.double, rounds)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:rounds], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    cut = ml.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
+    return GBTRegressionModel(cut)
+
+
 def fit(train: DataFrame, features: Sequence[str], params: Params = Params(),
         val: DataFrame | None = None) -> Fitted:
     """Boosted trees; with ``val``, keep the rounds up to the early stop.
 
-    Boosting is sequential with a fixed seed, so a refit with fewer rounds is
-    the same model cut at that round.
+    Boosting is sequential with a fixed seed, so a fit of fewer rounds is the same
+    model cut at that round. With ``val`` the number of rounds is doubled from
+    ``FIRST_ROUNDS`` until the patience rule has fired or ``params.rounds`` are done;
+    the outcome is that of ``params.rounds`` at once.
     """
     rows = _assemble(train, features).select("features", TARGET)
-    model = _regressor(params, params.rounds).fit(rows)
     if val is None:
-        return Fitted(model, list(features), params.rounds - 1)
-    errors = model.evaluateEachIteration(_assemble(val, features), "squared")
-    best = best_round(errors, params.patience)
-    if best + 1 < len(errors):
-        model = _regressor(params, best + 1).fit(rows)
-    return Fitted(model, list(features), best)
+        return Fitted(_regressor(params, params.rounds).fit(rows), list(features),
+                      params.rounds - 1)
+    held = _assemble(val, features)
+    rounds = min(max(FIRST_ROUNDS, params.patience + 1), params.rounds)
+    while True:
+        model = _regressor(params, rounds).fit(rows)
+        errors = model.evaluateEachIteration(held, "squared")
+        best = best_round(errors, params.patience)
+        if rounds == params.rounds or len(errors) - 1 - best >= params.patience:
+            break
+        rounds = min(2 * rounds, params.rounds)
+    return Fitted(first_rounds(model, best + 1), list(features), best)
+
+
+def stored_frame(frame: DataFrame) -> DataFrame:
+    """The frame written once, in as few files as its size asks for: every fit scans it
+    again for each level of each tree."""
+    return stage(frame.hint("rebalance"), "frame")
 
 
 def walk_forward(frame: DataFrame, features: Sequence[str], params: Params = Params(),
-                 weeks: tuple[int, int] = TEST_WEEKS, parallel: int = 2) -> DataFrame:
+                 weeks: tuple[int, int | None] = TEST_WEEKS, parallel: int = 2) -> DataFrame:
     """Out-of-sample predictions of every test week of the latest season.
 
+    ``weeks`` are the first and the last test week; None as the last one means the
+    last week that the season has.
+
     One small count per (season, week) decides which folds exist; the folds
     are independent jobs submitted from a few driver threads.
     """
+    return _walk(stored_frame(frame), features, params, weeks, parallel)
+
+
+def _walk(frame: DataFrame, features: Sequence[str], params: Params,
+          weeks: tuple[int, int | None], parallel: int) -> DataFrame:
     sizes = {(r["season"], r["week"]): r["n"] for r in frame.groupBy("season", "week").agg(
         F.count(F.lit(1)).alias("n")).collect()}
     season = max(s for s, _ in sizes)
+    last = max(w for s, w in sizes if s == season) if weeks[1] is None else weeks[1]
     folds = []
-    for w in range(weeks[0], weeks[1] + 1):
+    for w in range(weeks[0], last + 1):
         train_rows = sum(n for (s, k), n in sizes.items() if s != season or k <= w - 2)
         if (season, w) in sizes and (season, w - 1) in sizes and train_rows >= MIN_TRAIN_ROWS:
             folds.append(w)
@@ -238,22 +274,22 @@ def walk_forward(frame: DataFrame, features: Sequence[str], params: Params = Par
 
 
 def per_position(frame: DataFrame, params: Params = Params(),
-                 weeks: tuple[int, int] = TEST_WEEKS, parallel: int = 2) -> DataFrame:
+                 weeks: tuple[int, int | None] = TEST_WEEKS, parallel: int = 2) -> DataFrame:
     """One model per position on its own rows and feature group."""
-    out = None
+    frame, out = stored_frame(frame), None
     for position, extra in schema.POSITION_FEATURES.items():
         rows = frame.where(F.col("position") == position)
-        part = walk_forward(rows, schema.SHARED_FEATURES + extra, params, weeks, parallel)
+        part = _walk(rows, schema.SHARED_FEATURES + extra, params, weeks, parallel)
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def tune(frame: DataFrame, grid: Sequence[Params] = tuple(GRID),
-         weeks: tuple[int, int] = TUNE_WEEKS, parallel: int = 2) -> DataFrame:
+         weeks: tuple[int, int | None] = TUNE_WEEKS, parallel: int = 2) -> DataFrame:
     """Walk-forward MAE of each setting on the tuning weeks, best first."""
-    rows = []
+    frame, rows = stored_frame(frame), []
     for p in grid:
-        scored = walk_forward(frame, feature_names(), p, weeks, parallel)
+        scored = _walk(frame, feature_names(), p, weeks, parallel)
         mae = A.mean_absolute_error(scored, "actual", "predicted").first()["mae"]
         rows.append({**asdict(p), "tune_mae": round(mae, 3)})
     keys = list(rows[0])
@@ -271,7 +307,7 @@ def predict_latest(gold: DataFrame, params: Params = Params()) -> DataFrame:
     """Project the newest completed week from everything known before it."""
     rows = fantasy_weeks(gold)
     newest = A.latest_slice(rows.select("season", "week")).first()
-    frame = training_frame(gold).withColumn(
+    frame = stored_frame(training_frame(gold)).withColumn(
         "split", walk_forward_split(newest["season"], newest["week"]))
     pick = lambda name: frame.where(F.col("split") == name)
     fitted = fit(pick("train"), feature_names(), params, pick("val"))
