@@ -58,19 +58,37 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+ROW = "__row"
+
+
 def row_number() -> Column:
-    """A number for every row of a stored table, the same in every scan of it.
+    """A number for every row of one scan.
 
-    Rows may repeat and ids may be null, so rows are told apart by their place.
-    The frame must be a plain scan (a file keeps its order), not a shuffle.
+    Rows may repeat and ids may be null, so rows are told apart by their place. Another
+    scan of the same table may be split otherwise and give other numbers: results that
+    are joined by number take it from ``numbered``.
     """
     return F.monotonically_increasing_id()
 
 
-def write_stage(df: DataFrame, name: str) -> DataFrame:
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` (default: all) of ``docs`` and their number, written once, so that all
+    scans see the same. A frame that has the number already is returned as it is."""
+    if ROW in docs.columns:
+        return docs
+    return write_stage(docs.select(row_number().alias(ROW), *(columns or docs.columns)),
+                       "numbered", compression="zstd")
+
+
+def row_of(docs: DataFrame) -> Column:
+    """The stored number if there is one; else one that holds for a single scan."""
+    return F.col(ROW) if ROW in docs.columns else row_number()
+
+
+def write_stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     path = new_path(df.sparkSession, f"llm/{name}")
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

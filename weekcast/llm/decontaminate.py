@@ -17,7 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import broadcast_if, let, row_number, words, write_stage
+from weekcast.llm.common import (
+    ROW, broadcast_if, let, numbered, row_of, words, write_stage)
 
 SPAN = 10
 GRAM = 5
@@ -84,12 +85,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     once. Rows of ``docs`` may repeat and their ids may be null: each row is judged.
     Other columns are not read. With an empty table nothing is hit.
     """
+    docs = numbered(docs, "doc_id", "text")
     item = benchmark.select(F.col("item_id").cast("string").alias("item"),
                             words(F.col("text")).alias("words")).where("size(words) > 0")
     items = write_stage(item, "items")
     lengths = sorted(r[0] for r in items.select(
         F.least(F.size("words"), F.lit(span)).alias("n")).distinct().collect())  # span at most
-    base = docs.select(row_number().alias("row"), "doc_id", words(F.col("text")).alias("words"))
+    base = docs.select(row_of(docs).alias("row"), "doc_id", words(F.col("text")).alias("words"))
     of_length = lambda n: items.where(F.size("words") >= span if n == span
                                       else F.size("words") == n)
 
@@ -103,7 +105,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
         found.append(base.select("row", F.explode(
             fingerprints(F.col("words"), n, gram)).alias("print"))
             .join(side, "print").select("row", F.lit(n).alias("n"), "print"))
-    counted = docs.select(row_number().alias("row"), "doc_id",
+    counted = docs.select(row_of(docs).alias("row"), "doc_id",
                           F.size(words(F.col("text"))).cast("long").alias("n_words"))
     nothing = counted.select(
         "row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"),
@@ -150,7 +152,8 @@ def _finish(judged: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
+    docs = numbered(docs)
     hit = contamination(docs, benchmark, **options).where("contaminated").select(
-        F.col("row").alias("__row"))
-    return (docs.withColumn("__row", row_number()).join(hit, "__row", "left_anti")
-            .drop("__row"))
+        F.col("row").alias(ROW))
+    return (docs.join(hit, ROW, "left_anti")
+            .drop(ROW))

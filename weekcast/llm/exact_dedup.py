@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.llm.common import lower_ascii, row_number, ship_code, whole_text, write_stage
+from weekcast.llm.common import (
+    ROW, lower_ascii, numbered, row_of, ship_code, whole_text, write_stage)
 
 BLOCK_BYTES = 4096
 
@@ -94,7 +95,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, sha (hex SHA-256 of the normalised
     text), level and name. Rows with equal (level, name) have equal texts."""
     ship_code(docs.sparkSession)
-    text = docs.select(row_number().alias("row"), "doc_id",
+    text = docs.select(row_of(docs).alias("row"), "doc_id",
                        lower_ascii(whole_text()).cast("binary").alias("bytes"))
     size = F.octet_length("bytes")
     blocks = F.greatest(F.lit(1), F.ceil(size / block_bytes)).cast("int")
@@ -156,7 +157,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
 
 def drop_exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = numbered(docs)
     gone = exact_duplicates(docs, block_bytes).where("NOT kept").select(
-        F.col("row").alias("__row"))
-    return (docs.withColumn("__row", row_number()).join(gone, "__row", "left_anti")
-            .drop("__row"))
+        F.col("row").alias(ROW))
+    return (docs.join(gone, ROW, "left_anti")
+            .drop(ROW))

@@ -27,7 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.llm.common import LOWER, UPPER, row_number, ship_code, write_stage
+from weekcast.llm.common import (
+    LOWER, ROW, UPPER, numbered, row_of, ship_code, write_stage)
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -174,7 +175,7 @@ def bands_of(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
                     names=["row", "doc_id", "sets", "keys"])
 
     ship_code(docs.sparkSession)
-    return docs.select(row_number().alias("row"), "doc_id", "text").mapInArrow(
+    return docs.select(row_of(docs).alias("row"), "doc_id", "text").mapInArrow(
         run, T.StructType([T.StructField("row", T.LongType(), False), docs.schema["doc_id"],
                            T.StructField("sets", T.BinaryType()),
                            T.StructField("keys", T.ArrayType(T.LongType()))]))
@@ -354,6 +355,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     largest doc_id stays, and of rows that repeat it the first; a null id counts as
     smaller than any other. Other columns are not read. An empty table gives no rows.
     """
+    docs = numbered(docs, "doc_id", "text")
     signed = write_stage(bands_of(docs, bands, rows), "signatures")
     # rows with the same shingles: the first stands for all
     same = write_stage(signed.groupBy("sets").agg(
@@ -363,7 +365,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     members = buckets(signed.where("row = text").select("text", "keys"), "members")
     in_bucket = members.select(F.col("text").alias("row")).distinct()
     hashes = write_stage(hashes_of(
-        docs.select(row_number().alias("row"), "text").join(in_bucket, "row")), "hashes")
+        docs.select(row_of(docs).alias("row"), "text").join(in_bucket, "row")), "hashes")
     star = write_stage(stars(members), "stars")
     links = write_stage(verified(star, hashes, threshold), "links")
     groups = components(links)
@@ -409,7 +411,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, with all their columns."""
+    docs = numbered(docs)
     gone = near_duplicates(docs, **options).where("NOT kept").select(
-        F.col("row").alias("__row"))
-    return (docs.withColumn("__row", row_number()).join(gone, "__row", "left_anti")
-            .drop("__row"))
+        F.col("row").alias(ROW))
+    return (docs.join(gone, ROW, "left_anti")
+            .drop(ROW))

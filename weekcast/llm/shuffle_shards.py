@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import row_number
+from weekcast.llm.common import ROW, numbered
 from weekcast.session import new_path
 
 BUCKET_BYTES = 16 << 20
@@ -44,8 +44,9 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 17,
     buckets = max(1, math.ceil(size / bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(buckets)).cast("int")
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    placed = docs.select(row_number().alias("row"), F.struct(*kept).alias("record"))
-    offsets = (docs.select(row_number().alias("row")).groupBy(bucket.alias("bucket")).count()
+    docs = numbered(docs, *kept)
+    placed = docs.select(F.col(ROW).alias("row"), F.struct(*kept).alias("record"))
+    offsets = (docs.select(F.col(ROW).alias("row")).groupBy(bucket.alias("bucket")).count()
                .select("bucket", (F.sum("count").over(Window.orderBy("bucket"))
                                   - F.col("count")).alias("offset")))
     shuffled = (

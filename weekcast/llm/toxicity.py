@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.llm.common import row_number, ship_code
+from weekcast.llm.common import ROW, numbered, row_of, ship_code
 from weekcast.llm.learned import examples, logistic, remainder
 
 FIT_ROWS = 4000                   # labelled rows of each label that the fit reads at most
@@ -203,7 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     names=["row", "doc_id", "score"])
 
     ship_code(docs.sparkSession)
-    scored = docs.select(row_number().alias("row"), "doc_id", "text").mapInArrow(
+    scored = docs.select(row_of(docs).alias("row"), "doc_id", "text").mapInArrow(
         run, T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"],
                            T.StructField("score", T.DoubleType())]))
     return scored.select("row", "doc_id", (remainder(3) == 1).alias("held_out"), "score",
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    gone = score(docs, model).where("predicted = 1").select(F.col("row").alias("__row"))
-    return (docs.withColumn("__row", row_number()).join(gone, "__row", "left_anti")
-            .drop("__row"))
+    docs = numbered(docs)
+    gone = score(docs, model).where("predicted = 1").select(F.col("row").alias(ROW))
+    return (docs.join(gone, ROW, "left_anti")
+            .drop(ROW))
