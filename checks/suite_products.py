@@ -421,11 +421,7 @@ add("v2_slate_insights", lambda d: V.slate_insights(d.predictions), f"""
     FROM {_SHOWN} WHERE length(trim(insight)) > 0""", "projected_ppr")
 
 
-def _played(d: Domain):
-    return d.predictions.where(c("actual_ppr").isNotNull())
-
-
-add("v3_results", lambda d: V.results(_played(d)), f"""
+add("v3_results", lambda d: V.results(d.predictions), f"""
     SELECT season, week, CAST(row_number() OVER (PARTITION BY season, week
         ORDER BY actual_ppr DESC, player_id) AS INTEGER) AS rank,
       player_id, player_name, position, recent_team, {_MATCHUP}, actual_ppr,

@@ -140,3 +140,14 @@ def test_serving_conversion(spark):
     row = df.select(*S.serving_columns(df)).first()
     assert row == (2025, 3, 14.2, None)
     assert isinstance(row.season, int) and isinstance(row.projected_ppr, float)
+
+
+def test_results_pass_over_an_unplayed_slice(spark, predictions):
+    """The newest slice has no scores yet: the one before it is shown."""
+    rows = [("a", "Alpha", "QB", "KC", "BUF", 2025, 3, 22.0, None)]
+    ahead = conform(spark.createDataFrame(
+        rows, "player_id string, player_name string, position string, recent_team string, "
+        "opponent string, season int, week int, projected_ppr double, actual_ppr double"),
+        schema.PREDICTIONS)
+    shown = V.results(predictions.unionByName(ahead)).collect()
+    assert shown == V.results(predictions).collect() and {r.week for r in shown} == {2}

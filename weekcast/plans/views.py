@@ -95,8 +95,9 @@ def slate_insights(predictions: DataFrame) -> DataFrame:
 
 
 def results(predictions: DataFrame) -> DataFrame:
-    """Leaderboard of played games by actual score, numbered within each slice."""
-    scored = A.ranked(prediction_rows(predictions).where(F.col("actual_ppr").isNotNull()),
+    """Leaderboard of the newest slice with played games, by actual score; a newer slice
+    that nobody has played yet is passed over."""
+    scored = A.ranked(prediction_rows(predictions.where(F.col("actual_ppr").isNotNull())),
                       ["season", "week"], [F.desc("actual_ppr"), F.asc("player_id")])
     return scored.select(
         "season", "week", "rank", "player_id", "player_name", "position", "recent_team", L.matchup().alias("matchup"),
