@@ -378,13 +378,16 @@ def _insights_written(d: Domain):
         "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
 
 
+def _before_newest(d: Domain):
+    newest = Q.in_latest_slice(d.gold).select("season", "week").distinct()
+    return d.gold.join(F.broadcast(newest), ["season", "week"], "left_anti")      # one row
+
+
 def _weekly_run(d: Domain):
     """Gold ends a week before the history: the slate in it is kept and told."""
     path = new_path(d.spark, "weekly")
     sinks.rebuild(I.without_insights(d.predictions), path)
-    newest = Q.in_latest_slice(d.gold).select("season", "week").distinct()
-    earlier = d.gold.join(F.broadcast(newest), ["season", "week"], "left_anti")   # one row
-    return weekly_run(earlier, path, told=20).select(
+    return weekly_run(_before_newest(d), path, told=20).select(
         "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
 
 
@@ -396,6 +399,33 @@ add("i5_weekly_run", _weekly_run, f"""
           FROM latest_slate)""", "projected_ppr")
 
 
+def _weekly_run_all(d: Domain):
+    """The same branch with text for every row."""
+    path = new_path(d.spark, "weekly")
+    sinks.rebuild(I.without_insights(d.predictions), path)
+    return weekly_run(_before_newest(d), path).select(
+        "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
+
+
+add("i5_weekly_run_all", _weekly_run_all, f"""
+    SELECT player_id, season, week, projected_ppr, {TEMPLATE} AS insight,
+      'offline_template' AS insight_source FROM latest_slate""", "projected_ppr")
+
+
+def _weekly_run_trained(d: Domain):
+    """The history ends a week before gold: the newest week is projected, written, told."""
+    path = new_path(d.spark, "weekly")
+    newest = Q.in_latest_slice(d.gold).select("season", "week").distinct()
+    sinks.rebuild(I.without_insights(d.predictions.join(
+        F.broadcast(newest), ["season", "week"], "left_anti")), path)                # one row
+    return weekly_run(d.gold, path).select(
+        "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
+
+
+# learned output: no SQL
+add("i5_weekly_run_trained", _weekly_run_trained)
+
+
 add("i4_attach_insights", _insights_written, f"""
     SELECT player_id, season, week, projected_ppr,
       CASE WHEN actual_ppr IS NULL THEN {TEMPLATE} END AS insight,

@@ -30,3 +30,26 @@ def test_trains_when_gold_is_ahead_and_keeps_a_forward_slate(spark, league):
     assert [r.projected_ppr for r in again] == scores
     assert all(r.insight_source == "offline_template" for r in again)
     assert read_predictions(spark, path).count() == before + len(rows)
+
+
+def test_both_branches_are_registered_whole(spark, monkeypatch):
+    """No cut of the told rows and the default training settings."""
+    import __spark_entry__ as entry
+    from checks import suite_sources as P
+    seen = []
+    whole = P.weekly_run
+
+    def kept(*args, **named):
+        seen.append(named)
+        return whole(*args, **named)
+
+    monkeypatch.setattr(P, "weekly_run", kept)
+    folder = "/root/testdata/sf0.001"
+    rows = entry.queries()["i5_weekly_run_all"](spark, folder).collect()
+    assert rows and all(r.insight for r in rows) and seen == [{}]
+    monkeypatch.setattr(P, "weekly_run", lambda gold, path, **named:
+                        seen.append(named) or read_predictions(spark, path))
+    history = entry.queries()["i5_weekly_run_trained"](spark, folder)
+    assert seen[-1] == {}                       # all rows told, default settings
+    newest = lambda df: df.agg(F.max(F.struct("season", "week"))).first()[0]
+    assert newest(history) < newest(entry.queries()["q4_latest_predictions"](spark, folder))
