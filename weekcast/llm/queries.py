@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (
-    decontaminate, exact_dedup, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
+    decontaminate, divergence, exact_dedup, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
     toxicity, warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
@@ -153,3 +153,47 @@ FROM shared WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license"""
 
 
 ORACLE["op8_license_scan"] = _license_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, folder, "documents"))
+
+
+ORACLE["op12_source_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang,
+                  coalesce(source, '') AS source,
+                  regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                     '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+           FROM documents),
+occurs AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM occurs
+         GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+per_lang AS (SELECT lang, count(*) AS v, sum(n_lang) AS n_all FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n
+      FROM occurs SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+n_group AS (SELECT lang, source, sum(n) AS n_group FROM n GROUP BY ALL),
+full_counts AS (
+  SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+         1 + (1000000000 * (coalesce(n.n, 0) + 5)::HUGEINT)
+             // (coalesce(s.n_group, 0) + 5 * l.v)::HUGEINT AS p,
+         1 + (1000000000 * (k.n_lang + 5)::HUGEINT) // (l.n_all + 5 * l.v)::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN per_lang l USING (lang)
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+  LEFT JOIN n_group s ON s.lang = g.lang AND s.source = g.source),
+priced AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+           FROM full_counts a JOIN full_counts b USING (lang, term)
+           WHERE a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item,
+         CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups o ON o.lang = g.lang AND o.source <> g.source
+  LEFT JOIN priced p ON p.lang = g.lang AND p.source = g.source AND p.item = o.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM full_counts
+  WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
+                                             ORDER BY value DESC, item) AS INTEGER) AS rank
+           FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
