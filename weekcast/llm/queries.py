@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (
-    decontaminate, divergence, exact_dedup, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
+    decontaminate, divergence, exact_dedup, language, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
     toxicity, warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
@@ -197,3 +197,11 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part
                                              ORDER BY value DESC, item) AS INTEGER) AS rank
            FROM found)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+
+@query
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = language.fit(docs, ~language.held_out())
+    return language.languages(docs, model).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
