@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekcast.llm import (
-    decontaminate, divergence, exact_dedup, language, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
+    decontaminate, divergence, exact_dedup, hard_negatives, language, licenses, near_dup, packing, quality, shuffle_shards, token_shards,
     toxicity, warc)
 from weekcast.llm.common import UPPER, LOWER, read_table
 
@@ -205,3 +205,31 @@ def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs, ~language.held_out())
     return language.languages(docs, model).select(
         "doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, o.r, o.vec_id, a.label = o.label AS same,
+                  CAST(list_dot_product(a.x, o.x) AS BIGINT) AS score
+           FROM v a JOIN v o ON a.r <> o.r WHERE a.vec_id % 50 = 0),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (
+              PARTITION BY anchor ORDER BY score DESC, vec_id, r) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id, n.r)
+            AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor = p.anchor AND NOT n.same
+ AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id, n.r) <= 3"""
