@@ -192,13 +192,15 @@ def plain_phrases(text: bytes, known: bytes) -> int:
 
 def test_phrases_are_longest_matches():
     r = random.Random(9)
-    for _ in range(60):
-        known = " " + "".join(r.choice("abc d") for _ in range(r.randint(1, 80)))
-        text = " " + "".join(r.choice("abc de") for _ in range(r.randint(0, 120)))
-        model = language.Model((("k", known.encode()),))
-        classes, by_lang = language.parsers(model)
-        got = by_lang["k"].phrases(text.encode().translate(classes))
-        assert got == plain_phrases(text.encode(), known.encode())
+    for _ in range(20):
+        known = [" " + "".join(r.choice("abc d") for _ in range(r.randint(1, 80))) for _ in "xyz"]
+        texts = ["".join(r.choice("abc de") for _ in range(r.randint(0, r.choice([3, 120, 5000]))))
+                 for _ in range(r.choice([1, 5, 40]))]
+        texts = [f" {t}".encode() if t else b"" for t in texts]
+        model = language.Model(tuple(zip("xyz", map(str.encode, known))))
+        by = language.parser(model)
+        got = by.phrases([t.translate(by.classes) for t in texts])
+        assert got.tolist() == [[plain_phrases(t, k.encode()) for k in known] for t in texts]
 
 
 def test_languages_are_told_apart(spark):
@@ -218,7 +220,7 @@ def test_languages_are_told_apart(spark):
     for text in (rows[5][1], rows[6][1]):
         letters = language.normal(text)
         cost = {lang: plain_phrases(letters, known) * np.log2(len(known)) for lang, known in model.texts}
-        assert language.identify(text, model)[0] == min(cost, key=cost.get)
+        assert language.identify([text], model)[0][0] == min(cost, key=cost.get)
 
 
 def test_fit_reads_allowed_rows_only(spark):
