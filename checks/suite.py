@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,17 @@ class Domain:
     def gold(self) -> DataFrame:
         return tables.read_gold(self.spark, self.gold_path)
 
+    def once(self, name: str, make: Callable[[], Any]) -> Any:
+        """What ``make`` gives, made once: fitted models are shared by the queries that show
+        and verify them."""
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
+
+    @cached_property
+    def made(self) -> dict[str, Any]:
+        return {}
+
     @cached_property
     def unfiltered_gold(self) -> DataFrame:
         """Gold before the starter filter, stored."""

@@ -449,15 +449,6 @@ add("a31_last_games_sum", lambda d: SL.last_games(d.gold, 2000, 4, "wopr"), f"""
     GROUP BY ALL""", "recent_sum")
 
 
-def _iterations(d: Domain):
-    folds = d.gold.select(c("week").alias("test_week"),
-                          (c("week") * 7 % 5).alias("best_iteration"))
-    return E.mean_best_iteration(folds)
-
-
-add("a32_mean_best_iteration", _iterations, """
-    SELECT avg(week * 7 % 5) AS mean_best_iteration FROM (SELECT DISTINCT week FROM gold)""",
-    "mean_best_iteration")
 add("a33_games_in_slate", lambda d: V.slate_teams(d.predictions).agg(
     F.floor(F.count(F.lit(1)) / 2 + 0.5).cast("int").alias("games")), """
     SELECT CAST(floor(count(*) / 2 + 0.5) AS INTEGER) AS games FROM (
@@ -646,15 +637,6 @@ add("l8_biggest_misses", lambda d: E.biggest_misses(E.naive_form(d.gold)), f"""
      ORDER BY round({_MISS}, 9), {_KEYS} LIMIT 5)""", "actual predicted miss")
 
 
-def _best_setting(d: Domain):
-    scored = d.gold.groupBy(c("season").alias("setting")).agg(F.round(F.avg(S.absolute_error(
-        "fantasy_points_ppr", "fantasy_points_3wk_avg")), 3).alias("tune_mae"))
-    return scored.orderBy("tune_mae", "setting").limit(1)
-
-
-add("l9_best_setting", _best_setting, f"""
-    SELECT season AS setting, round({_ERROR}, 3) AS tune_mae FROM gold GROUP BY season
-    ORDER BY 2, 1 LIMIT 1""", "tune_mae")
 add("l10_season_list", lambda d: d.gold.select("season").distinct().orderBy("season"),
     "SELECT DISTINCT season FROM gold")
 

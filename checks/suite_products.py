@@ -10,13 +10,16 @@ from checks.suite_operators import (
 from checks.tables_sql import TEMPLATE, blend
 from weekcast import schema
 from weekcast.operators import aggregates as A
+from weekcast.functions import scoring as S
+from weekcast.operators.joins import same_rows
+from weekcast.plans import boosting
 from weekcast.plans import context as C
 from weekcast.plans import evaluation as E
 from weekcast.plans import features as FT
 from weekcast.plans import serving as Q
 from weekcast.plans import slate as SL
 from weekcast.plans import views as V
-from weekcast.session import new_path
+from weekcast.session import new_path, stage
 from weekcast.sources import sinks, tables
 
 c = F.col
@@ -45,16 +48,13 @@ add("m4_slate_split", lambda d: _split(d, E.slate_split(SEASON)), f"""
     SELECT {KEY}, CASE WHEN season = 2000 AND week = 1 THEN 'val' ELSE 'train' END AS split
     FROM gold""")
 
-# --- models (learned output: no SQL) --------------------------------------------
+# --- models -------------------------------------------------------------------
+# Predictions are learned and have no SQL. Beside each such query stands one that SQL can
+# state: the same rows, and whether joins down the node table give the model's predictions.
 
 
 def _frame(d: Domain):
-    return E.stored_frame(E.training_frame(d.gold))
-
-
-def _parts(frame, split):
-    marked = frame.withColumn("split", split)
-    return lambda name: marked.where(c("split") == name)
+    return d.once("frame", lambda: E.stored_frame(E.training_frame(d.gold)))
 
 
 def _results(fitted: E.Fitted, rows):
@@ -63,20 +63,42 @@ def _results(fitted: E.Fitted, rows):
         c("week").alias("test_week"), F.lit(fitted.best_iteration).alias("best_iteration"))
 
 
-def _static(d: Domain):
-    part = _parts(_frame(d), E.static_split(SEASON, 6))
-    return E.fit(part("train"), E.feature_names(), E.BASELINE), part("test")
+def _agree(predicted, rows, model, models: dict[str, E.Fitted]):
+    """Row key, position, actual, test week and whether both ways of scoring agree."""
+    joined = boosting.score_by_joins(rows, E.ROW_KEY, model, models)
+    same = F.coalesce(F.abs(c("predicted") - c("prediction")) < 1e-9, F.lit(False))
+    return same_rows(predicted, joined, E.ROW_KEY).select(
+        *E.ROW_KEY, "position", "actual", "test_week", same.alias("agrees"))
 
 
-add("m5_boosted_baseline", lambda d: _results(*_static(d)))
+def _one_agrees(model):
+    def run(d: Domain):
+        fitted, rows = model(d)
+        return _agree(_results(fitted, rows), rows, F.lit("m"), {"m": fitted})
+    return run
+
+
+def _agree_sql(where: str) -> str:
+    return f"""SELECT {KEY}, position, fantasy_points_ppr AS actual, week AS test_week,
+      TRUE AS agrees FROM gold WHERE {where}"""
+
+
+def _fit(frame, split, params):
+    return E.fit(frame, split, E.feature_names(), params), frame.where(split == "test")
+
+
+def _static(d: Domain):
+    return d.once("static", lambda: _fit(_frame(d), E.static_split(SEASON, 6), E.BASELINE))
 
 
 def _early(d: Domain):
-    part = _parts(_frame(d), E.cold_start_split(SEASON))
-    return E.fit(part("train"), E.feature_names(), E.Params(), part("val")), part("test")
+    return d.once("early", lambda: _fit(_frame(d), E.cold_start_split(SEASON), E.Params()))
 
 
+add("m5_boosted_baseline", lambda d: _results(*_static(d)))
+add("m5_node_table", _one_agrees(_static), _agree_sql("season = 2001 AND week > 6"), "actual")
 add("m6_early_stopping", lambda d: _results(*_early(d)))
+add("m6_node_table", _one_agrees(_early), _agree_sql("season = 2001 AND week = 1"), "actual")
 
 
 def _feature_groups(d: Domain):
@@ -94,14 +116,100 @@ add("m7_feature_groups", _feature_groups, """
       WHEN 'WR' THEN 27 ELSE 26 END AS INTEGER) AS features FROM gold GROUP BY position""")
 
 
-def _global_walk(d: Domain):
-    return E.walk_forward(E.training_frame(d.gold), E.feature_names(), E.Params(), weeks=TESTED)
+def _walked(d: Domain, name: str, settings, weeks, groups=None):
+    """Models of every fold, and their stored results."""
+    def make():
+        models = E.walk_models(_frame(d), settings, weeks, groups)
+        return models, stage(E.walk_results(_frame(d), models), "walked")
+    return d.once(name, make)
 
 
-add("m8_walk_forward_global", _global_walk)
-add("m8_walk_forward_positions", lambda d: E.per_position(
-    E.training_frame(d.gold), E.Params(), weeks=TESTED))
-add("m9_grid_tuning", lambda d: E.tune(E.training_frame(d.gold), E.GRID, weeks=E.TUNE_WEEKS))
+def _global_walk(d: Domain):
+    return _walked(d, "global", {"": E.Params()}, TESTED)
+
+
+def _position_walk(d: Domain):
+    return _walked(d, "position", {"": E.Params()}, TESTED, E.position_features())
+
+
+def _tuning(d: Domain):
+    return _walked(d, "tuning", {str(i): p for i, p in enumerate(E.GRID)}, E.TUNE_WEEKS)
+
+
+def _walk_agrees(walk):
+    def run(d: Domain):
+        models, results = walk(d)
+        named = {"|".join(map(str, key)): m for key, ((_, m),) in models.items()}
+        apart = all(group for group, *_ in models)
+        of = F.concat_ws("|", c("position") if apart else F.lit(""), "season", "week")
+        return _agree(results, _frame(d), of, named)
+    return run
+
+
+# Weeks that have a week before to stop on.
+_TESTED_SQL = """season = 2001 AND week >= 9
+      AND week - 1 IN (SELECT week FROM gold WHERE season = 2001)"""
+add("m8_walk_forward_global", lambda d: _global_walk(d)[1].drop("setting"))
+add("m8_global_node_table", _walk_agrees(_global_walk), _agree_sql(_TESTED_SQL), "actual")
+add("m8_walk_forward_positions", lambda d: _position_walk(d)[1].drop("setting"))
+add("m8_positions_node_table", _walk_agrees(_position_walk), _agree_sql(
+    """season = 2001 AND week >= 9 AND position IN ('QB', 'RB', 'WR', 'TE')
+      AND (position, week - 1) IN (SELECT (position, week) FROM gold WHERE season = 2001)
+      AND (SELECT count(*) FROM gold o WHERE o.position = gold.position
+           AND (o.season <> 2001 OR o.week <= gold.week - 2)) >= 50"""), "actual")
+add("m9_grid_tuning", lambda d: E.tuned(_tuning(d)[1], E.GRID))
+
+
+def _grid_rows(d: Domain):
+    """What each setting was measured on."""
+    results = _tuning(d)[1]
+    counted = results.groupBy("setting").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("test_week").alias("folds"),
+        F.sum("actual").alias("points"))
+    rows = [(str(i), p.max_depth, p.learning_rate, p.min_child_weight)
+            for i, p in enumerate(E.GRID)]
+    return d.spark.createDataFrame(
+        rows, "setting string, max_depth int, learning_rate double, min_child_weight int").join(
+        counted, "setting").drop("setting")
+
+
+add("m9_grid_folds", _grid_rows, """
+    SELECT max_depth, learning_rate, min_child_weight, n, folds, points
+    FROM (SELECT unnest([3, 4, 6]) AS max_depth),
+      (SELECT unnest([0.03::DOUBLE, 0.05::DOUBLE]) AS learning_rate),
+      (SELECT unnest([1, 5]) AS min_child_weight),
+      (SELECT count(*) AS n, count(DISTINCT week) AS folds, sum(fantasy_points_ppr) AS points
+       FROM gold WHERE season = 2001 AND week BETWEEN 5 AND 10
+         AND week - 1 IN (SELECT week FROM gold WHERE season = 2001))""",
+    "learning_rate points")
+
+
+def _mean_round(d: Domain):
+    """The mean early stop of the folds, against a plain mean over the models."""
+    models, results = _global_walk(d)
+    rounds = [m.best_iteration for ((_, m),) in models.values()]
+    return E.mean_best_iteration(results).select(
+        F.lit(len(rounds)).alias("folds"),
+        (F.abs(c("mean_best_iteration") - sum(rounds) / len(rounds)) < 1e-9).alias("agrees"))
+
+
+def _best_setting(d: Domain):
+    """The chosen setting, and whether no setting has a smaller error."""
+    tuning = stage(E.tuned(_tuning(d)[1], E.GRID), "tuning")
+    best = E.best_params(tuning)
+    mine = F.min(F.when((c("max_depth") == best.max_depth)
+                        & (c("learning_rate") == best.learning_rate)
+                        & (c("min_child_weight") == best.min_child_weight), c("tune_mae")))
+    return tuning.agg(F.count(F.lit(1)).alias("settings"),
+                      (mine == F.min("tune_mae")).alias("least"))
+
+
+add("a32_mean_best_iteration", _mean_round, f"""
+    SELECT CAST(count(DISTINCT week) AS INTEGER) AS folds, TRUE AS agrees FROM gold
+    WHERE {_TESTED_SQL}""")
+add("l9_best_setting", _best_setting, """
+    SELECT count(*) AS settings, TRUE AS least
+    FROM (SELECT unnest(range(3 * 2 * 2))) WHERE (SELECT count(*) FROM gold) > 0""")
 for _name, _make, _sql in [
         ("form", E.naive_form, "fantasy_points_3wk_avg"),
         ("last_season", E.naive_previous_season, "greatest(prev_season_ppg, 0)")]:
@@ -123,14 +231,48 @@ add("m11_naive_comparison", lambda d: E.compare({
     "form last_season")
 
 
-def _head_to_head(d: Domain):
-    learned = _results(*_early(d))
-    rows = _parts(E.training_frame(d.gold), E.cold_start_split(SEASON))("test")
-    return E.compare({"form": E.naive_form(rows), "model": learned})
+def _three_models(d: Domain):
+    """Naive form, the global model and the models per position on the same test rows."""
+    return {"form": E.naive_form(_frame(d).where(c("season") == SEASON)),
+            "global_model": _global_walk(d)[1], "position_models": _position_walk(d)[1]}
+
+
+def _common_rows(d: Domain):
+    """Rows that all three predicted, and the naive error on them, per position and overall."""
+    models = _three_models(d)
+    common = models["form"].select(*E.ROW_KEY, "position", "actual", "predicted")
+    for name in ("global_model", "position_models"):
+        common = same_rows(common, models[name].select(*E.ROW_KEY), E.ROW_KEY)
+    measures = [F.count(F.lit(1)).alias("n"),
+                S.round_even(F.avg(S.absolute_error("actual", "predicted")), 2).alias("form")]
+    return common.groupBy("position").agg(*measures).unionByName(
+        common.agg(*measures).withColumn("position", F.lit("OVERALL")))
+
+
+add("m11_model_comparison", lambda d: E.compare(_three_models(d)))
+add("m11_common_rows", _common_rows, """
+    WITH tested AS (SELECT * FROM gold WHERE season = 2001 AND week >= 9
+        AND position IN ('QB', 'RB', 'WR', 'TE')
+        AND (position, week - 1) IN (SELECT (position, week) FROM gold WHERE season = 2001)
+        AND (SELECT count(*) FROM gold o WHERE o.position = gold.position
+             AND (o.season <> 2001 OR o.week <= gold.week - 2)) >= 50)
+    SELECT position, count(*) AS n, {0} AS form FROM tested GROUP BY position
+    UNION ALL SELECT 'OVERALL', count(*), {0} FROM tested""".format(
+        _ERR.format("fantasy_points_3wk_avg")), "form")
+add("m12_importance", lambda d: _static(d)[0].importance(d.spark, 10))
 
 
-add("m11_model_comparison", _head_to_head)
-add("m12_importance", lambda d: _static(d)[0].importance(d.spark, 10))
+def _importance_agrees(d: Domain):
+    fitted = _static(d)[0]
+    shown = fitted.importance(d.spark, len(fitted.features)).withColumnRenamed("importance", "told")
+    return boosting.gains_by_nodes(d.spark, fitted).join(shown, "feature").select(
+        "feature", (F.abs(c("importance") - c("told")) < 1e-9).alias("agrees"))
+
+
+add("m12_node_table", _importance_agrees, """
+    SELECT column_name AS feature, TRUE AS agrees FROM (
+      SELECT unnest([{}]) AS column_name) WHERE (SELECT count(*) FROM gold) > 0""".format(
+    ", ".join(f"'{f}'" for f in E.feature_names())))
 add("m13_forward_slate", lambda d: A.latest_slice(d.predictions).withColumn(
     "forward", F.lit(int(E.is_forward_slate(d.gold, d.predictions)))), """
     SELECT season, week, CAST((SELECT count(*) FROM predictions p JOIN last_slices s
@@ -138,7 +280,22 @@ add("m13_forward_slate", lambda d: A.latest_slice(d.predictions).withColumn(
       > (SELECT count(*) FROM gold g JOIN last_slices s
         ON g.season = s.season AND g.week = s.week AND age = 1) AS INTEGER) AS forward
     FROM last_slices WHERE age = 1""")
-add("m14_predict_latest", lambda d: E.predict_latest(d.gold, E.Params()))
+def _latest(d: Domain):
+    return d.once("latest", lambda: E.latest_model(d.gold, E.Params()))
+
+
+def _latest_rows(d: Domain):
+    fitted, rows = _latest(d)
+    return E.prediction_rows(Q.in_latest_slice(d.gold), fitted.predict(rows).select(
+        *E.ROW_KEY, "prediction"))
+
+
+add("m14_predict_latest", _latest_rows)
+add("m14_node_table", _one_agrees(_latest), f"""
+    SELECT {KEY.replace('season, week', 'g.season, g.week')}, position,
+      fantasy_points_ppr AS actual, g.week AS test_week, TRUE AS agrees
+    FROM gold g JOIN last_slices s ON g.season = s.season AND g.week = s.week AND age = 1""",
+    "actual")
 
 
 def _prediction_rows(d: Domain):
@@ -285,17 +442,35 @@ add("g10_slate_output", _slate_written, f"""
 
 
 def _slate_model(d: Domain):
-    part = _parts(E.stored_frame(E.training_frame(SL.before(d.gold, SEASON, 2))),
-                  E.slate_split(SEASON))
-    fitted = E.fit(part("train"), E.feature_names(), E.Params(), part("val"))
-    slate = E.one_hot(_slate(d))
+    """The slate as the model reads it, and the model."""
+    def make():
+        fitted = E.fit(E.stored_frame(E.training_frame(SL.before(d.gold, SEASON, 2))),
+                       E.slate_split(SEASON), E.feature_names(), E.Params())
+        slate = E.one_hot(_slate(d))
+        names = [n for n in E.feature_names() if n not in ("season", "week")]
+        kept = [x for x in slate.columns if x not in names]
+        return fitted, stage(slate.select(*kept, *E.align(slate, names)), "slate")
+    return d.once("slate", make)
+
+
+def _slate_scored(d: Domain):
+    fitted, slate = _slate_model(d)
     names = [n for n in E.feature_names() if n not in ("season", "week")]
-    kept = [x for x in slate.columns if x not in names]
-    return SL.slate_output(fitted.predict(slate.select(*kept, *E.align(slate, names))).drop(
-        "features", *[n for n in names if n not in SL.OUTPUT_CONTEXT]))
+    return SL.slate_output(fitted.predict(slate).drop(
+        *[n for n in names if n not in SL.OUTPUT_CONTEXT]))
+
+
+def _slate_agrees(d: Domain):
+    fitted, slate = _slate_model(d)
+    joined = boosting.score_by_joins(slate, E.ROW_KEY, F.lit("m"), {"m": fitted})
+    scored = fitted.predict(slate).select(*E.ROW_KEY, "position", c("prediction").alias("told"))
+    return same_rows(scored, joined, E.ROW_KEY).select(
+        *E.ROW_KEY, "position", (F.abs(c("told") - c("prediction")) < 1e-9).alias("agrees"))
 
 
-add("g10_slate_scored", _slate_model)
+add("g10_slate_scored", _slate_scored)
+add("g10_slate_node_table", _slate_agrees, f"""
+    SELECT {KEY}, position, TRUE AS agrees FROM ({SLATE_SQL})""")
 add("g10_slate_report", lambda d: SL.slate_report(_slate(d)), f"""
     SELECT s.position, count(*) AS players,
       CAST(sum(missing_vegas_lines) AS BIGINT) AS missing_lines,

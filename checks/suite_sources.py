@@ -383,24 +383,8 @@ def _before_newest(d: Domain):
     return d.gold.join(F.broadcast(newest), ["season", "week"], "left_anti")      # one row
 
 
-def _weekly_run(d: Domain):
-    """Gold ends a week before the history: the slate in it is kept and told."""
-    path = new_path(d.spark, "weekly")
-    sinks.rebuild(I.without_insights(d.predictions), path)
-    return weekly_run(_before_newest(d), path, told=20).select(
-        "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
-
-
-add("i5_weekly_run", _weekly_run, f"""
-    SELECT player_id, season, week, projected_ppr,
-      CASE WHEN place <= 20 THEN {TEMPLATE} END AS insight,
-      CASE WHEN place <= 20 THEN 'offline_template' END AS insight_source
-    FROM (SELECT *, row_number() OVER (ORDER BY projected_ppr DESC NULLS LAST, player_id) AS place
-          FROM latest_slate)""", "projected_ppr")
-
-
 def _weekly_run_all(d: Domain):
-    """The same branch with text for every row."""
+    """Gold ends a week before the history: the slate in it is kept, and every row told."""
     path = new_path(d.spark, "weekly")
     sinks.rebuild(I.without_insights(d.predictions), path)
     return weekly_run(_before_newest(d), path).select(
@@ -414,16 +398,24 @@ add("i5_weekly_run_all", _weekly_run_all, f"""
 
 def _weekly_run_trained(d: Domain):
     """The history ends a week before gold: the newest week is projected, written, told."""
-    path = new_path(d.spark, "weekly")
-    newest = Q.in_latest_slice(d.gold).select("season", "week").distinct()
-    sinks.rebuild(I.without_insights(d.predictions.join(
-        F.broadcast(newest), ["season", "week"], "left_anti")), path)                # one row
-    return weekly_run(d.gold, path).select(
+    def make():
+        path = new_path(d.spark, "weekly")
+        newest = Q.in_latest_slice(d.gold).select("season", "week").distinct()
+        sinks.rebuild(I.without_insights(d.predictions.join(
+            F.broadcast(newest), ["season", "week"], "left_anti")), path)            # one row
+        return weekly_run(d.gold, path)
+    return d.once("weekly", make).select(
         "player_id", "season", "week", "projected_ppr", "insight", "insight_source")
 
 
-# learned output: no SQL
+# learned projections: no SQL; what was written can be stated without them
 add("i5_weekly_run_trained", _weekly_run_trained)
+add("i5_trained_rows", lambda d: _weekly_run_trained(d).select(
+    "player_id", "season", "week", "insight_source", c("insight").isNotNull().alias("told"),
+    (c("projected_ppr") >= 0).alias("projected")), """
+    SELECT player_id, g.season, g.week, 'offline_template' AS insight_source, TRUE AS told,
+      TRUE AS projected
+    FROM gold g JOIN last_slices s ON g.season = s.season AND g.week = s.week AND age = 1""")
 
 
 add("i4_attach_insights", _insights_written, f"""

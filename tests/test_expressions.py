@@ -103,12 +103,6 @@ def test_generator_falls_back_per_row(spark):
     assert got["q"][0] == I.TEMPLATE_SOURCE and got["q"][1].startswith("Bad projects")
 
 
-@pytest.mark.parametrize("errors, patience, best", [
-    ([5, 4, 3, 4, 5], 2, 2), ([5, 4, 6, 6, 1], 2, 1), ([3, 2, 1], 5, 2), ([1, 1, 1], 1, 0)])
-def test_best_round(errors, patience, best):
-    assert E.best_round(errors, patience) == best
-
-
 def test_feature_groups():
     assert len(schema.SHARED_FEATURES) == 18
     assert {p: len(f) for p, f in schema.POSITION_FEATURES.items()} == {
@@ -138,7 +132,7 @@ def test_walk_forward_and_comparison(spark, league):
     from weekcast.plans.features import build_gold
     frame = E.training_frame(build_gold(league)).cache()
     params = replace(E.Params(), rounds=3, patience=1, max_depth=2)
-    results = E.walk_forward(frame, E.feature_names(), params, weeks=(4, 5)).cache()
+    results = E.walk_forward(frame, params, weeks=(4, 5)).cache()
     assert {r.test_week for r in results.select("test_week").distinct().collect()} == {4, 5}
     tests = frame.where("season = 2025 AND week IN (4, 5)")
     assert results.count() == tests.count()
@@ -147,7 +141,7 @@ def test_walk_forward_and_comparison(spark, league):
     assert set(table) == {"QB", "RB", "WR", "TE", "OVERALL"}
     assert 0 < table["OVERALL"].model < 100
     assert E.mean_best_iteration(results).first()[0] >= 0
-    again = E.walk_forward(frame, E.feature_names(), params, weeks=(4, 5))
+    again = E.walk_forward(frame, params, weeks=(4, 5))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, results.collect()))
     with pytest.raises(ValueError):
         E.walk_forward(frame, E.feature_names(), params, weeks=(15, 16))

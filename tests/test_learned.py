@@ -1,50 +1,152 @@
-"""The early stop, and the protocol that the learned queries are registered with."""
+"""The boosting loop against plain versions, and the protocol of the registered queries."""
 
 from dataclasses import replace
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from checks import suite_products as P
+from weekcast.plans import boosting as B
 from weekcast.plans import evaluation as E
 from weekcast.plans import features as FT
 
-
-@pytest.fixture(scope="module")
-def parts(spark, league):
-    frame = E.stored_frame(E.training_frame(FT.build_gold(league)))
-    season, week = frame.agg(F.max(F.struct("season", "week"))).first()[0]
-    marked = frame.withColumn("split", E.walk_forward_split(season, week))
-    return lambda name: marked.where(F.col("split") == name)
+WHOLE = replace(E.Params(), subsample=1.0, colsample=1.0, min_child_weight=3, learning_rate=0.3,
+                max_depth=3)
 
 
-def test_growing_rounds_end_as_all_rounds_at_once(parts, monkeypatch):
-    params = replace(E.Params(), rounds=24, patience=3, learning_rate=0.3)
-    assert E.FIRST_ROUNDS > params.rounds
-    whole = E.fit(parts("train"), E.feature_names(), params, parts("val"))
-    monkeypatch.setattr(E, "FIRST_ROUNDS", 2)
-    grown = E.fit(parts("train"), E.feature_names(), params, parts("val"))
-    scores = [[r.prediction for r in f.predict(parts("test")).orderBy(*E.ROW_KEY).collect()]
-              for f in (whole, grown)]
-    assert whole.best_iteration == grown.best_iteration
-    assert scores[0] == scores[1] and len(scores[0]) > 0
-
-
-def test_a_cut_model_is_a_shorter_fit(parts):
-    params = replace(E.BASELINE, rounds=6)
-    rows = E._assemble(parts("train"), E.feature_names()).select("features", E.TARGET)
-    cut = E.first_rounds(E._regressor(params, 6).fit(rows), 3)
-    short = E._regressor(params, 3).fit(rows)
-    assert cut.getNumTrees == 3 and cut.treeWeights == short.treeWeights
-    assert cut.toDebugString.split("\n")[1:] == short.toDebugString.split("\n")[1:]
+@pytest.fixture(scope="module")
+def numbers(spark):
+    """400 rows: a and b matter, c is noise; a third of all rows are alike."""
+    r = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        a, b, noise = (0.5, 0.25, 0.0) if i % 3 == 0 else np.round(r.normal(size=3), 1).tolist()
+        y = 3.0 * (a > 0) - 2.0 * (b > 0.3) * (a < 0.5) + 0.3 * r.normal()
+        rows.append((i, a, b, noise, float(y), ("train", "train", "val", None)[i % 4]))
+    return spark.createDataFrame(
+        rows, "row int, a double, b double, c double, y double, part string").repartition(3)
+
+
+def job(params, split="part", features=("a", "b", "c")):
+    return B.Job("one", params, F.col(split), features)
+
+
+def plain_boost(rows, params, rounds):
+    """Every cut of every feature tried, one node after another."""
+    train = [r for r in rows if r.part == "train"]
+    x = np.array([[r.a, r.b, r.c] for r in train])
+    y = np.array([r.y for r in train])
+    all_x = np.array([[r.a, r.b, r.c] for r in rows])
+    score, every = np.full(len(y), y.mean()), np.full(len(rows), y.mean())
+    for _ in range(rounds):
+        def grow(at, everywhere, depth, g=None):
+            g = score - y
+            worth = lambda m: g[m].sum() ** 2 / (m.sum() + 1)
+            best = (1e-9, None, None)
+            for f in range(3):
+                for cut in np.unique(x[:, f]) if depth else []:
+                    left, right = at & (x[:, f] <= cut), at & (x[:, f] > cut)
+                    if min(left.sum(), right.sum()) >= params.min_child_weight:
+                        gain = worth(left) + worth(right) - worth(at)
+                        if gain > best[0] + 1e-9:
+                            best = (gain, f, cut)
+            if best[1] is None:
+                leaf = -params.learning_rate * g[at].sum() / (at.sum() + 1)
+                return [(at, everywhere, leaf)]
+            _, f, cut = best
+            return (grow(at & (x[:, f] <= cut), everywhere & (all_x[:, f] <= cut), depth - 1)
+                    + grow(at & (x[:, f] > cut), everywhere & (all_x[:, f] > cut), depth - 1))
+
+        leaves = grow(np.ones(len(y), bool), np.ones(len(rows), bool), params.max_depth)
+        for at, everywhere, leaf in leaves:
+            score[at] += leaf
+            every[everywhere] += leaf
+    return every
+
+
+def test_trees_are_those_of_a_plain_search(spark, numbers):
+    """Fewer distinct values than bins, so every cut is tried."""
+    rows = numbers.orderBy("row").collect()
+    params = replace(WHOLE, rounds=4, max_depth=2)
+    fitted = B.fit_many(numbers.withColumn("part", F.when(F.col("part") == "train", "train")),
+                        [job(params)], "y")["one"]
+    got = [r.prediction for r in fitted.predict(numbers).orderBy("row").collect()]
+    assert len(fitted.trees) == 4 and got == pytest.approx(plain_boost(rows, params, 4), abs=1e-9)
+
+
+def test_the_early_stop_is_that_of_all_rounds(numbers):
+    params = replace(WHOLE, rounds=40, patience=4)
+    stopped = B.fit_many(numbers, [job(params)], "y")["one"]
+    whole = B.fit_many(numbers, [job(replace(params, patience=1000))], "y")["one"]
+    assert len(whole.errors) == 40
+    best = 0
+    for i, e in enumerate(whole.errors):
+        if e < whole.errors[best]:
+            best = i
+        if i - best >= 4:
+            break
+    assert stopped.errors == whole.errors[:i + 1] and i < 39
+    assert stopped.best_iteration == best and len(stopped.trees) == best + 1
+    for one, other in zip(stopped.trees, whole.trees):
+        assert (one.feature == other.feature).all() and (one.value == other.value).all()
+
+
+def test_blocks_and_company_do_not_change_a_fit(numbers):
+    params = replace(WHOLE, rounds=4, patience=5)
+    alone = B.fit_many(numbers, [job(params)], "y")["one"]
+    many = [B.Job(f"{k}", replace(params, max_depth=1 + k % 4), F.col("part"), ("a", "b", "c"))
+            for k in range(3)]
+    spread = B.fit_many(numbers, many, "y", parallel=2, block_rows=70)
+    assert spread["2"].errors == pytest.approx(alone.errors)
+    assert spread["2"].best_iteration == alone.best_iteration
+    rows = numbers.orderBy("row")
+    score = lambda f: [r.prediction for r in f.predict(rows).orderBy("row").collect()]
+    assert score(spread["2"]) == pytest.approx(score(alone))
+    only = B.fit_many(numbers, [B.Job("b", params, F.col("part"), ("b",)), *many], "y")
+    tree = only["b"].trees[0]
+    assert {only["b"].features[f] for f in tree.feature if f >= 0} == {"b"}
+
+
+def test_node_tables_give_the_model(spark, numbers):
+    params = replace(E.Params(), rounds=12, patience=3)
+    jobs = [B.Job(n, replace(params, max_depth=d), F.col("part"), ("a", "b", "c"))
+            for n, d in (("deep", 4), ("flat", 1))]
+    models = B.fit_many(numbers, jobs, "y")
+    rows = numbers.withColumn("m", F.when(F.col("row") % 2 == 0, "deep").otherwise("flat"))
+    joined = {r.row: r.prediction for r in B.score_by_joins(rows, ["row"], F.col("m"), models).collect()}
+    each = B.predict_each(rows, ["m"], {(n,): [(n, f)] for n, f in models.items()}, ["row"]).collect()
+    assert len(joined) == len(each) == 400
+    assert all(joined[r.row] == pytest.approx(r.prediction, abs=1e-12) for r in each)
+    shown = {r.feature: r.importance for r in models["deep"].importance(spark, 3).collect()}
+    counted = {r.feature: r.importance for r in B.gains_by_nodes(spark, models["deep"]).collect()}
+    assert counted == pytest.approx(shown) and sum(shown.values()) == pytest.approx(1)
+
+
+def test_rows_and_columns_are_sampled(numbers):
+    params = replace(WHOLE, rounds=6, subsample=0.5, colsample=0.4)
+    train = numbers.where("part = 'train'")
+    fitted = B.fit_many(train, [job(params)], "y")["one"]
+    assert len(fitted.trees) == 6 and fitted.errors == []
+    assert all(60 < t.rows[0] < 140 for t in fitted.trees)               # half of 200
+    assert all(len({f for f in t.feature if f >= 0}) <= 1 for t in fitted.trees)
+    again = B.fit_many(train, [job(params)], "y")["one"]
+    assert [t.value.tolist() for t in again.trees] == [t.value.tolist() for t in fitted.trees]
+
+
+def test_null_targets_and_features(spark, numbers):
+    holes = numbers.withColumn("b", F.lit(None).cast("double")).withColumn(
+        "y", F.when(F.col("row") > 20, F.col("y")))
+    fitted = B.fit_many(holes, [job(replace(WHOLE, rounds=3))], "y")["one"]
+    assert fitted.predict(holes).where("prediction IS NULL").count() == 0
 
 
 def test_queries_run_the_whole_protocol(spark, monkeypatch):
     """Settings and weeks, as the registered queries hand them on."""
     seen = {}
-    d = SimpleNamespace(gold=None, spark=spark, star=SimpleNamespace(
-        schedules=None, rosters=None, depth_snapshots=None))
+    d = SimpleNamespace(gold=None, spark=spark, once=lambda name, make: make(),
+                        star=SimpleNamespace(schedules=None, rosters=None, depth_snapshots=None))
 
     def taken(name):
         def run(*args, **named):
@@ -54,35 +156,37 @@ def test_queries_run_the_whole_protocol(spark, monkeypatch):
 
     monkeypatch.setattr(E, "training_frame", lambda gold: None)
     monkeypatch.setattr(E, "stored_frame", lambda frame: None)
-    monkeypatch.setattr(P, "_parts", lambda frame, split: lambda name: name)
     monkeypatch.setattr(P.SL, "before", lambda *a: None)
-    for name in ("fit", "walk_forward", "per_position", "tune", "predict_latest"):
+    for name in ("fit", "walk_models", "latest_model"):
         monkeypatch.setattr(E, name, taken(name))
 
-    def call(run, name):
+    def call(name, inner):
         with pytest.raises(LookupError):
-            run(d)
-        return seen.pop(name)
+            P.add.__globals__["QUERIES"][name](spark, "")
+        return seen.pop(inner)[0]
 
     monkeypatch.setattr("checks.suite.domain", lambda *a: d)
-    registered = lambda name: lambda d: P.add.__globals__["QUERIES"][name](spark, "")
-    assert call(registered("m5_boosted_baseline"), "fit")[0][2] == E.BASELINE
-    assert call(registered("m12_importance"), "fit")[0][2] == E.BASELINE
-    for name in ("m6_early_stopping", "m11_model_comparison", "g10_slate_scored"):
-        assert call(registered(name), "fit")[0][2] == E.Params()
-    args, named = call(registered("m8_walk_forward_global"), "walk_forward")
-    assert args[2] == E.Params() and named == {"weeks": (9, None)}
-    args, named = call(registered("m8_walk_forward_positions"), "per_position")
-    assert args[1] == E.Params() and named == {"weeks": (9, None)}
-    args, named = call(registered("m9_grid_tuning"), "tune")
-    assert args[1] == E.GRID and named == {"weeks": E.TUNE_WEEKS}
-    assert call(registered("m14_predict_latest"), "predict_latest")[0][1] == E.Params()
+    for name in ("m5_boosted_baseline", "m12_importance"):
+        assert call(name, "fit")[3] == E.BASELINE
+    for name in ("m6_early_stopping", "g10_slate_scored"):
+        assert call(name, "fit")[3] == E.Params()
+    assert call("m8_walk_forward_global", "walk_models")[1:] == ({"": E.Params()}, (9, None), None)
+    assert call("m8_walk_forward_positions", "walk_models")[1:] == (
+        {"": E.Params()}, (9, None), E.position_features())
+    _, settings, weeks, groups = call("m9_grid_tuning", "walk_models")
+    assert list(settings.values()) == E.GRID and weeks == E.TUNE_WEEKS and groups is None
+    assert call("m14_predict_latest", "latest_model")[1] == E.Params()
     assert (E.Params().rounds, E.Params().patience, len(E.GRID)) == (500, 20, 12)
 
 
-def test_an_open_end_covers_the_last_week(spark, league):
+def test_walks_and_tuning_cover_their_weeks(spark, league):
     frame = E.training_frame(FT.build_gold(league))
     season, week = frame.agg(F.max(F.struct("season", "week"))).first()[0]
     params = replace(E.Params(), rounds=2, patience=1)
-    out = E.walk_forward(frame, E.feature_names(), params, weeks=(week - 1, None))
+    out = E.walk_forward(frame, params, weeks=(week - 1, None))
     assert {r.test_week for r in out.select("test_week").distinct().collect()} == {week - 1, week}
+    tuned = E.tune(frame, [params, replace(params, max_depth=1)], (week - 1, week)).collect()
+    assert len(tuned) == 2 and tuned[0].tune_mae <= tuned[1].tune_mae
+    assert E.best_params(spark.createDataFrame(tuned)).max_depth == tuned[0].max_depth
+    expected = frame.where((F.col("season") == season) & (F.col("week") >= week - 1)).count()
+    assert out.count() == expected

@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, fields, replace
 from itertools import product
 
-from pyspark import SparkContext, inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +14,8 @@ from weekcast import schema
 from weekcast.functions import scoring as S
 from weekcast.operators import aggregates as A
 from weekcast.operators.joins import same_rows
+from weekcast.plans import boosting
+from weekcast.plans.boosting import Fitted, Job, Params
 from weekcast.session import stage
 from weekcast.sources.tables import fantasy_weeks
 
@@ -26,7 +24,6 @@ TARGET = schema.TARGET
 MIN_TRAIN_ROWS = 50
 TUNE_WEEKS, TEST_WEEKS = (5, 10), (11, 17)
 TRAIN_MAX_WEEK = 10
-FIRST_ROUNDS = 64                  # before the early stop is looked for
 
 
 # --------------------------------------------------------------------------
@@ -125,176 +122,122 @@ def is_forward_slate(gold: DataFrame, predictions: DataFrame) -> bool:
 # Models
 # --------------------------------------------------------------------------
 
-@dataclass(frozen=True)
-class Params:
-    """Boosting settings. ``colsample`` applies per tree node and
-    ``min_child_weight`` as rows per leaf, the closest settings of the learner."""
-
-    rounds: int = 500
-    learning_rate: float = 0.05
-    max_depth: int = 4
-    min_child_weight: int = 5
-    subsample: float = 0.8
-    colsample: float = 0.8
-    patience: int = 20
-    seed: int = 42
-
-
 BASELINE = Params(rounds=100, learning_rate=0.1, min_child_weight=1, subsample=1.0,
                   colsample=1.0)
 GRID = [Params(max_depth=d, learning_rate=lr, min_child_weight=w)
         for d, lr, w in product([3, 4, 6], [0.03, 0.05], [1, 5])]
 
 
-@dataclass(frozen=True)
-class Fitted:
-    model: GBTRegressionModel
-    features: list[str]
-    best_iteration: int
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_assemble(df, self.features)).drop("features")
-
-    def importance(self, spark: SparkSession, k: int = 10) -> DataFrame:
-        """Top-k features by importance (the vector has one entry per feature)."""
-        weights = self.model.featureImportances.toArray().tolist()
-        rows = spark.createDataFrame(
-            list(zip(self.features, weights)), "feature string, importance double")
-        return rows.orderBy(F.desc("importance"), "feature").limit(k)
-
-
-def _assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
-
+def fit(frame: DataFrame, split: Column, features: Sequence[str],
+        params: Params = Params()) -> Fitted:
+    """Boosted trees on the rows that ``split`` marks 'train'; where it marks 'val' rows,
+    the rounds up to the early stop."""
+    return boosting.fit_many(frame, [Job("one", params, split, tuple(features))], TARGET)["one"]
 
-def _regressor(p: Params, rounds: int) -> GBTRegressor:
-    return GBTRegressor(
-        labelCol=TARGET, maxIter=rounds, stepSize=p.learning_rate, maxDepth=p.max_depth,
-        minInstancesPerNode=p.min_child_weight, subsamplingRate=p.subsample,
-        featureSubsetStrategy="all" if p.colsample >= 1 else str(p.colsample), seed=p.seed)
 
-
-def best_round(errors: Sequence[float], patience: int) -> int:
-    """0-based round with the lowest error, scanning until ``patience`` rounds
-    pass without improvement."""
-    best = 0
-    for i, e in enumerate(errors):
-        if e < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best
+def stored_frame(frame: DataFrame) -> DataFrame:
+    """The frame written once, in as few files as its size asks for: cut points, blocks and
+    predictions each scan it."""
+    return stage(frame.hint("rebalance"), "frame")
 
 
-def first_rounds(model: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The model cut after ``rounds`` rounds, without fitting it again."""
-    java, gateway = model._java_obj, SparkContext._active_spark_context._gateway
-    ml = gateway.jvm.org.apache.spark.ml.regression
-    trees = gateway.new_array(ml.DecisionTreeRegressionModel, rounds)
-    weights = gateway.new_array(gateway.jvm.double, rounds)
-    for i, (tree, weight) in enumerate(zip(java.trees()[:rounds], model.treeWeights)):
-        trees[i], weights[i] = tree, weight
-    cut = ml.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures())
-    return GBTRegressionModel(cut)
+def _folds(frame: DataFrame, weeks: tuple[int, int | None], by: Column) -> dict[str, list[int]]:
+    """The test weeks of each group that have enough rows to learn from, and the season;
+    one small count per (group, season, week)."""
+    sizes = {(r["by"], r["season"], r["week"]): r["n"] for r in frame.groupBy(
+        by.alias("by"), "season", "week").agg(F.count(F.lit(1)).alias("n")).collect()}
+    folds: dict[str, list[int]] = {}
+    season = max(s for _, s, _ in sizes)
+    last = max(w for _, s, w in sizes if s == season) if weeks[1] is None else weeks[1]
+    for group in {g for g, *_ in sizes}:
+        for w in range(weeks[0], last + 1):
+            train_rows = sum(n for (g, s, k), n in sizes.items()
+                             if g == group and (s != season or k <= w - 2))
+            if ((group, season, w) in sizes and (group, season, w - 1) in sizes
+                    and train_rows >= MIN_TRAIN_ROWS):
+                folds.setdefault(group, []).append(w)
+    if not folds:
+        raise ValueError("no test week has a training, validation and test part")
+    return {"season": season, **folds}
 
 
-def fit(train: DataFrame, features: Sequence[str], params: Params = Params(),
-        val: DataFrame | None = None) -> Fitted:
-    """Boosted trees; with ``val``, keep the rounds up to the early stop.
+def walk_models(frame: DataFrame, settings: dict[str, Params], weeks: tuple[int, int | None],
+                groups: dict[str, Sequence[str]] | None = None) -> dict[tuple, list]:
+    """(group, season, week) -> [(setting, model)] for every fold, all fitted together.
 
-    Boosting is sequential with a fixed seed, so a fit of fewer rounds is the same
-    model cut at that round. With ``val`` the number of rounds is doubled from
-    ``FIRST_ROUNDS`` until the patience rule has fired or ``params.rounds`` are done;
-    the outcome is that of ``params.rounds`` at once.
+    ``groups`` gives each position its own rows and features; without it there is one
+    group '' of all rows and the global features.
     """
-    rows = _assemble(train, features).select("features", TARGET)
-    if val is None:
-        return Fitted(_regressor(params, params.rounds).fit(rows), list(features),
-                      params.rounds - 1)
-    held = _assemble(val, features)
-    rounds = min(max(FIRST_ROUNDS, params.patience + 1), params.rounds)
-    while True:
-        model = _regressor(params, rounds).fit(rows)
-        errors = model.evaluateEachIteration(held, "squared")
-        best = best_round(errors, params.patience)
-        if rounds == params.rounds or len(errors) - 1 - best >= params.patience:
-            break
-        rounds = min(2 * rounds, params.rounds)
-    return Fitted(first_rounds(model, best + 1), list(features), best)
-
-
-def stored_frame(frame: DataFrame) -> DataFrame:
-    """The frame written once, in as few files as its size asks for: every fit scans it
-    again for each level of each tree."""
-    return stage(frame.hint("rebalance"), "frame")
-
-
-def walk_forward(frame: DataFrame, features: Sequence[str], params: Params = Params(),
-                 weeks: tuple[int, int | None] = TEST_WEEKS, parallel: int = 2) -> DataFrame:
+    apart = groups is not None
+    groups = groups or {"": feature_names()}
+    folds = _folds(frame, weeks, F.col("position") if apart else F.lit(""))
+    season = folds.pop("season")
+    jobs, of = [], {}
+    for group, week, setting in ((g, w, s) for g in folds if g in groups for w in folds[g]
+                                 for s in settings):
+        split = walk_forward_split(season, week)
+        if apart:
+            split = F.when(F.col("position") == group, split)
+        name = f"{group}|{week}|{setting}"
+        of[name] = (group, season, week), setting
+        jobs.append(Job(name, settings[setting], split, tuple(groups[group])))
+    models: dict[tuple, list] = {}
+    for name, fitted in boosting.fit_many(frame, jobs, TARGET).items():
+        key, setting = of[name]
+        models.setdefault(key, []).append((setting, fitted))
+    return models
+
+
+def walk_results(frame: DataFrame, models: dict[tuple, list]) -> DataFrame:
+    """Every fold's model on its own test week."""
+    apart = all(group for group, *_ in models)
+    rows = frame.withColumn("by", F.col("position") if apart else F.lit(""))
+    scored = boosting.predict_each(rows, ["by", "season", "week"], models,
+                                   [*ROW_KEY, "position", TARGET])
+    return scored.select("setting", *ROW_KEY, "position", F.col(TARGET).alias("actual"),
+                         F.col("prediction").alias("predicted"),
+                         F.col("week").alias("test_week"), "best_iteration")
+
+
+def walk_forward(frame: DataFrame, params: Params = Params(),
+                 weeks: tuple[int, int | None] = TEST_WEEKS) -> DataFrame:
     """Out-of-sample predictions of every test week of the latest season.
 
     ``weeks`` are the first and the last test week; None as the last one means the
     last week that the season has.
-
-    One small count per (season, week) decides which folds exist; the folds
-    are independent jobs submitted from a few driver threads.
     """
-    return _walk(stored_frame(frame), features, params, weeks, parallel)
-
-
-def _walk(frame: DataFrame, features: Sequence[str], params: Params,
-          weeks: tuple[int, int | None], parallel: int) -> DataFrame:
-    sizes = {(r["season"], r["week"]): r["n"] for r in frame.groupBy("season", "week").agg(
-        F.count(F.lit(1)).alias("n")).collect()}
-    season = max(s for s, _ in sizes)
-    last = max(w for s, w in sizes if s == season) if weeks[1] is None else weeks[1]
-    folds = []
-    for w in range(weeks[0], last + 1):
-        train_rows = sum(n for (s, k), n in sizes.items() if s != season or k <= w - 2)
-        if (season, w) in sizes and (season, w - 1) in sizes and train_rows >= MIN_TRAIN_ROWS:
-            folds.append(w)
-    if not folds:
-        raise ValueError("no test week has a training, validation and test part")
-
-    def run(w: int) -> DataFrame:
-        part = frame.withColumn("split", walk_forward_split(season, w))
-        pick = lambda name: part.where(F.col("split") == name)
-        fitted = fit(pick("train"), features, params, pick("val"))
-        return fitted.predict(pick("test")).select(
-            *ROW_KEY, "position", F.col(TARGET).alias("actual"),
-            F.col("prediction").alias("predicted"), F.lit(w).alias("test_week"),
-            F.lit(fitted.best_iteration).alias("best_iteration"))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        results = list(pool.map(inheritable_thread_target(frame.sparkSession)(run), folds))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out
+    frame = stored_frame(frame)
+    return walk_results(frame, walk_models(frame, {"": params}, weeks)).drop("setting")
 
 
 def per_position(frame: DataFrame, params: Params = Params(),
-                 weeks: tuple[int, int | None] = TEST_WEEKS, parallel: int = 2) -> DataFrame:
+                 weeks: tuple[int, int | None] = TEST_WEEKS) -> DataFrame:
     """One model per position on its own rows and feature group."""
-    frame, out = stored_frame(frame), None
-    for position, extra in schema.POSITION_FEATURES.items():
-        rows = frame.where(F.col("position") == position)
-        part = _walk(rows, schema.SHARED_FEATURES + extra, params, weeks, parallel)
-        out = part if out is None else out.unionByName(part)
-    return out
+    frame = stored_frame(frame)
+    models = walk_models(frame, {"": params}, weeks, position_features())
+    return walk_results(frame, models).drop("setting")
+
+
+def position_features() -> dict[str, list[str]]:
+    return {p: schema.SHARED_FEATURES + extra for p, extra in schema.POSITION_FEATURES.items()}
 
 
 def tune(frame: DataFrame, grid: Sequence[Params] = tuple(GRID),
-         weeks: tuple[int, int | None] = TUNE_WEEKS, parallel: int = 2) -> DataFrame:
-    """Walk-forward MAE of each setting on the tuning weeks, best first."""
-    frame, rows = stored_frame(frame), []
-    for p in grid:
-        scored = _walk(frame, feature_names(), p, weeks, parallel)
-        mae = A.mean_absolute_error(scored, "actual", "predicted").first()["mae"]
-        rows.append({**asdict(p), "tune_mae": round(mae, 3)})
-    keys = list(rows[0])
-    return frame.sparkSession.createDataFrame(rows).select(*keys).orderBy(
-        "tune_mae", *[k for k in keys if k != "tune_mae"])
+         weeks: tuple[int, int | None] = TUNE_WEEKS) -> DataFrame:
+    """Walk-forward MAE of each setting on the tuning weeks, best first; all settings and
+    folds are fitted together."""
+    frame = stored_frame(frame)
+    models = walk_models(frame, {str(i): p for i, p in enumerate(grid)}, weeks)
+    return tuned(walk_results(frame, models), grid)
+
+
+def tuned(results: DataFrame, grid: Sequence[Params]) -> DataFrame:
+    measured = A.mean_absolute_error(results, "actual", "predicted", "setting")
+    settings = results.sparkSession.createDataFrame(
+        [{"setting": str(i), **asdict(p)} for i, p in enumerate(grid)])
+    keys = [f.name for f in fields(Params)]
+    return settings.join(measured, "setting").select(
+        *keys, S.round_even("mae", 3).alias("tune_mae")).orderBy("tune_mae", *keys)
 
 
 def best_params(tuning: DataFrame) -> Params:
@@ -303,18 +246,21 @@ def best_params(tuning: DataFrame) -> Params:
     return replace(Params(), **row)
 
 
+def latest_model(gold: DataFrame, params: Params = Params()) -> tuple[Fitted, DataFrame]:
+    """The model that projects the newest week, and that week's frame."""
+    newest = A.latest_slice(fantasy_weeks(gold).select("season", "week")).first()
+    frame, split = stored_frame(training_frame(gold)), walk_forward_split(*newest)
+    return fit(frame, split, feature_names(), params), frame.where(split == "test")
+
+
 def predict_latest(gold: DataFrame, params: Params = Params()) -> DataFrame:
     """Project the newest completed week from everything known before it."""
+    fitted, test = latest_model(gold, params)
     rows = fantasy_weeks(gold)
     newest = A.latest_slice(rows.select("season", "week")).first()
-    frame = stored_frame(training_frame(gold)).withColumn(
-        "split", walk_forward_split(newest["season"], newest["week"]))
-    pick = lambda name: frame.where(F.col("split") == name)
-    fitted = fit(pick("train"), feature_names(), params, pick("val"))
-    scored = fitted.predict(pick("test")).select(*ROW_KEY, "prediction")
     week = rows.where((F.col("season") == F.lit(newest["season"]))
                       & (F.col("week") == F.lit(newest["week"])))
-    return prediction_rows(week, scored)
+    return prediction_rows(week, fitted.predict(test).select(*ROW_KEY, "prediction"))
 
 
 def prediction_rows(week: DataFrame, scored: DataFrame) -> DataFrame:
