@@ -18,7 +18,7 @@ from weekcast.functions import scoring as S
 from weekcast.operators import aggregates as A
 from weekcast.plans.features import Sources, build_gold
 from weekcast.session import new_path
-from weekcast.sources import sinks, tables
+from weekcast.sources import catalog, sinks, tables
 from weekcast.sources.binding import StarTables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,9 +87,9 @@ class Domain:
 
     @cached_property
     def unfiltered_gold(self) -> DataFrame:
-        """Gold before the starter filter, stored."""
+        """Gold of known players before the starter filter, stored."""
         path = new_path(self.spark, "gold-all")
-        sinks.rebuild(build_gold(self.sources, starters=False), path)
+        sinks.rebuild(build_gold(self.sources, starters=False, keep_unattributed=False), path)
         return self.spark.read.schema(schema.GOLD).parquet(path)
 
     @cached_property
@@ -103,6 +103,27 @@ class Domain:
         return tables.read_predictions(self.spark, self.predictions_path)
 
 
+    def table(self, name: str) -> DataFrame:
+        """Gold or predictions as a table of the session catalog."""
+        return self.spark.table(self.table_name(name))
+
+    def table_name(self, name: str) -> str:
+        def make():
+            path, target = {"gold": (self.gold_path, schema.GOLD),
+                            "predictions": (self.predictions_path, schema.PREDICTIONS)}[name]
+            return registered(self.spark, path, target)
+        return self.once(f"table {name}", make)
+
+    def newest(self, name: str) -> tuple[int, int]:
+        return catalog.newest_slice(self.spark, self.table_name(name))
+
+
+def registered(spark: SparkSession, path: str, target: T.StructType) -> str:
+    name = "weekcast_" + path.rsplit("-", 1)[1]
+    catalog.register(spark, name, path, target)
+    return name
+
+
 def _write(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 

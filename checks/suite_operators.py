@@ -21,7 +21,7 @@ from weekcast.plans import serving as Q
 from weekcast.plans import slate as SL
 from weekcast.plans import views as V
 from weekcast.session import stage
-from weekcast.sources import sinks
+from weekcast.sources import catalog, sinks
 
 c = F.col
 BOX = " ".join(schema.BOX_COLUMNS)
@@ -434,6 +434,17 @@ add("a27_slice_counts", lambda d: sinks.slice_counts(d.gold),
     "SELECT season, week, count(*) AS row_count FROM gold GROUP BY ALL")
 add("a28_latest_slice", lambda d: A.latest_slice(d.plays),
     "SELECT season, week FROM plays ORDER BY season DESC, week DESC LIMIT 1")
+
+
+
+def _latest_from_catalog(d: Domain):
+    """The newest slice of gold, read from the catalog's list of partitions."""
+    return catalog.slices(d.spark, d.table_name("gold")).agg(
+        F.max(F.struct("season", "week")).alias("latest")).select("latest.season", "latest.week")
+
+
+add("a28_latest_from_catalog", _latest_from_catalog,
+    "SELECT season, week FROM gold ORDER BY season DESC, week DESC LIMIT 1")
 add("a29_last_game_date", lambda d: C.last_game_dates(
     d.star.schedules.where("season = 2001"), 1), """
     SELECT team, max(gameday) AS gameday FROM team_games WHERE season = 2001 AND week = 1

@@ -526,7 +526,8 @@ add("q3_player_history", lambda d: Q.player_history(d.gold, PLAYER, limit=30).se
     SELECT {_GOLD}, {_total(f"gold WHERE player_id = '{PLAYER}'")} FROM gold
     WHERE player_id = '{PLAYER}' ORDER BY season DESC, week DESC, player_name LIMIT 30""",
     GOLD_DOUBLES)
-add("q4_latest_predictions", lambda d: Q.latest_predictions(d.predictions),
+add("q4_latest_predictions", lambda d: Q.latest_predictions(
+    d.table("predictions"), d.newest("predictions")),
     f"SELECT {_PRED} FROM latest_slate", PREDICTION_DOUBLES)
 _FILTERED = "latest_slate WHERE position = 'RB' AND projected_ppr >= 5"
 add("q5_list_predictions", lambda d: Q.list_predictions(
@@ -541,7 +542,8 @@ add("q7_get_prediction", lambda d: Q.get_prediction(d.predictions, PLAYER), f"""
     ORDER BY season DESC, week DESC LIMIT 1""", PREDICTION_DOUBLES)
 _NEWEST = ("(SELECT g.* FROM gold g JOIN last_slices s ON g.season = s.season "
            "AND g.week = s.week AND age = 1)")
-add("q8_latest_week", lambda d: Q.latest_week(d.gold, limit=25).select(
+add("q8_latest_week", lambda d: Q.latest_week(
+    d.table("gold"), limit=25, newest=d.newest("gold")).select(
     *schema.GOLD_COLUMNS, "total"), f"""
     SELECT {_GOLD}, {_total(_NEWEST)} FROM {_NEWEST}
     ORDER BY fantasy_points_ppr DESC, player_id LIMIT 25""", GOLD_DOUBLES)
@@ -566,8 +568,9 @@ _SHOWN = """(SELECT * REPLACE (CASE WHEN position IN ('QB', 'RB', 'WR', 'TE') TH
       ELSE 'WR' END AS position, coalesce(projected_ppr, 0) AS projected_ppr) FROM latest_slate)"""
 _NOTE = ("CASE WHEN is_dome = 1 THEN 'dome' WHEN is_bad_weather = 1 THEN 'weather' END "
          "AS venue_note")
-add("v1_rankings", lambda d: V.rankings(d.predictions, key="opp_def_ppg_allowed",
-                                        min_projected=1.0), f"""
+add("v1_rankings", lambda d: V.rankings(
+    d.table("predictions"), key="opp_def_ppg_allowed", min_projected=1.0,
+    newest=d.newest("predictions")), f"""
     SELECT {_PRED}, {_NOTE}, {_total(f'{_SHOWN} WHERE projected_ppr >= 1')} FROM {_SHOWN}
     WHERE projected_ppr >= 1 ORDER BY opp_def_ppg_allowed DESC NULLS LAST, player_id LIMIT 50""",
     PREDICTION_DOUBLES)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.suite import GOLD_DOUBLES, PREDICTION_DOUBLES, Domain, add
+from checks.suite import GOLD_DOUBLES, PREDICTION_DOUBLES, Domain, add, registered
 from checks.tables_sql import TEMPLATE
 from weekcast import schema
 from weekcast.functions import labels as L
@@ -17,7 +17,7 @@ from weekcast.plans import insight as I
 from weekcast.plans import serving as Q
 from weekcast.plans.weekly import weekly_run
 from weekcast.session import new_path
-from weekcast.sources import sinks, tables
+from weekcast.sources import catalog, sinks, tables
 
 c = F.col
 PICK = "player_id player_name season week recent_team position opponent fantasy_points_ppr".split()
@@ -56,8 +56,12 @@ add("s6_read_depth_charts", _depth_eras,
        SELECT gsis_id, 'snapshot', count(*) FROM depth_snapshots GROUP BY gsis_id""")
 add("s7_read_gold", lambda d: d.gold.select(*schema.GOLD_COLUMNS), "SELECT * FROM gold",
     GOLD_DOUBLES)
+add("s7_gold_table", lambda d: d.table("gold").where("season = 2001").select(
+    *schema.GOLD_COLUMNS), "SELECT * FROM gold WHERE season = 2001", GOLD_DOUBLES)
 add("s8_read_predictions", lambda d: d.predictions,
     "SELECT * FROM predictions", PREDICTION_DOUBLES)
+add("s8_predictions_table", lambda d: d.table("predictions"),
+    "SELECT * FROM predictions", PREDICTION_DOUBLES)
 
 # --- sinks -----------------------------------------------------------------
 
@@ -87,6 +91,48 @@ add("s10_replace_slice", _slice_replaced, f"""
     FROM (SELECT {PICKED} FROM gold)""", "fantasy_points_ppr")
 
 
+def _slice_emptied(d: Domain):
+    """A table's slice replaced by no rows, and another by a change of its own rows."""
+    path = new_path(d.spark, "slices")
+    sinks.rebuild(d.gold.select(*PICK), path)
+    name = registered(d.spark, path, d.gold.select(*PICK).schema)
+    table = d.spark.table(name)
+    catalog.replace_slice(table.where("season = 2000 AND week = 5 AND player_id = 'none'"),
+                          name, 2000, 5)
+    mine = d.spark.table(name).where("season = 2000 AND week = 4")
+    catalog.replace_slice(mine.withColumn(
+        "fantasy_points_ppr", c("fantasy_points_ppr") - 100), name, 2000, 4)
+    return d.spark.table(name).select(*PICK)
+
+
+add("s10_empty_and_own_slice", _slice_emptied, f"""
+    SELECT * REPLACE (fantasy_points_ppr
+      - CASE WHEN season = 2000 AND week = 4 THEN 100 ELSE 0 END AS fantasy_points_ppr)
+    FROM (SELECT {PICKED} FROM gold) WHERE season <> 2000 OR week <> 5""", "fantasy_points_ppr")
+
+
+def _evolved_on_write(d: Domain):
+    """Old slices on disk without text; the newest is written with two more columns."""
+    path = new_path(d.spark, "evolving")
+    sinks.rebuild(I.without_insights(d.predictions), path)
+    name = registered(d.spark, path, I.without_insights(d.predictions).schema)
+    season, week = d.newest("predictions")
+    newest = d.predictions.where((c("season") == season) & (c("week") == week))
+    catalog.replace_slice(newest, name, season, week)
+    columns = ["player_id", "season", "week", "projected_ppr", "insight", "insight_source"]
+    merged = sinks.merged_history(d.spark, path).select(*columns)
+    return merged.withColumn("read_as", F.lit("files")).unionByName(
+        d.spark.table(name).select(*columns, F.lit("table").alias("read_as")))
+
+
+add("s11_evolve_on_write", _evolved_on_write, """
+    SELECT player_id, season, week, projected_ppr,
+      CASE WHEN actual_ppr IS NULL THEN insight END AS insight,
+      CASE WHEN actual_ppr IS NULL THEN insight_source END AS insight_source,
+      unnest(['files', 'table']) AS read_as
+    FROM predictions""", "projected_ppr")
+
+
 def _evolved(d: Domain):
     old = I.without_insights(d.predictions).where(c("actual_ppr").isNotNull())
     return sinks.evolve(old, d.predictions.where(c("actual_ppr").isNull())).select(

@@ -480,9 +480,21 @@ LEFT JOIN play_defense pd ON pd.defteam = h.opponent AND pd.season = h.season AN
 LEFT JOIN wr_health wh ON wh.recent_team = h.recent_team AND wh.season = h.season AND wh.week = h.week
 LEFT JOIN depth_ranked dr ON dr.player_id = h.player_id AND dr.season = h.season AND dr.week = h.week"""
 
-TABLES["gold"] = """
+# Plays without a player id: a box score and nothing that needs an identity.
+_KNOWN = {c: c for c in ["player_id", "player_name", "season", "week", schema.TARGET]
+          + schema.BOX_COLUMNS} | {
+    "player_opportunities": "rush_attempts + targets", "rolling_games_count": "0",
+    "wr1_wr2_healthy": "1", "depth_chart_rank": "9"} | {
+    c: "0" for c in ("hvt_carries", "hvt_targets", "total_hvts", "player_air_yards", "wopr",
+                     "opportunity_share", "target_share", "air_yards_share")}
+_NOBODY = ", ".join("CAST({} AS {}) AS {}".format(
+    _KNOWN.get(f.name, "0" if f.name in _FILL else "NULL"),
+    _TYPES[f.dataType.simpleString()], f.name) for f in schema.GOLD.fields)
+
+TABLES["gold"] = f"""
 SELECT * FROM gold_all
-WHERE NOT coalesce(position IN ('QB', 'TE'), false) OR depth_chart_rank = 1"""
+WHERE NOT coalesce(position IN ('QB', 'TE'), false) OR depth_chart_rank = 1
+UNION ALL BY NAME SELECT {_NOBODY} FROM box WHERE player_id IS NULL"""
 
 # --------------------------------------------------------------------------
 # Predictions derived from the last two slices of gold

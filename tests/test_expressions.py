@@ -144,7 +144,7 @@ def test_walk_forward_and_comparison(spark, league):
     again = E.walk_forward(frame, params, weeks=(4, 5))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, results.collect()))
     with pytest.raises(ValueError):
-        E.walk_forward(frame, E.feature_names(), params, weeks=(15, 16))
+        E.walk_forward(frame, params, weeks=(15, 16))
 
 
 def test_slate_rows_and_output(spark, league):

@@ -263,10 +263,12 @@ def unattributed_rows(facts: DataFrame) -> DataFrame:
 
 
 def build_gold(src: Sources, *, starters: bool = True, staged: bool = True,
-               keep_unattributed: bool = False) -> DataFrame:
+               keep_unattributed: bool = True) -> DataFrame:
     """The 73-column feature table.
 
-    ``keep_unattributed`` adds the rows of plays without a player id.
+    Plays without a player id have rows too: a box score, and no history, team or
+    position; they are no starters of any team and stay. ``keep_unattributed=False``
+    leaves them out.
 
     Cut points (written tables when ``staged``): the single-pass facts, the
     identified box score, and the team-week table. The player rows then take

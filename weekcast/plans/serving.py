@@ -60,15 +60,15 @@ def page(df: DataFrame, order: list[Column], limit: int = schema.PAGE_DEFAULT,
     return df.orderBy(*order).offset(offset).limit(limit).withColumn("total", total)
 
 
-def in_latest_slice(df: DataFrame) -> DataFrame:
+def in_latest_slice(df: DataFrame, newest: tuple[int, int] | None = None) -> DataFrame:
     """Rows of the greatest (season, week).
 
-    The slice is looked up first (one row), so that the table scan that
-    follows is filtered by literals and prunes partitions.
+    ``newest`` is that slice where it is known, as for a table of the catalog. Else it is
+    looked up first (one row), so that the table scan that follows is filtered by literals
+    and prunes partitions.
     """
-    newest = A.latest_slice(df.select("season", "week")).first()
-    return df.where((F.col("season") == F.lit(newest["season"]))
-                    & (F.col("week") == F.lit(newest["week"])))
+    season, week = newest or A.latest_slice(df.select("season", "week")).first()
+    return df.where((F.col("season") == F.lit(season)) & (F.col("week") == F.lit(week)))
 
 
 def latest_appearances(gold: DataFrame, columns: list[str]) -> DataFrame:
@@ -124,8 +124,10 @@ def _by_projection() -> list[Column]:
     return [F.desc_nulls_last("projected_ppr"), F.asc("player_id")]
 
 
-def latest_predictions(predictions: DataFrame) -> DataFrame:
-    return in_latest_slice(predictions.select(*PREDICTION_FIELDS)).orderBy(*_by_projection())
+def latest_predictions(predictions: DataFrame,
+                       newest: tuple[int, int] | None = None) -> DataFrame:
+    return in_latest_slice(predictions.select(*PREDICTION_FIELDS), newest).orderBy(
+        *_by_projection())
 
 
 def list_predictions(predictions: DataFrame, position: str | None = None,
@@ -161,8 +163,9 @@ def week_stats(gold: DataFrame, season: int, week: int, position: str | None = N
 
 
 def latest_week(gold: DataFrame, position: str | None = None, team: str | None = None,
-                limit: int = schema.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    return page(matching(in_latest_slice(gold), position, team),
+                limit: int = schema.PAGE_DEFAULT, offset: int = 0,
+                newest: tuple[int, int] | None = None) -> DataFrame:
+    return page(matching(in_latest_slice(gold, newest), position, team),
                 [F.desc_nulls_last(schema.TARGET), F.asc("player_id")], limit, offset)
 
 

@@ -26,21 +26,23 @@ def position_order(position: str = "position") -> Column:
     return out
 
 
-def prediction_rows(predictions: DataFrame) -> DataFrame:
+def prediction_rows(predictions: DataFrame,
+                    newest: tuple[int, int] | None = None) -> DataFrame:
     """The latest slate as the pages see it: unknown positions become WR and a
     missing projection 0."""
-    return Q.in_latest_slice(predictions).withColumns({
+    return Q.in_latest_slice(predictions, newest).withColumns({
         "position": S.known_position("position"),
         "projected_ppr": F.coalesce("projected_ppr", F.lit(0.0))})
 
 
 def rankings(predictions: DataFrame, key: str = "projected_ppr", descending: bool = True,
              position: str | None = None, team: str | None = None,
-             min_projected: float = 0.0, page_number: int = 0) -> DataFrame:
+             min_projected: float = 0.0, page_number: int = 0,
+             newest: tuple[int, int] | None = None) -> DataFrame:
     """Filtered, sorted by any of the ranking keys; NULLs last both ways."""
     if key not in RANKING_KEYS:
         raise ValueError(f"unknown ranking key {key}")
-    rows = Q.matching(prediction_rows(predictions), position, team, min_projected)
+    rows = Q.matching(prediction_rows(predictions, newest), position, team, min_projected)
     direction = F.desc_nulls_last(key) if descending else F.asc_nulls_last(key)
     rows = rows.withColumn("venue_note", L.venue_note())
     return Q.page(rows, [direction, F.asc("player_id")], schema.PAGE_DEFAULT,

@@ -21,24 +21,31 @@ def rebuild(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer.format(fmt).save(path)
 
 
+def inside_slice(df: DataFrame, season: int, week: int) -> DataFrame:
+    """``df``; a row of another slice, or of none, raises when it is read."""
+    inside = (F.col("season") == season) & (F.col("week") == week)
+    return df.withColumn("season", F.when(
+        F.coalesce(inside, F.lit(False)), F.col("season")).otherwise(F.raise_error(
+            F.concat(F.lit(f"row outside slice {season}/{week}: "),
+                     F.coalesce(F.concat_ws("/", "season", "week"), F.lit("NULL")))).cast("int")))
+
+
 def replace_slice(df: DataFrame, path: str, season: int, week: int,
                   fmt: str = "parquet") -> None:
     """Replace one (season, week) slice and keep all other history.
 
     Every row must belong to the slice; a stray row fails the write before any
-    file of the table is replaced. An empty frame leaves the table as it is.
+    file of the table is replaced. An empty frame empties the slice.
     """
-    inside = (F.col("season") == season) & (F.col("week") == week)
-    checked = df.withColumn("season", F.when(
-        F.coalesce(inside, F.lit(False)), F.col("season")).otherwise(F.raise_error(
-            F.concat(F.lit(f"row outside slice {season}/{week}: "),
-                     F.coalesce(F.concat_ws("/", "season", "week"), F.lit("NULL")))).cast("int")))
-    writer = checked.hint("rebalance").write.mode("overwrite").format(fmt)
+    checked = inside_slice(df, season, week).hint("rebalance")
     if fmt == "delta":
-        writer.option("replaceWhere", f"season = {season} AND week = {week}").option(
+        checked.write.mode("overwrite").format(fmt).option(
+            "replaceWhere", f"season = {season} AND week = {week}").option(
             "mergeSchema", "true").save(path)
     else:
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy(*SLICE).save(path)
+        # only the slice's own folder is overwritten; the check runs on the dropped column
+        checked.where("season IS NOT NULL").drop(*SLICE).write.mode("overwrite").format(fmt).save(
+            f"{path}/season={season}/week={week}")
 
 
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
