@@ -8,6 +8,7 @@ none, a new one opens, and the fullest closes when there are too many.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,9 +62,9 @@ class BestFit:
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1,
-         open_bins: int = OPEN, task_bytes: int = TASK_BYTES) -> DataFrame:
+         open_bins: int = OPEN, task_bytes: int = TASK_BYTES, digest: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned
-    32-bit), sequence_id, offset.
+    32-bit), sequence_id, offset. With ``digest``, ids_crc32 stands in for the ids.
 
     A document is the ids of its text and ``end_id``; null or empty text is the end
     id alone. Only documents longer than ``size`` are cut, the last piece is what is
@@ -89,20 +90,22 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 1,
                     for piece, lo in enumerate(range(0, len(ids), size * width)):
                         body = ids[lo:lo + size * width]
                         number, offset = bins.place(len(body) // width)
-                        rows.append((i, piece, lo // width, len(body) // width, body,
+                        rows.append((i, piece, lo // width, len(body) // width,
+                                     zlib.crc32(body) if digest else body,
                                      first + number, offset))
                 row, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(row)),
                      *[pa.array(v, t) for v, t in zip(rest, (
-                         pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(),
+                         pa.int32(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(),
+                         pa.int64(),
                          pa.int64()), strict=True)]],
                     names=out.names)
 
     out = T.StructType([docs.schema["doc_id"]] + [
         T.StructField(n, t) for n, t in (
             ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()),
-            ("ids", T.BinaryType()),
+            ("ids_crc32", T.LongType()) if digest else ("ids", T.BinaryType()),
             ("sequence_id", T.LongType()), ("offset", T.LongType()))])
     ship_code(docs.sparkSession)
     docs = docs.select("doc_id", "text")

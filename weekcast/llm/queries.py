@@ -52,9 +52,7 @@ def op7_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = packing.pack(read_table(spark, folder, "documents"), tokenizer_file())
-    return pieces.select("doc_id", "piece", "start", "length",
-                         F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packing.pack(read_table(spark, folder, "documents"), tokenizer_file(), digest=True)
 
 
 @query

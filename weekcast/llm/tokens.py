@@ -8,13 +8,24 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 300_000         # of two generations each
+CACHED_WORDS = 400_000         # of two generations each
 # White space for str.split() but not for the tokenizer: such texts are encoded whole.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WIDE = re.compile("[̀-\U0010ffff]")
-# A single full stop or comma between a letter or digit and white space is a token
-# of its own, so cutting there changes nothing.
-_CLOSING = re.compile(r"(?<=[a-z0-9à-öø-ÿ])([.,])(?=\s|\Z)")
+# Lower-case letters that no normalisation changes, and a full stop or comma, which is a
+# token of its own behind them.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: visible ones of Latin-1 as themselves, the
+    others, in order, from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTES = _byte_letters()
 
 
 class Encoder:
@@ -29,6 +40,15 @@ class Encoder:
             raise ValueError(f"ids do not fit in {dtype}")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.marks = {m: self._whole(m) for m in ".,"}
+        # Only if this vocabulary agrees that letters can be spelled on their own.
+        self.by_letters = all(
+            self._whole(f"{w}{m} {w}") == self._spelled(w) + (self.marks[m] if m else b"")
+            + self._spelled(w) for w in ("the", "été", "straße", "zzyqx", "ÿß") for m in ("", *".,"))
+
+    def _whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def pack(self, ids) -> bytes:
         return np.asarray(ids, dtype=self.dtype).tobytes()
@@ -36,21 +56,37 @@ class Encoder:
     def _pieces(self, text: str) -> list[str] | None:
         if _SEPARATORS.search(text):
             return None
-        if _WIDE.search(text):
-            return text.split()
-        return _CLOSING.sub(r" \1", text.lower()).split()
+        return text.split() if _WIDE.search(text) else text.lower().split()
+
+    def _spelled(self, word: str) -> bytes:
+        """The ids of lower-case letters, straight from the vocabulary's merges."""
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+        return self.pack([t.id for t in self.model.tokenize(letters)])
 
     def _learn(self, words: list[str]) -> None:
-        """Put words into the cache: one call for many, told apart by their places."""
-        for i in range(0, len(words), 5000):
-            some = words[i:i + 5000]
+        """Put words into the cache: plain ones by their letters, the others in calls for
+        many, told apart by their places."""
+        cache, other = self.cache, []
+        for word in words:
+            plain = self.by_letters and _PLAIN.fullmatch(word)
+            if not plain:
+                other.append(word)
+                continue
+            stem, mark = plain.groups()
+            if not mark:
+                cache[word] = self._spelled(word)
+                continue
+            ids = cache.get(stem) or self.older.get(stem) or self._spelled(stem)
+            cache[word] = ids + self.marks[mark]
+        for i in range(0, len(other), 5000):
+            some = other[i:i + 5000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, dtype=self.dtype)
             begins = np.array([o[0] for o in found.offsets] or [0], dtype=np.int64)
             words_begin = np.cumsum([0] + [len(w) + 1 for w in some])
             ends = np.searchsorted(begins[:len(ids)], words_begin).tolist()
-            self.cache.update((w, ids[a:b].tobytes())
-                              for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+            cache.update((w, ids[a:b].tobytes())
+                         for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
@@ -60,7 +96,7 @@ class Encoder:
         for text in texts:
             pieces = self._pieces(text or "")
             if pieces is None:
-                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids))
+                out.append(self._whole(text))
                 continue
             known = list(map(get, pieces))
             if None in known:
