@@ -267,7 +267,8 @@ add("j18_roster_predictions", lambda d: Q.team_roster(d.gold, d.predictions, "T3
     SELECT r.player_id, p.projected_ppr
     FROM (SELECT DISTINCT player_id FROM gold WHERE recent_team = 'T3') r
     LEFT JOIN latest_slate p ON p.player_id = r.player_id""", "projected_ppr")
-add("j19_row_key_join", lambda d: E.naive_form(d.gold).join(
+add("j19_row_key_join", lambda d: J.same_rows(
+    E.naive_form(d.gold),
     E.naive_previous_season(d.gold).select(*E.ROW_KEY, c("predicted").alias("other")),
     E.ROW_KEY).select(*E.ROW_KEY, "actual", "predicted", "other"), """
     SELECT player_id, player_name, season, week, fantasy_points_ppr AS actual,
@@ -579,7 +580,7 @@ add("w12_total_with_page", lambda d: Q.page(
     d.gold.select("player_id", "season", "week"),
     [F.desc("season"), F.desc("week"), F.asc("player_id")], 20, 40), """
     SELECT player_id, season, week, CAST((SELECT count(*) FROM gold) AS INTEGER) AS total
-    FROM gold ORDER BY season DESC, week DESC, player_id LIMIT 20 OFFSET 40""")
+    FROM gold ORDER BY season DESC, week DESC, player_id NULLS FIRST LIMIT 20 OFFSET 40""")
 add("w13_last_rows", lambda d: A.top_per_group(
     d.gold.where("season = 2000").select("player_id", "week", "wopr"), ["player_id"],
     [F.desc("week")], 4), f"""
@@ -612,7 +613,7 @@ add("l3_top_per_position", lambda d: A.top_per_group(
       FROM predictions WHERE actual_ppr IS NULL) WHERE r <= 5""", "projected_ppr")
 add("l4_limit_offset", lambda d: d.gold.select(*FT.PLAYER_WEEK).orderBy(
     *FT.PLAYER_WEEK).offset(100).limit(50), """
-    SELECT player_id, season, week FROM gold ORDER BY player_id, season, week
+    SELECT player_id, season, week FROM gold ORDER BY player_id NULLS FIRST, season, week
     LIMIT 50 OFFSET 100""")
 add("l5_nulls_last", lambda d: d.predictions.orderBy(
     F.desc_nulls_last("projected_ppr"), "player_name", "season", "week").select(

@@ -113,7 +113,8 @@ def _feature_groups(d: Domain):
 
 add("m7_feature_groups", _feature_groups, """
     SELECT position, count(*) AS n, CAST(CASE position WHEN 'QB' THEN 25 WHEN 'RB' THEN 25
-      WHEN 'WR' THEN 27 ELSE 26 END AS INTEGER) AS features FROM gold GROUP BY position""")
+      WHEN 'WR' THEN 27 ELSE 26 END AS INTEGER) AS features FROM gold
+    WHERE position IN ('QB', 'RB', 'WR', 'TE') GROUP BY position""")
 
 
 def _walked(d: Domain, name: str, settings, weeks, groups=None):
@@ -348,7 +349,8 @@ add("g3_eligible_roster", lambda d: SL.eligible_roster(
     d.star.rosters, d.star.depth_snapshots, SEASON), f"SELECT * FROM {slate_roster_sql()}")
 add("g4_starter_filter", lambda d: FT.starters_only(d.unfiltered_gold).select(
     *FT.PLAYER_WEEK, "position", "depth_chart_rank"),
-    "SELECT player_id, season, week, position, depth_chart_rank FROM gold")
+    "SELECT player_id, season, week, position, depth_chart_rank FROM gold "
+    "WHERE player_id IS NOT NULL")
 add("g5_carryover_all_weeks", lambda d: SL.carryover(d.gold, SEASON), """
     SELECT player_id, avg(fantasy_points_ppr) AS prev_season_ppg,
       CAST(count(*) AS DOUBLE) AS prev_season_games FROM gold WHERE season = 2000 GROUP BY ALL""",
@@ -601,8 +603,9 @@ add("v2_slate_insights", lambda d: V.slate_insights(d.predictions), f"""
 
 add("v3_results", lambda d: V.results(d.predictions), f"""
     SELECT season, week, CAST(row_number() OVER (PARTITION BY season, week
-        ORDER BY actual_ppr DESC, player_id) AS INTEGER) AS rank,
-      player_id, player_name, position, recent_team, {_MATCHUP}, actual_ppr,
+        ORDER BY actual_ppr DESC, player_id NULLS FIRST) AS INTEGER) AS rank, player_id,
+      player_name, CASE WHEN position IN ('QB', 'RB', 'WR', 'TE') THEN position ELSE 'WR' END
+        AS position, recent_team, {_MATCHUP}, actual_ppr,
       coalesce(projected_ppr, 0) AS projected_ppr,
       actual_ppr - coalesce(projected_ppr, 0) AS delta
     FROM (SELECT p.* FROM predictions p JOIN last_slices s
@@ -644,7 +647,7 @@ add("v7_gold_report", lambda d: V.gold_report(d.gold), """
     UNION ALL (SELECT 'nulls', column_name, nulls FROM (
       SELECT * FROM (SELECT {} FROM gold) UNPIVOT (nulls FOR column_name IN ({})))
       WHERE nulls > 0)
-    UNION ALL (SELECT 'best week', player_id || ' ' || season || ' ' || week, fantasy_points_ppr
+    UNION ALL (SELECT 'best week', coalesce(player_id, 'unknown') || ' ' || season || ' ' || week, fantasy_points_ppr
       FROM gold ORDER BY fantasy_points_ppr DESC, player_id, season, week LIMIT 5)""".format(
         ", ".join(f"count(*) - count({x}) AS {x}" for x in schema.GOLD_COLUMNS),
         _GOLD), "value")

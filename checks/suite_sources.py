@@ -239,7 +239,7 @@ _ALIGNED = ["prev_season_ppg", "temp", "absent_feature", "pos_QB", "week"]
 add("p18_align_features", lambda d: E.one_hot(d.gold).select(
     "player_id", c("season").alias("at_season"), *E.align(E.one_hot(d.gold), _ALIGNED)),
     """SELECT player_id, season AS at_season, prev_season_ppg, temp, 0.0::DOUBLE AS absent_feature,
-         CAST(position = 'QB' AS DOUBLE) AS pos_QB, CAST(week AS DOUBLE) AS week FROM gold""",
+         CAST(coalesce(position = 'QB', false) AS DOUBLE) AS pos_QB, CAST(week AS DOUBLE) AS week FROM gold""",
     " ".join(_ALIGNED))
 add("p19_one_hot", lambda d: E.one_hot(d.star.rosters).select(
     "player_id", "season", *[f"pos_{p}" for p in schema.POSITIONS]),

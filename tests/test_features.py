@@ -17,7 +17,8 @@ PRE_GAME = [c for c in schema.GOLD_COLUMNS
 
 @pytest.fixture(scope="module")
 def gold(spark, league):
-    return FT.build_gold(league).cache()
+    """Players' rows; those without an id have a test of their own."""
+    return FT.build_gold(league, keep_unattributed=False).cache()
 
 
 def rows_of(df, columns):
@@ -85,8 +86,8 @@ def test_receiver_health(gold):
     assert all(v[0] == 1 for k, v in health.items() if v[1] == "AAA")
 
 
-def test_rows_without_an_id_on_request(league, gold):
-    everything = FT.build_gold(league, keep_unattributed=True).cache()
+def test_rows_without_an_id_stay(league, gold):
+    everything = FT.build_gold(league).cache()
     nobody = everything.where("player_id IS NULL")
     assert everything.count() == gold.count() + nobody.count()
     lost = B.unattributed(B.box_score(league.plays)).first()
@@ -97,7 +98,7 @@ def test_rows_without_an_id_on_request(league, gold):
 
 
 def test_no_stage_changes_the_result(spark, league, gold):
-    direct = FT.build_gold(league, staged=False)
+    direct = FT.build_gold(league, staged=False, keep_unattributed=False)
     assert rows_of(direct, schema.GOLD_COLUMNS) == rows_of(gold, schema.GOLD_COLUMNS)
 
 
@@ -106,7 +107,7 @@ def test_row_order_and_partitioning_do_not_matter(spark, league, gold):
         getattr(league, n).orderBy(F.rand(5)).repartition(3) for n in (
             "plays", "schedules", "snap_counts", "injuries", "rosters", "depth_weekly",
             "depth_snapshots")])
-    assert rows_of(FT.build_gold(shuffled), schema.GOLD_COLUMNS) == rows_of(
+    assert rows_of(FT.build_gold(shuffled, keep_unattributed=False), schema.GOLD_COLUMNS) == rows_of(
         gold, schema.GOLD_COLUMNS)
 
 
@@ -120,7 +121,8 @@ def test_a_week_knows_nothing_of_itself_or_later(spark, gold):
             row[c] = 1 - row[c]
         return row
 
-    other = FT.build_gold(make_sources(spark, play_rows(after=(2025, 4), change=change)))
+    other = FT.build_gold(
+        make_sources(spark, play_rows(after=(2025, 4), change=change)), keep_unattributed=False)
     upto = F.struct("season", "week") <= F.struct(F.lit(2025), F.lit(4))
     columns = ["player_id", *PRE_GAME]
     assert rows_of(other.where(upto), columns) == rows_of(gold.where(upto), columns)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from weekcast import schema
 from weekcast.session import new_path, shared_folder, stage
-from weekcast.sources import sinks, tables
+from weekcast.sources import catalog, sinks, tables
 
 ROWS = [("a", 2024, 1, 1.0), ("b", 2024, 1, 2.0), ("a", 2024, 2, 3.0), ("a", 2025, 1, 4.0)]
 DDL = "id string, season int, week int, v double"
@@ -41,6 +41,35 @@ def test_stray_row_fails_and_changes_nothing(spark, table, stray):
     assert content(spark, table) == sorted(ROWS)
 
 
+def test_replace_by_no_rows(spark, table):
+    none = spark.createDataFrame([], DDL)
+    sinks.replace_slice(none, table, 2024, 1)
+    assert content(spark, table) == [("a", 2024, 2, 3.0), ("a", 2025, 1, 4.0)]
+    sinks.replace_slice(none, table, 2030, 9)                       # a slice that is not there
+    assert len(content(spark, table)) == 2
+
+
+def test_catalog_tables(spark, table):
+    schema_of = T.StructType.fromDDL(DDL)
+    catalog.register(spark, "sliced", table, schema_of)
+    rows = lambda: sorted(tuple(r[c] for c in ("id", "season", "week", "v"))
+                          for r in spark.table("sliced").collect())
+    assert rows() == sorted(ROWS) and catalog.newest_slice(spark, "sliced") == (2025, 1)
+    plan = spark.table("sliced").where("season = 2025")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(season" in plan and "FileScan" in plan
+    assert len(spark.table("sliced").where("season = 2025").inputFiles()) == 1
+    catalog.replace_slice(spark.table("sliced").where("season = 2025 AND v < 0"), "sliced", 2025, 1)
+    assert catalog.newest_slice(spark, "sliced") == (2024, 2) and len(rows()) == 3
+    own = spark.table("sliced").where("season = 2024 AND week = 1").withColumn("v", F.col("v") + 1)
+    catalog.replace_slice(own.withColumn("note", F.lit("new")), "sliced", 2024, 1)
+    assert rows() == [("a", 2024, 1, 2.0), ("a", 2024, 2, 3.0), ("b", 2024, 1, 3.0)]
+    assert {(r.week, r.note) for r in spark.table("sliced").collect()} == {(1, "new"), (2, None)}
+    with pytest.raises(PySparkException):
+        catalog.replace_slice(spark.createDataFrame([("z", 2024, 2, 9.0)], DDL), "sliced", 2024, 1)
+    assert len(rows()) == 3
+    spark.sql("DROP TABLE sliced")
+
+
 def test_replace_with_a_new_column(spark, table):
     rows = spark.createDataFrame([("z", 2024, 1, 9.0, "text")], DDL + ", insight string")
     sinks.replace_slice(rows, table, 2024, 1)

@@ -167,5 +167,5 @@ def gold_report(gold: DataFrame) -> DataFrame:
             .unionByName(A.null_counts(gold).select(
                 *line("nulls", F.col("column_name"), F.col("nulls"))))
             .unionByName(best.select(*line(
-                "best week", F.concat_ws(" ", "player_id", "season", "week"),
+                "best week", F.concat_ws(" ", F.coalesce("player_id", F.lit("unknown")), "season", "week"),
                 F.col(schema.TARGET)))))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weekcast.session import stage
+
 SLICE = ["season", "week"]
 
 
@@ -37,15 +39,20 @@ def replace_slice(df: DataFrame, path: str, season: int, week: int,
     Every row must belong to the slice; a stray row fails the write before any
     file of the table is replaced. An empty frame empties the slice.
     """
-    checked = inside_slice(df, season, week).hint("rebalance")
+    checked = inside_slice(df, season, week)
     if fmt == "delta":
-        checked.write.mode("overwrite").format(fmt).option(
+        checked.hint("rebalance").write.mode("overwrite").format(fmt).option(
             "replaceWhere", f"season = {season} AND week = {week}").option(
             "mergeSchema", "true").save(path)
-    else:
-        # only the slice's own folder is overwritten; the check runs on the dropped column
-        checked.where("season IS NOT NULL").drop(*SLICE).write.mode("overwrite").format(fmt).save(
+        return
+    rows = stage(checked, "slice")
+    if rows.isEmpty():
+        # a dynamic overwrite would keep the old rows: overwrite the slice's own folder
+        rows.drop(*SLICE).write.mode("overwrite").format(fmt).save(
             f"{path}/season={season}/week={week}")
+    else:
+        rows.hint("rebalance").write.mode("overwrite").format(fmt).option(
+            "partitionOverwriteMode", "dynamic").partitionBy(*SLICE).save(path)
 
 
 def conform(df: DataFrame, target: T.StructType) -> DataFrame:
