@@ -261,14 +261,21 @@ def buckets(texts: DataFrame, name: str, *more: str) -> DataFrame:
     return write_stage(entries.join(hubs, ["band", "key"]), name)
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of the members of each bucket with its first and its last one."""
-    return (members.select("text", F.explode(F.array("first", "last")).alias("hub"))
+def stars(members: DataFrame, *hubs: str) -> DataFrame:
+    """Pairs (a, b) of the members of each bucket with its first or last one, or both."""
+    return (members.select("text", F.explode(F.array(*hubs)).alias("hub"))
             .where("text <> hub")
             .select(F.least("text", "hub").alias("a"), F.greatest("text", "hub").alias("b"))
             .distinct())
 
 
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose texts are not yet in one group."""
+    root = lambda c: groups.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
+    return (pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+            .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"))
+
+
 def labelled(members: DataFrame, groups: DataFrame, name: str) -> DataFrame:
     rest = [c for c in members.columns if c not in ("first", "last")]
     return write_stage(
@@ -366,9 +373,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     in_bucket = members.select(F.col("text").alias("row")).distinct()
     hashes = write_stage(hashes_of(
         docs.select(row_of(docs).alias("row"), "text").join(in_bucket, "row")), "hashes")
-    star = write_stage(stars(members), "stars")
+    star = write_stage(stars(members, "first"), "stars")
     links = write_stage(verified(star, hashes, threshold), "links")
     groups = components(links)
+    # the last members only matter where the first ones have not joined the texts
+    ends = write_stage(apart(stars(members, "last"), groups).join(star, ["a", "b"], "left_anti"),
+                       "end-stars")
+    links = write_stage(links.unionByName(verified(ends, hashes, threshold)), "links")
+    groups = components(links)
+    star = star.unionByName(ends)
 
     # what the stars leave open: texts that share a bucket with another group
     label = labelled(members, groups, "labels")
@@ -381,11 +394,9 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     wide = with_bounds(wide).where(F.col("shared") >= F.lit(threshold - 1e-9) * F.col("size"))
     wide = write_stage(wide, "wide-texts")
     members = buckets(wide, "wide-members", "size", "shared")
-    root = lambda c: groups.select(F.col("row").alias(c), F.col("root").alias(f"root_{c}"))
-    more = write_stage(
-        possible(stars(members), wide, threshold).join(star, ["a", "b"], "left_anti")
-        .join(root("a"), "a", "left").join(root("b"), "b", "left")
-        .where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "more-stars")
+    more = write_stage(apart(
+        possible(stars(members, "first", "last"), wide, threshold)
+        .join(star, ["a", "b"], "left_anti"), groups), "more-stars")
     links = write_stage(links.unionByName(verified(more, hashes, threshold)), "more-links")
     groups = components(links)
     rest = (across_groups(labelled(members, groups, "wide-labels"), threshold)

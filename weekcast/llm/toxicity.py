@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weekcast.llm.common import ROW, numbered, row_of, ship_code
+from weekcast.llm.common import row_of, ship_code
 from weekcast.llm.learned import examples, logistic, remainder
 
+REJECTED = 0.7                    # the least score of a toxic text
 FIT_ROWS = 4000                   # labelled rows of each label that the fit reads at most
 ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 16 << 10
 THRESHOLDS = (1.2, 1.5, 2.0, 2.5, 3.0)
@@ -207,12 +208,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         run, T.StructType([T.StructField("row", T.LongType()), docs.schema["doc_id"],
                            T.StructField("score", T.DoubleType())]))
     return scored.select("row", "doc_id", (remainder(3) == 1).alias("held_out"), "score",
-                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+                         (F.col("score") >= REJECTED).cast("int").alias("predicted"))
 
 
 def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    docs = numbered(docs)
-    gone = score(docs, model).where("predicted = 1").select(F.col("row").alias(ROW))
-    return (docs.join(gone, ROW, "left_anti")
-            .drop(ROW))
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; the rows
+    pass through the task that scores them, so nothing is stored or joined."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield part.filter(pa.array([model.score(t) < REJECTED
+                                            for t in part.column("text").to_pylist()], pa.bool_()))
+
+    ship_code(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
