@@ -414,6 +414,21 @@ add("i3_generated_with_fallback", lambda d: I.with_generated(
     FROM predictions""")
 
 
+def _refuses_batches(requests: list[str]) -> list[str]:
+    """Stand-in for a batch generator: one home game fails the whole batch."""
+    return [_refuses_some(r) for r in requests]
+
+
+add("i3_generated_in_batches", lambda d: I.with_generated_batches(
+    d.predictions, _refuses_batches, "first_line", retries=0).select(
+    "player_id", "season", "week", "insight", "insight_source"), f"""
+    SELECT player_id, season, week, CASE WHEN coalesce(is_home, 0) <> 0 THEN {TEMPLATE}
+      ELSE 'Opponent: ' || {_STR('opponent')} || ' (on the road)' END AS insight,
+      CASE WHEN coalesce(is_home, 0) <> 0 THEN 'offline_template' ELSE 'first_line' END
+        AS insight_source
+    FROM predictions""")
+
+
 def _insights_written(d: Domain):
     path = new_path(d.spark, "told")
     sinks.rebuild(I.without_insights(d.predictions), path)

@@ -177,3 +177,27 @@ def test_slate_rows_and_output(spark, league):
     out = SL.to_predictions(SL.slate_output(scored))
     assert out.schema == conform(out, schema.PREDICTIONS).schema
     assert out.select("projected_ppr").distinct().collect() == [(0.0,)]
+
+
+def test_batches_are_asked_again_then_prompt_by_prompt(spark, tmp_path):
+    """A batch that fails once is asked again; a bad prompt costs its own row only."""
+    rows = conform(spark.createDataFrame(
+        [(f"p{i}", "N", "QB", 2025, 3, float(i)) for i in range(10)],
+        "player_id string, player_name string, position string, season int, week int, "
+        "projected_ppr double"), schema.PREDICTIONS).coalesce(1)
+    log = str(tmp_path / "asked")
+
+    def generate(prompts):
+        with open(log, "a") as f:
+            f.write(f"{len(prompts)}\n")
+        if any("7.0" in p for p in prompts):
+            raise RuntimeError("refused")
+        return [] if len(prompts) == 2 else [f"told {p.count('PPR')}" for p in prompts]
+
+    out = I.with_generated_batches(rows, generate, "model-x", batch=4, in_flight=1)
+    found = {r.player_id: r for r in out.collect()}
+    assert out.count() == 10 and len(found) == 10
+    asked = open(log).read().split()
+    assert asked == ["4", "4", "4", "1", "1", "1", "1", "1", "2", "2", "1", "1"]
+    assert {p for p, r in found.items() if r.insight_source == "offline_template"} == {"p7"}
+    assert found["p7"].insight and found["p1"].insight.startswith("told")
