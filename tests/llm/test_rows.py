@@ -61,3 +61,29 @@ def test_shards(moving):
     sizes = [sum(s == k for s, _ in slots) for k in range(3)]
     assert slots == [(k, i) for k in range(3) for i in range(sizes[k])]
     assert max(sizes) - min(sizes) <= 1
+
+
+def test_a_column_of_that_name_is_data(spark):
+    """Neither as a row number, though it repeats, nor lost."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, 7), (2, text, 7), (3, text + " end", 7), (4, "other words", None)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {common.ROW} int")
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    for kept, left in ((near_dup.drop_near_duplicates(docs), {3, 4}),
+                       (exact_dedup.drop_exact_duplicates(docs), {2, 3, 4}),
+                       (decontaminate.drop_contaminated(docs, bench), {4})):
+        assert kept.columns == docs.columns
+        assert {tuple(r) for r in kept.collect()} == {r for r in rows if r[0] in left}
+    out = shuffle_shards.write_shards(docs, 2)
+    assert sorted(tuple(r) for r in out.select(*docs.columns).collect()) == rows
+
+
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["place", "row", "bucket", "offset", "record", "rows", "at", "entry", "count"]
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('x', 50) AS text", "9 AS Slot",
+                                       *[f"id + {i} AS {n}" for i, n in enumerate(names)])
+    out = shuffle_shards.write_shards(docs, 5, bucket_bytes=2000)
+    assert sorted(out.columns) == sorted(["doc_id", "text", "shard", "slot", *names])
+    got = out.select("doc_id", *names).collect()
+    assert sorted(r.doc_id for r in got) == list(range(300))
+    assert all(r[n] == r.doc_id + i for r in got for i, n in enumerate(names))

@@ -59,6 +59,8 @@ def let(value: Column, body) -> Column:
 
 
 ROW = "__row"
+_MARK = "row number"
+_OTHER = "__row of the input"
 
 
 def row_number() -> Column:
@@ -71,18 +73,36 @@ def row_number() -> Column:
     return F.monotonically_increasing_id()
 
 
+def is_numbered(docs: DataFrame) -> bool:
+    """Whether ``numbered`` made this frame; a column of that name alone is no proof."""
+    return ROW in docs.columns and _MARK in docs.schema[ROW].metadata
+
+
 def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` (default: all) of ``docs`` and their number, written once, so that all
-    scans see the same. A frame that has the number already is returned as it is."""
-    if ROW in docs.columns:
+    scans see the same. A frame that has the number already is returned as it is. A column
+    of the input that has the number's name steps aside until ``unnumbered``."""
+    if is_numbered(docs):
         return docs
-    return write_stage(docs.select(row_number().alias(ROW), *(columns or docs.columns)),
+    kept = [F.col(c).alias(_OTHER) if c.lower() == ROW else F.col(c)
+            for c in columns or docs.columns]
+    return write_stage(docs.select(row_number().alias(ROW, metadata={_MARK: True}), *kept),
                        "numbered", compression="zstd")
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of the input of ``numbered``, by their own names."""
+    return [F.col(_OTHER).alias(ROW) if c == _OTHER else F.col(c)
+            for c in docs.columns if c != ROW]
+
+
+def unnumbered(docs: DataFrame) -> DataFrame:
+    return docs.select(*columns_of(docs))
+
+
 def row_of(docs: DataFrame) -> Column:
     """The stored number if there is one; else one that holds for a single scan."""
-    return F.col(ROW) if ROW in docs.columns else row_number()
+    return F.col(ROW) if is_numbered(docs) else row_number()
 
 
 def write_stage(df: DataFrame, name: str, **options: str) -> DataFrame:

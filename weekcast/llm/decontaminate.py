@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekcast.llm.common import (
-    ROW, broadcast_if, let, numbered, row_of, words, write_stage)
+    ROW, broadcast_if, let, numbered, row_of, unnumbered, words, write_stage)
 
 SPAN = 10
 GRAM = 5
@@ -155,5 +155,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataF
     docs = numbered(docs)
     hit = contamination(docs, benchmark, **options).where("contaminated").select(
         F.col("row").alias(ROW))
-    return (docs.join(hit, ROW, "left_anti")
-            .drop(ROW))
+    return unnumbered(docs.join(hit, ROW, "left_anti"))

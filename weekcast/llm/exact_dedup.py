@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.llm.common import (
-    ROW, lower_ascii, numbered, row_of, ship_code, whole_text, write_stage)
+    ROW, lower_ascii, numbered, row_of, ship_code, unnumbered, whole_text, write_stage)
 
 BLOCK_BYTES = 4096
 
@@ -160,5 +160,4 @@ def drop_exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Da
     docs = numbered(docs)
     gone = exact_duplicates(docs, block_bytes).where("NOT kept").select(
         F.col("row").alias(ROW))
-    return (docs.join(gone, ROW, "left_anti")
-            .drop(ROW))
+    return unnumbered(docs.join(gone, ROW, "left_anti"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weekcast.llm.common import (
-    LOWER, ROW, UPPER, numbered, row_of, ship_code, write_stage)
+    LOWER, ROW, UPPER, numbered, row_of, ship_code, unnumbered, write_stage)
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -425,5 +425,4 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     docs = numbered(docs)
     gone = near_duplicates(docs, **options).where("NOT kept").select(
         F.col("row").alias(ROW))
-    return (docs.join(gone, ROW, "left_anti")
-            .drop(ROW))
+    return unnumbered(docs.join(gone, ROW, "left_anti"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import ROW, numbered
+from weekcast.llm.common import ROW, columns_of, numbered
 from weekcast.session import new_path
 
 BUCKET_BYTES = 16 << 20
@@ -34,8 +34,9 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 17,
     (the place in the shard, gapless from 0). Row counts of shards differ by one at
     most. Null texts and ids, repeated rows and texts of any length are records like
     others: a row is dealt by its place, so equal rows spread evenly. Columns of
-    ``docs`` named ``shard`` or ``slot`` are replaced. An empty table gives no rows.
-    A record larger than ``bucket_bytes`` makes a larger bucket. The files of a shard
+    ``docs`` named ``shard`` or ``slot``, in any case, are replaced; other names are
+    kept, whatever they are. An empty table gives no rows. Each bucket is a task of its
+    own; a record larger than ``bucket_bytes`` makes a larger bucket. The files of a shard
     hold runs of consecutive slots.
     """
     spark = docs.sparkSession
@@ -43,24 +44,24 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 17,
     rows, size = total[0], total[1] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.col("row"), F.lit(seed)), F.lit(buckets)).cast("int")
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     docs = numbered(docs, *kept)
-    placed = docs.select(F.col(ROW).alias("row"), F.struct(*kept).alias("record"))
+    placed = docs.select(F.col(ROW).alias("row"), F.struct(*columns_of(docs)).alias("record"))
     offsets = (docs.select(F.col(ROW).alias("row")).groupBy(bucket.alias("bucket")).count()
                .select("bucket", (F.sum("count").over(Window.orderBy("bucket"))
                                   - F.col("count")).alias("offset")))
     shuffled = (
-        placed.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        placed.withColumn("bucket", bucket).repartitionById(buckets, F.col("bucket"))
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(F.struct("row", "record"))).alias("rows"))
         .join(offsets, "bucket")
         .select("offset", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "entry"))
-        .select((F.col("offset") + F.col("at")).alias("place"), "entry.record.*"))
+        .select((F.col("offset") + F.col("at")).alias("place"), "entry.record"))
     # shard s starts at floor(s * rows / shards), in whole numbers
     shard = F.expr(f"((place + 1) * {shards} - 1) div {max(rows, 1)}")
     start = F.expr(f"(shard * {rows}) div {shards}")
     out = (shuffled.withColumn("shard", shard.cast("int"))
-           .withColumn("slot", F.col("place") - start).drop("place"))
+           .select("record.*", "shard", (F.col("place") - start).alias("slot")))
     path = path or new_path(spark, "llm/shards")
     out.write.partitionBy("shard").parquet(path)
     return spark.read.schema(out.schema).parquet(path)
