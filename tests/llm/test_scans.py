@@ -20,33 +20,44 @@ has_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
 
 def brute_licenses(text, notices, containment=0.8):
+    """Every window of the text against every part."""
     w, found = split(text), {}
     for p in licenses.parts_of(notices):
         n = len(p.words)
-        for s in range(0, len(w) - n + 1, licenses.step_of(n)):
+        for s in range(0, len(w), licenses.step_of(n)):
             view = w[s:s + licenses.window_of(n)]
             has = {tuple(view[i:i + p.size]) for i in range(len(view) - p.size + 1)}
             share = len(has.intersection(p.shingles)) / len(p.shingles)
-            if share >= containment:
-                got = found.setdefault(p.license, [set(), 0, 0.0, s])
+            marked = all(f" {m} " in f" {' '.join(view)} " for m in p.must)
+            if share >= containment and marked:
+                got = found.setdefault(p.license, [set(), 0, 0.0, s, False])
                 got[0].add(p.number)
                 got[1] += 1
                 got[2], got[3] = max(got[2], share), min(got[3], s)
-    return {k: (len(a), b, c, d) for k, (a, b, c, d) in found.items()}
+                got[4] |= p.decisive
+    return {k: (len(a), b, c, d) for k, (a, b, c, d, told) in found.items() if told}
+
+
+def plain(notice):
+    return re.sub(r"[][]", "", notice)
 
 
 def test_licenses_as_in_brute_force(spark):
     r = random.Random(2)
     noise = lambda n: " ".join(r.choice("abcde") * 3 for _ in range(n))
     long = " ".join(f"term{i % 37} clause{i}" for i in range(60))
-    notices = licenses.NOTICES + [("Long", long), ("Empty", " . "), ("Null", None)]
-    texts = [None, "", "license", long, long.upper() + noise(9), noise(300)]
-    for _, notice in licenses.NOTICES:
-        for lead in range(7):
-            texts.append(f"{noise(lead)} {notice.upper()} {noise(lead)}")
-        w = notice.split()
-        texts += [" ".join(w[:i] + ["x"] + w[i + 1:]) for i in (0, len(w) - 1, len(w) // 2)]
-        texts.append(f"{noise(20)} {notice} {noise(3)} {notice} {notice}")
+    known = licenses.read_notices()
+    notices = known + [("Long", long), ("Marked", long.replace("clause9", "[clause9]")),
+                       ("Word", "xyzzy"), ("Empty", " . "), ("Null", None)]
+    texts = [None, "", "license", long, long.upper() + noise(9), noise(300), "mit " * 30_000]
+    for _, notice in known:
+        w = plain(notice).split()
+        texts.append(f"{noise(r.randrange(9))} {plain(notice).upper()} {noise(r.randrange(9))}")
+        i = r.randrange(len(w))
+        texts += [" ".join(w[:i] + ["x"] + w[i + 1:]), " ".join(w[:i] + w[i + 1:]),
+                  noise(5) + " " + " ".join(w[:i] + ["x", "y"] + w[i:])]
+        texts.append(f"{noise(20)} {plain(notice)} {plain(notice)} xyzzy")
+        texts.append(" ".join(w[:len(w) * 9 // 10]))              # cut by the end of the text
     rows = [(i if i != 7 else None, t, 1, "z") for i, t in enumerate(texts)] + [(9, texts[9], 1, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int, license string")
     want = Counter()
@@ -55,20 +66,56 @@ def test_licenses_as_in_brute_force(spark):
             want[(doc_id, name, *found)] += 1
     got = Counter((x.doc_id, x.license, x.parts, x.windows, x.containment, x.start)
                   for x in licenses.scan(docs, notices).collect())
-    assert got == want and len(want) > 60
+    assert got == want and len(want) > 200
+    assert {name for _, name, *_ in want} >= {name for name, _ in known}
     assert licenses.scan(docs.where("doc_id < 0")).count() == 0
     assert licenses.scan(docs, []).count() == 0
 
 
-def test_band_counts_keep_the_promise():
-    for n in range(1, licenses.PART + 1):
-        size = min(licenses.SHINGLE, n)
-        own, window = n - size + 1, licenses.window_of(n) - size + 1
-        shared = -(-own * 8 // 10)
+def test_edited_notices_are_found_and_versions_told_apart(spark):
+    told = [
+        ("Licensed under the Apache License, Version 2.0.", {"Apache-2.0"}),
+        ("Licensed under the Apache Licence, Version 2.0.", {"Apache-2.0"}),
+        ("Licensed under the Apache License, Version 1.1.", set()),
+        ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("The work is licensed under the GNU General Public License, version 3.", {"GPL-3.0"}),
+        ("Released under MIT License.", {"MIT"}),
+        ("Released under the BSD License.", set()),
+        ("// SPDX-License-Identifier: MIT", {"MIT"}),
+        ("SPDX-License-Identifier: GPL-3.0-only", {"GPL-3.0"}),
+        ("This is free and unencumbered software released to the public domain.", {"Unlicense"}),
+        ("Licensed under CC BY-NC 4.0. All rights reserved.", {"CC-BY-NC-4.0", "Reserved"}),
+        ("Ich gehe mit den Kindern in die Stadt", set()),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(told)], "doc_id int, text string")
+    found = {i: set() for i in range(len(told))}
+    for x in licenses.scan(docs).collect():
+        found[x.doc_id].add(x.license)
+    assert [found[i] for i in range(len(told))] == [names for _, names in told]
+
+
+def test_notices_are_read_from_a_file(tmp_path):
+    (tmp_path / "own.txt").write_text("# note\n== A spdx\none [two]\nthree\n\nfour\n== B\n\nfive\n")
+    assert licenses.read_notices(str(tmp_path / "own.txt")) == [
+        ("A", "one [two] three"), ("A", "four"), ("A", "[SPDX-License-Identifier: A]"), ("B", "five")]
+
+
+def test_parts_bands_and_anchors_keep_the_promise():
+    long = " ".join(f"w{i}" for i in range(300))
+    parts = licenses.parts_of(licenses.read_notices() + [("Long", long)])
+    for p in parts:
+        n, own = len(p.words), len(p.shingles)
+        window, shared = licenses.window_of(n) - p.size + 1, -(-own * 8 // 10)
         j = shared / (own + window - shared)
-        assert (1 - j) ** licenses.bands_of(n) <= licenses.MISS or j >= 1
-    words = licenses.hitting_words(licenses.parts_of(licenses.NOTICES))
-    assert all(set(s) & set(words) for p in licenses.parts_of(licenses.NOTICES) for s in p.shingles)
+        assert n <= licenses.PART and ((1 - j) ** licenses.bands_of(n, own) <= licenses.MISS or j >= 1)
+        anchors = p.anchors(0.8)
+        if p.must:
+            assert anchors <= {w for m in p.must for w in m.split()}
+        else:
+            assert sum(not anchors.isdisjoint(s) for s in p.shingles) > own - shared
+    grams = {s for p in parts if p.license == "Long" for s in p.shingles}
+    assert len(grams) == 296                                   # none is lost between parts
 
 
 def test_shards_hold_every_row_once(spark):

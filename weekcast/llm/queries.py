@@ -128,26 +128,36 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """All windows of all texts, compared with all notices by exact containment."""
-    quoted = lambda w: "'" + w + "'"
+    """Shingles that texts share with notices, counted by window."""
+    listed = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
     rows = ", ".join(
-        f"('{p.license}', {p.number}, {len(p.words)}, {p.size}, "
-        f"{licenses.window_of(len(p.words))}, {licenses.step_of(len(p.words))}, "
-        f"[{', '.join(quoted(' '.join(s)) for s in p.shingles)}])"
-        for p in licenses.parts_of(licenses.NOTICES))
+        f"('{p.license}', {p.number}, {p.size}, {licenses.window_of(len(p.words))}, "
+        f"{licenses.step_of(len(p.words))}, {listed(' '.join(s) for s in p.shingles)}, "
+        f"{listed(p.must)}::VARCHAR[], {p.decisive})"
+        for p in licenses.parts_of(licenses.read_notices()))
     return f"""
-WITH notice(license, part, n, size, span, step, own) AS (VALUES {rows}),
-doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-windows AS (SELECT doc_id, license, part, size, span, own, w,
-                   unnest(range(0, len(w) - n + 1, step)) AS s
-            FROM doc, notice WHERE len(w) >= n),
-shared AS (SELECT doc_id, license, part, s, len(list_intersect(own, list_transform(
-             range(s + 1, least(s + span, len(w)) - size + 2),
-             lambda i: array_to_string(w[i:i + size - 1], ' ')))) / len(own) AS share
-           FROM windows)
+WITH notice(license, part, size, span, step, own, must, decisive) AS (VALUES {rows}),
+own AS (SELECT license, part, size, span, step, len(own) AS n_own, unnest(own) AS g FROM notice),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM notice),
+places AS (SELECT r, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i:
+                    {{'at': i - 1, 'g': array_to_string(w[i:i + size - 1], ' ')}})) AS p
+           FROM doc, sizes WHERE len(w) >= size),
+met AS (SELECT r, license, part, step, span, n_own, g,
+               unnest(range(CAST(greatest(0, ceil((p.at + size - span) / step)) AS BIGINT),
+                            p.at // step + 1)) AS k
+        FROM places JOIN own USING (size) WHERE p.g = own.g),
+shared AS (SELECT r, license, part, k * step AS s, any_value(span) AS span,
+                  count(DISTINCT g) / any_value(n_own) AS share
+           FROM met GROUP BY r, license, part, k, step
+           HAVING share >= {licenses.CONTAINMENT}),
+found AS (SELECT r, doc_id, license, part, s, share, decisive
+          FROM shared JOIN notice USING (license, part) JOIN doc USING (r)
+          WHERE len(list_filter(must, lambda m: NOT contains(
+            ' ' || array_to_string(w[s + 1:s + shared.span], ' ') || ' ', ' ' || m || ' '))) = 0)
 SELECT doc_id, license, count(DISTINCT part) AS parts, count(*) AS windows,
        max(share) AS containment, CAST(min(s) AS INTEGER) AS start
-FROM shared WHERE share >= {licenses.CONTAINMENT} GROUP BY doc_id, license"""
+FROM found GROUP BY r, doc_id, license HAVING bool_or(decisive)"""
 
 
 ORACLE["op8_license_scan"] = _license_sql()
