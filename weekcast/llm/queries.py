@@ -135,18 +135,23 @@ def _license_sql() -> str:
         f"{licenses.step_of(len(p.words))}, {listed(' '.join(s) for s in p.shingles)}, "
         f"{listed(p.must)}::VARCHAR[], {p.decisive})"
         for p in licenses.parts_of(licenses.read_notices()))
+    sizes = range(1, licenses.SHINGLE + 1)
+    runs = ", ".join(" || ' ' || ".join(["x", *(f"lead(x, {i}) OVER o" for i in range(1, n))])
+                     + f" AS x{n}" for n in sizes)
+    places = " UNION ALL ".join(
+        f"SELECT r, pos, {n} AS size, x{n} AS g FROM runs WHERE x{n} IS NOT NULL" for n in sizes)
     return f"""
 WITH notice(license, part, size, span, step, own, must, decisive) AS (VALUES {rows}),
 own AS (SELECT license, part, size, span, step, len(own) AS n_own, unnest(own) AS g FROM notice),
 doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
-sizes AS (SELECT DISTINCT size FROM notice),
-places AS (SELECT r, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i:
-                    {{'at': i - 1, 'g': array_to_string(w[i:i + size - 1], ' ')}})) AS p
-           FROM doc, sizes WHERE len(w) >= size),
+word AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS pos FROM doc),
+runs AS (SELECT r, pos, {runs}
+         FROM word WINDOW o AS (PARTITION BY r ORDER BY pos)),
+places AS ({places}),
 met AS (SELECT r, license, part, step, span, n_own, g,
-               unnest(range(CAST(greatest(0, ceil((p.at + size - span) / step)) AS BIGINT),
-                            p.at // step + 1)) AS k
-        FROM places JOIN own USING (size) WHERE p.g = own.g),
+               unnest(range(CAST(greatest(0, ceil((pos + size - span) / step)) AS BIGINT),
+                            pos // step + 1)) AS k
+        FROM places JOIN own USING (size, g)),
 shared AS (SELECT r, license, part, k * step AS s, any_value(span) AS span,
                   count(DISTINCT g) / any_value(n_own) AS share
            FROM met GROUP BY r, license, part, k, step
