@@ -14,11 +14,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weekcast.llm.common import ROW, columns_of, numbered
+from weekcast.llm.common import ROW, broadcast_if, columns_of, numbered
 from weekcast.session import new_path
 
 BUCKET_BYTES = 16 << 20
 ROW_BYTES = 8
+BROADCAST_BUCKETS = 1_000_000      # two numbers each
 
 
 def record_bytes() -> F.Column:
@@ -54,7 +55,7 @@ def write_shards(docs: DataFrame, shards: int, seed: int = 17,
         placed.withColumn("bucket", bucket).repartitionById(buckets, F.col("bucket"))
         .groupBy("bucket")
         .agg(F.sort_array(F.collect_list(F.struct("row", "record"))).alias("rows"))
-        .join(offsets, "bucket")
+        .join(broadcast_if(offsets, buckets, BROADCAST_BUCKETS), "bucket")
         .select("offset", F.posexplode(F.shuffle("rows", F.lit(seed))).alias("at", "entry"))
         .select((F.col("offset") + F.col("at")).alias("place"), "entry.record"))
     # shard s starts at floor(s * rows / shards), in whole numbers
