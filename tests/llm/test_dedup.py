@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.compare import connect, differences
 from weekcast.llm import decontaminate, exact_dedup, near_dup
@@ -70,6 +71,23 @@ ODD = [None, "", "", "  ", "A", "a", "É", "é", "x" * 9000, "x" * 8999 + "X", "
        "!?", "one two", "One two", "ab " * 3000, "ab " * 3001]
 
 
+@pytest.mark.parametrize("hash_of", [lambda k: F.lit(7).cast("long"),
+                                     lambda k: F.ascii(F.col(k).cast("string")).cast("long") % 3])
+def test_exact_groups_where_blocks_of_one_hash_span_partitions(spark, monkeypatch, hash_of):
+    monkeypatch.setattr(exact_dedup, "order_of", hash_of)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = random.Random(5)
+        texts = [r.choice(["a", "b" * 9, "c" * 40, "", "b" * 8 + "c"]) for _ in range(400)]
+        texts += [f"{r.randrange(30)} x" for _ in range(400)]
+        docs = frame(spark, texts, 4)
+        for block in (4, 4096):
+            got = exact_dedup.exact_duplicates(docs, block_bytes=block).collect()
+            same(got, [(d.doc_id, low(d.text), low(d.text)) for d in docs.collect()])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_exact_groups_with_every_block_size(spark):
     docs = frame(spark, corpus(60) + ODD)
     rows = [(r.doc_id, low(r.text)) for r in docs.collect()]

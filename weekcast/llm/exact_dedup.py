@@ -1,15 +1,16 @@
 """Exact deduplication by block naming.
 
 The lower-cased text is cut into fixed-size blocks. All blocks of the corpus are
-sorted and replaced by their rank, an integer name; then adjacent pairs of names
+sorted and each distinct one gets an integer name; then adjacent pairs of names
 are named in the same way, level by level, until one name is left of each
 document. Equal sequences get equal names and different ones never do, so the
 identity (level, name) has no collisions, unlike a digest.
 
 The text moves once, in the range exchange of the first level. The sort key ends
 with the row number, so a block that a third of all rows share is spread over many
-partitions; only the first and last key of each partition are compared across
-partitions to join the ranks up.
+partitions. Blocks are ordered by a hash first; those of a hash that may go on in
+another partition are compared by content across partitions, all distinct ones of
+them, so blocks of equal hash are neither merged nor kept apart.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,64 +32,101 @@ from weekcast.llm.common import (
 BLOCK_BYTES = 4096
 
 
+def order_of(key: str) -> Column:
+    """What blocks are sorted by before their content: a few bytes, so that the range
+    bounds that the driver sees are small. It never decides that blocks are equal."""
+    return F.xxhash64(key)
+
+
 def _rank_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Number the distinct keys of a sorted partition; one more row holds its
-    first and last key and their count."""
-    part, rank, first, last, schema = TaskContext.get().partitionId(), -1, None, None, None
+    """Number the distinct keys of a partition sorted by (order, key).
+
+    More rows hold in ``edge`` the keys that other partitions may hold too: all distinct
+    ones of the first and the last hash. Which hash is the last shows at the end only, so
+    one key is held back; a hash of several keys has them all written, wherever it stands.
+    """
+    part, rank, schema = TaskContext.get().partitionId(), -1, None
+    first = last = hash_ = held = None         # held: the last distinct key, if not written
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("key")
-        new = np.ones(batch.num_rows, dtype=bool)
-        new[0] = last is None or keys[0].as_py() != last
-        if batch.num_rows > 1:
-            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
-        ranks = rank + np.cumsum(new)
-        rank, last = int(ranks[-1]), keys[-1].as_py()
-        first = keys[0].as_py() if first is None else first
         n = batch.num_rows
-        kept = [batch.column(c) for c in batch.schema.names if c != "key"]
+        if not n:
+            continue
         if schema is None:
-            schema = pa.schema([f for f in batch.schema if f.name != "key"] + [
+            schema = pa.schema([f for f in batch.schema if f.name not in ("key", "order")] + [
                 pa.field("part", pa.int32()), pa.field("rank", pa.int64()),
-                pa.field("first", pa.binary()), pa.field("last", pa.binary())])
+                pa.field("edge", pa.binary())])
+            first = batch.column("order")[0].as_py()
+        keys, orders = batch.column("key"), batch.column("order")
+        new = np.ones(n, dtype=bool)
+        new[0] = rank < 0 or keys[0].as_py() != last
+        if n > 1:
+            new[1:] = pc.not_equal(keys[1:], keys[:-1]).to_numpy(zero_copy_only=False)
+        ranks = rank + np.cumsum(new)
+        starts = np.flatnonzero(new)
+        hashes = orders.to_numpy(zero_copy_only=False)[starts]
+        several = np.zeros(len(starts), dtype=bool)       # hashes that have another key
+        several[1:] = hashes[1:] == hashes[:-1]
+        several[:-1] |= several[1:]
+        several |= hashes == first
+        if len(starts):
+            if hashes[0] == hash_:
+                several[0] = True
+                if held is not None:
+                    yield _edges([held], part, schema)
+            hash_, last_key = int(hashes[-1]), keys[int(starts[-1])].as_py()
+            held = None if several[-1] else (int(ranks[starts[-1]]), last_key)
+            found = [(int(ranks[i]), keys[int(i)].as_py()) for i in starts[several]]
+            for at in range(0, len(found), 1000):
+                yield _edges(found[at:at + 1000], part, schema)
+        rank, last = int(ranks[-1]), keys[n - 1].as_py()
+        kept = [batch.column(c) for c in batch.schema.names if c not in ("key", "order")]
         yield pa.RecordBatch.from_arrays(
             kept + [pa.array(np.full(n, part, dtype=np.int32)), pa.array(ranks),
-                    pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
-    if last is not None:
-        row = {f.name: [None] for f in schema} | {
-            "part": [part], "rank": [rank + 1], "first": [first], "last": [last]}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row[f.name], f.type) for f in schema], schema=schema)
+                    pa.nulls(n, pa.binary())], schema=schema)
+    if held is not None:
+        yield _edges([held], part, schema)
+
+
+def _edges(found: list[tuple[int, bytes]], part: int, schema: pa.Schema) -> pa.RecordBatch:
+    values = {"part": [part] * len(found), "rank": [r for r, _ in found],
+              "edge": [k for _, k in found]}
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values.get(f.name, [None] * len(found)), f.type) for f in schema],
+        schema=schema)
 
 
 def name_keys(rows: DataFrame, name: str) -> DataFrame:
-    """Replace binary ``key`` by ``name``: the rank of the key among all keys.
+    """Replace binary ``key`` by ``name``, an integer that equal keys share and no two
+    different ones.
 
-    Keys are ordered by a hash, then by themselves: the range bounds that the driver
-    sees are a few bytes each, and the hash never decides that keys are equal.
     ``rows`` needs columns ``row`` and ``pos`` to spread equal keys. The result is
     stored, so names stay as they are when tasks run again.
     """
     out = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields
                         if f.name != "key"] + [
         T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType()),
-        T.StructField("first", T.BinaryType()), T.StructField("last", T.BinaryType())])
+        T.StructField("edge", T.BinaryType())])
     ranked = write_stage(
-        rows.withColumn("order", F.xxhash64("key"))
+        rows.withColumn("order", order_of("key"))
         .repartitionByRange("order", "row", "pos").sortWithinPartitions("order", "key")
-        .drop("order")
         .mapInArrow(_rank_sorted, out), name)
-    # one row per partition that had rows
-    in_order = Window.orderBy("part")
-    continued = F.coalesce(F.lag("last").over(in_order) == F.col("first"), F.lit(False))
-    offsets = (ranked.where("first IS NOT NULL")
-               .select("part", "rank", (F.col("rank") - continued.cast("long")).alias("fresh"))
-               .select("part", (F.sum("fresh").over(in_order) - F.col("rank")).alias("offset")))
-    return (ranked.where("first IS NULL").drop("first", "last")
+    edges = ranked.where("edge IS NOT NULL").select("part", "rank", "edge")
+    # the last key of a partition is always an edge; one row per partition that had rows
+    counts = edges.groupBy("part").agg((F.max("rank") + 1).alias("n"))
+    offsets = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+                            .alias("offset"))
+    placed = edges.join(F.broadcast(offsets), "part").select(
+        "edge", (F.col("offset") + F.col("rank")).alias("name"))
+    # a key is an edge of a partition once at most
+    again = placed.withColumn("one", F.min("name").over(Window.partitionBy("edge")))
+    again = write_stage(again.where("one <> name").select("name", "one"), f"{name}-again")
+    return (ranked.where("edge IS NULL").drop("edge")
             .join(F.broadcast(offsets), "part")
             .withColumn("name", F.col("offset") + F.col("rank"))
-            .drop("part", "rank", "offset"))
+            .drop("part", "rank", "offset")
+            .join(again, "name", "left")            # broadcast where its files are small
+            .withColumn("name", F.coalesce("one", "name")).drop("one"))
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
