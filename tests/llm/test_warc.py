@@ -3,7 +3,10 @@
 import base64
 import gzip
 import hashlib
+import zlib
 from collections import Counter
+from datetime import date
+from decimal import Decimal
 
 import pytest
 
@@ -60,6 +63,34 @@ def test_files_follow_the_formats(spark, pages):
     assert set(bodies) == {h or "" for h in HTML} | {"alone"}
 
 
+def test_records_are_gzip_members_of_their_own(spark, pages):
+    made = warc.convert(spark, warc.write_arc(pages))
+    n = 0
+    for r in warc.archives(spark, made).collect():
+        data = bytes(r.content)
+        while data:
+            one = zlib.decompressobj(wbits=31)
+            (_, _), = warc.parse_warc(one.decompress(data))
+            data, n = one.unused_data, n + 1
+    assert n > pages.count()                        # and a warcinfo record in each file
+    big = "é" * (8 << 20)                           # 16 MB: the length's last byte is no zero
+    assert gzip.decompress(warc.member(big) + b"\0").decode() == big
+
+
+def test_page_ids_of_any_type(spark):
+    ids = ["b\r\nX: 1", "a é", " b", "", "10", "9", None, "10"]
+    rows = [(i, "u", "same") for i in ids]
+    for kind, cast in (("string", str), ("decimal(38,2)", Decimal), ("date", date.fromisoformat)):
+        if kind != "string":
+            texts = ["10.5", "9.5", None] if kind != "date" else ["2024-01-02", "2023-05-06", None]
+            rows = [(t and cast(t), "u", "same") for t in texts]
+        pages = spark.createDataFrame(rows, f"page_id {kind}, url string, html string")
+        typed = pages.schema["page_id"].dataType
+        arc = warc.write_arc(pages)
+        got = warc.page_records(spark, warc.convert(spark, arc, id_type=typed), typed).collect()
+        assert Counter(map(tuple, got)) == want(pages, 0)
+
+
 def test_broken_archives_are_reported():
     record = warc.arc_header(1, "http://a b", "20240101", "text/html", "f", 9)
     about = "1 0 origin\n" + warc.ARC_FIELDS[1] + "\n"

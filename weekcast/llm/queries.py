@@ -105,8 +105,10 @@ def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
-    arc = warc.write_arc(read_table(spark, folder, "pages"))
-    return warc.page_records(spark, warc.convert(spark, arc, smallest=0))
+    pages = read_table(spark, folder, "pages")
+    kind = pages.schema["page_id"].dataType
+    made = warc.convert(spark, warc.write_arc(pages), smallest=0, id_type=kind)
+    return warc.page_records(spark, made, kind)
 
 
 @query

@@ -8,8 +8,9 @@ digests that ARC lacks. A record whose payload an earlier one already holds beco
 revisit that refers to it.
 
 Archives are written by Spark's text sink, which commits the files of finished tasks
-only: a record is one value, and its closing line break is the line separator.
-Files are whole-file gzip, about ``FILE_BYTES`` of records each.
+only, about ``FILE_BYTES`` of records each. ARC files are gzip as a whole. Each WARC
+record is a gzip member of its own, so that it can be read alone from its offset. The
+sink ends every value with a separator; here it is the zero byte that ends a member.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,10 +40,12 @@ ARC_FIELDS = {
        "Filename Archive-length",
 }
 ARC_END, WARC_END = "\n", "\r\n\r\n"
+MEMBER_END = "\0"                # the highest byte of a member's length, below 16 MB
 HTTP_TYPE = "application/http; msgtype=response"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 _NOT_IN_URL = re.compile(r"[\x00-\x20\x7f]")
 _ONE_VALUE = pa.schema([("value", pa.string())])
+_ONE_MEMBER = pa.schema([("value", pa.binary())])
 
 
 def base32_sha1(data: bytes) -> str:
@@ -61,7 +65,7 @@ def write_arc(pages: DataFrame, date: str = "20240101000000", path: str | None =
     their folder.
 
     A network document is an HTTP response whose header has the page id (absent if
-    null). White space and control characters of a url are percent-encoded; a null url
+    null), percent-encoded: ids may be of any type that has a text. White space and control characters of a url are percent-encoded; a null url
     is ``-``. Null html is an empty payload. Rows may repeat; other columns are not
     written. An empty table gives a folder without records.
     """
@@ -80,7 +84,7 @@ def write_arc(pages: DataFrame, date: str = "20240101000000", path: str | None =
                 size = len((html or "").encode())
                 head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
                         f"Content-Length: {size}\r\n"
-                        + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n")
+                        + (f"X-Page-Id: {quote(page_id, safe='')}\r\n" if page_id is not None else "") + "\r\n")
                 url = _NOT_IN_URL.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "-"
                 values.append(arc_header(version, url, date, "text/html", name,
                                          len(head) + size) + "\n" + head + (html or ""))
@@ -135,6 +139,11 @@ def http_header(head: str, name: str) -> str | None:
     return None
 
 
+def page_id_of(head: str) -> str | None:
+    found = http_header(head, "X-Page-Id")
+    return None if found is None else unquote(found)
+
+
 def record_id(archive: str, seq: int) -> str:
     """The identifier of a record: the same whenever the archive is converted."""
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{archive}#{seq}").urn
@@ -146,29 +155,38 @@ def iso_date(arc_date: str) -> str:
 
 
 def warc_record(fields: dict[str, str | None], block: str) -> str:
-    """One record without its end; the length is that of the block in UTF-8."""
+    """One record; the length is that of the block in UTF-8."""
     lines = [f"{k}: {v}" for k, v in fields.items() if v is not None]
     return "\r\n".join(["WARC/1.0", *lines, f"Content-Length: {len(block.encode())}",
-                        "", block])
+                        "", block]) + WARC_END
+
+
+def member(record: str) -> bytes:
+    """A record as one gzip member without its last byte, a zero. From 16 MB on it is
+    followed by an empty member, which ends in a zero too."""
+    data = gzip.compress(record.encode(), 6, mtime=0)
+    return (data if not data[-1] else data + gzip.compress(b"", mtime=0))[:-1]
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
             .select("path", "content"))
 
 
-def convert(spark: SparkSession, arc: str, smallest: int = 0, path: str | None = None) -> str:
+def convert(spark: SparkSession, arc: str, smallest: int = 0, path: str | None = None,
+            id_type: T.DataType | None = None) -> str:
     """Convert ARC files to WARC; returns the folder of the WARC files.
 
     Of records with equal payloads of at least ``smallest`` bytes the one with the
     smallest page id is a response and the others revisit it (among equal ids the first
-    in the archives; no id counts as larger than any).
+    in the archives; no id counts as larger than any). Page ids are compared as values of
+    ``id_type`` (default: long).
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"),
                                      strict=True):
-                rows = [(file, r["archive"], r["seq"], http_header(r["head"], "X-Page-Id"),
+                rows = [(file, r["archive"], r["seq"], page_id_of(r["head"]),
                          r["url"], iso_date(r["date"]), len(r["payload"]),
                          base32_sha1(r["payload"]))
                         for r in parse_arc(gzip.decompress(content.as_py()))]
@@ -185,7 +203,7 @@ def convert(spark: SparkSession, arc: str, smallest: int = 0, path: str | None =
     index = write_stage(stored.mapInArrow(
         scan, "path string, archive string, seq int, page_id string, url string, date string, "
               "bytes long, digest string"), "arc-index")
-    number = F.col("page_id").cast("decimal(38,0)")
+    number = F.col("page_id").cast(id_type or T.LongType())
     rank = F.struct(number.isNull().alias("none"), number.alias("id"), "archive", "seq")
     first = write_stage(
         index.where(F.col("bytes") >= smallest).groupBy("digest", "bytes")
@@ -201,6 +219,11 @@ def convert(spark: SparkSession, arc: str, smallest: int = 0, path: str | None =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begun = False
+
+        def members(values: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(map(member, values), pa.binary())], schema=_ONE_MEMBER)
+
         for batch in batches:
             for content, revisit in zip(batch.column("content"),
                                         batch.column("revisits").to_pylist(), strict=True):
@@ -216,16 +239,14 @@ def convert(spark: SparkSession, arc: str, smallest: int = 0, path: str | None =
                             "Content-Type": "application/warc-fields"}, text))
                     values.append(_converted(r, known.get(r["seq"])))
                     if len(values) >= 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())],
-                                                         schema=_ONE_VALUE)
+                        yield members(values)
                         values = []
-                yield pa.RecordBatch.from_arrays([pa.array(values, pa.string())],
-                                                 schema=_ONE_VALUE)
+                yield members(values)
 
     path = path or new_path(spark, "llm/warc")
     (stored.join(revisits, "path", "left").select("content", "revisits")
-     .mapInArrow(write, "value string")
-     .write.option("lineSep", WARC_END).option("compression", "gzip").text(path))
+     .mapInArrow(write, "value binary").select(F.col("value").cast("string"))
+     .write.option("lineSep", MEMBER_END).text(path))
     return path
 
 
@@ -284,7 +305,7 @@ def read_warc(spark: SparkSession, warc: str) -> DataFrame:
                         raise ValueError(f"{f['WARC-Record-ID']} does not match its digest")
                     size = (len(payload) if kind == "response"
                             else int(http_header(head, "Content-Length")))
-                    rows.append((http_header(head, "X-Page-Id"), f["WARC-Record-ID"],
+                    rows.append((page_id_of(head), f["WARC-Record-ID"],
                                  f.get("WARC-Refers-To"), kind, f["WARC-Target-URI"],
                                  f["WARC-Date"], size, digest,
                                  payload.decode() if kind == "response" else None))
@@ -303,7 +324,8 @@ def read_warc(spark: SparkSession, warc: str) -> DataFrame:
 
 def page_records(spark: SparkSession, warc: str, id_type: T.DataType | None = None) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to (the page id of the
-    response that a revisit refers to) of each record read back from WARC files."""
+    response that a revisit refers to; both of ``id_type``, default long) of each record
+    read back from WARC files."""
     kind = id_type or T.LongType()
     page = lambda c: F.col(c).cast(kind)
     records = write_stage(read_warc(spark, warc).drop("payload", "url", "date"), "warc-index")
