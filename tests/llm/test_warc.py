@@ -73,6 +73,11 @@ def test_records_are_gzip_members_of_their_own(spark, pages):
             (_, _), = warc.parse_warc(one.decompress(data))
             data, n = one.unused_data, n + 1
     assert n > pages.count()                        # and a warcinfo record in each file
+    two = [b"ab" * 9000, b"", b"c"]
+    joined = b"".join(map(gzip.compress, two))
+    assert list(warc.members_of(joined)) == two and list(warc.members_of(b"")) == []
+    with pytest.raises(ValueError):
+        list(warc.members_of(joined[:-1]))
     big = "é" * (8 << 20)                           # 16 MB: the length's last byte is no zero
     assert gzip.decompress(warc.member(big) + b"\0").decode() == big
 

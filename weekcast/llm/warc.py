@@ -18,8 +18,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -33,6 +35,7 @@ from weekcast.llm.common import in_tasks_of, ship_code, text_bytes, write_stage
 from weekcast.session import new_path
 
 FILE_BYTES = 32 << 20
+READ_BYTES = 8 << 10
 # Fixed values of the formats: header fields of each ARC version, and what ends a record.
 ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
@@ -168,6 +171,21 @@ def member(record: str) -> bytes:
     return (data if not data[-1] else data + gzip.compress(b"", mtime=0))[:-1]
 
 
+def members_of(data: bytes | memoryview) -> Iterator[bytes]:
+    """The content of each gzip member in turn, so that one is held at a time."""
+    data, at = memoryview(data), 0
+    while at < len(data):
+        one, parts = zlib.decompressobj(wbits=31), []
+        while not one.eof:
+            piece = data[at:at + READ_BYTES]
+            if not piece:
+                raise ValueError("the last member is cut short")
+            parts.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
+
+
 def archives(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
             .select("path", "content"))
@@ -290,11 +308,18 @@ def read_warc(spark: SparkSession, warc: str) -> DataFrame:
     payload_bytes, payload_digest (bare base32; checked where the payload is there), payload
     (null in revisits)."""
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, pa.int64() if n == "payload_bytes" else pa.string())
+             for v, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 rows = []
-                for f, block in parse_warc(gzip.decompress(content.as_py())):
+                records = itertools.chain.from_iterable(
+                    map(parse_warc, members_of(content.as_buffer())))
+                for f, block in records:
                     kind = f["WARC-Type"]
                     if kind not in ("response", "revisit"):
                         continue
@@ -309,11 +334,11 @@ def read_warc(spark: SparkSession, warc: str) -> DataFrame:
                                  f.get("WARC-Refers-To"), kind, f["WARC-Target-URI"],
                                  f["WARC-Date"], size, digest,
                                  payload.decode() if kind == "response" else None))
-                for i in range(0, len(rows), 500):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(v, pa.int64() if n == "payload_bytes" else pa.string())
-                         for v, n in zip(zip(*rows[i:i + 500], strict=True), names, strict=True)],
-                        names=names)
+                    if len(rows) >= 500:
+                        yield batch_of(rows)
+                        rows = []
+                if rows:
+                    yield batch_of(rows)
 
     names = ["page_id", "record_id", "refers_to_record", "record_type", "url", "date",
              "payload_bytes", "payload_digest", "payload"]
