@@ -211,6 +211,24 @@ add("j15_asof_orders", _asof_orders, _ASOF)
 add("j15_asof_orders_bucketed", lambda d: _asof_orders(d, "year"), _ASOF)
 
 
+def _asof_events_hot(d: Domain):
+    """Last purchase value at or before every event; a third of all users share a key."""
+    events = d.star.raw("events").withColumn(
+        "who", F.when(c("user_id") % 3 == 0, F.lit(0).cast("long")).otherwise(c("user_id")))
+    bought = events.where(c("event_type") == "purchase").select(
+        "who", c("ts").alias("at"), c("value").alias("paid"))
+    return J.asof_segmented(events.select("event_id", "who", "ts"), bought, "who", "ts",
+                            "at", "paid").select("event_id", "who", "paid")
+
+
+add("j15_asof_segmented", _asof_events_hot, """
+    WITH e AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS who FROM events)
+    SELECT e.event_id, e.who, p.value AS paid FROM e
+    ASOF LEFT JOIN (SELECT who, ts, min(value) AS value FROM e
+      WHERE event_type = 'purchase' GROUP BY ALL) p
+      ON p.who = e.who AND p.ts <= e.ts""", "paid")
+
+
 def _asof_events(d: Domain):
     """Last purchase value at or before every event, bucketed by hour."""
     events = d.star.raw("events")

@@ -48,6 +48,33 @@ def test_asof_against_brute_force_with_a_hot_key(spark, bucket):
     assert asof_rows(spark, left, right, bucket, "timestamp") == expected_asof(left, right)
 
 
+@pytest.mark.parametrize("partitions", [1, 7, 40])
+def test_segmented_asof_against_brute_force(spark, partitions):
+    rng = random.Random(partitions)
+    before = {k: spark.conf.get(k) for k in (
+        "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # values of the hot key are rare, so they are carried over several partitions
+        left = [(i, rng.choice(["hot", "hot", f"k{rng.randint(0, 20)}", None]),
+                 rng.choice([None] + [rng.randint(0, 5000)] * 9)) for i in range(1500)]
+        right = [("hot", t, t) for t in (700, 701, 3000)] + [("hot", 701, 5), ("hot", 4000, None)]
+        right += [(f"k{rng.randint(0, 25)}", rng.randint(0, 5000), rng.randint(0, 9))
+                  for _ in range(200)] + [(None, 3, 3), ("hot", None, 1)]
+        l = spark.createDataFrame(left, "id int, k string, t int")
+        known = spark.createDataFrame(right, "k string, at int, v int")
+        out = J.asof_segmented(l, known, "k", "t", "at", "v")
+        assert out.columns == ["id", "k", "t", "v"]
+        assert {x.id: x.v for x in out.collect()} == expected_asof(left, right)
+        assert J.asof_segmented(l.where("id < 0"), known, "k", "t", "at", "v").count() == 0
+        none = J.asof_segmented(l, known.where("at < 0"), "k", "t", "at", "v").collect()
+        assert len(none) == len(left) and all(x.v is None for x in none)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_merge_treats_null_keys_as_equal(spark):
     a = spark.createDataFrame([(None, 1, 2.0), ("x", 1, 3.0)], "id string, week int, a double")
     b = spark.createDataFrame([(None, 1, 5.0), ("y", 1, 7.0)], "id string, week int, b double")

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weekcast.session import stage
+
 
 def lookup(left: DataFrame, right: DataFrame, on: dict[str, str], *,
            how: str = "left") -> DataFrame:
@@ -91,14 +93,7 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str,
     every unit.
     """
     out = out or value
-    points = left.where(F.col(by).isNotNull() & F.col(left_time).isNotNull()).select(
-        F.col(by).alias("_key"), F.col(left_time).alias("_time")).distinct()
-    known = (right.where(F.col(by).isNotNull() & F.col(right_time).isNotNull())
-             .groupBy(F.col(by).alias("_key"), F.col(right_time).alias("_time"))
-             .agg(F.min(value).alias("_value"))
-             .where("_value IS NOT NULL"))
-    tagged = known.withColumn("_side", F.lit(0)).unionByName(
-        points.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    known, tagged = _skeleton(left, right, by, left_time, right_time, value)
     groups = ["_key"]
     if bucket:
         tagged = tagged.withColumn("_bucket", F.date_trunc(bucket, "_time"))
@@ -109,6 +104,58 @@ def asof_backward(left: DataFrame, right: DataFrame, by: str, left_time: str,
         "_found", F.last("_value", ignorenulls=True).over(running)).where("_side = 1")
     if bucket:
         found = _carry_in(found, known, bucket)
+    return _answer(left, found, by, left_time, out)
+
+
+def asof_segmented(left: DataFrame, right: DataFrame, by: str, left_time: str,
+                   right_time: str, value: str, *, out: str | None = None) -> DataFrame:
+    """``asof_backward`` for keys that own any share of the points, at any resolution.
+
+    The skeleton is range-partitioned by (key, time), so a hot key takes up as many
+    partitions as its points need, and stored with the number of the partition. Each
+    stretch of a key in a partition is searched by itself. A key that goes on in the next
+    partition carries its last value there: that is one row a partition, and the only
+    window that sees a whole key runs over those. There is no unit to choose.
+    """
+    out = out or value
+    _, tagged = _skeleton(left, right, by, left_time, right_time, value)
+    # stored, since the range bounds may come out otherwise when tasks run again
+    points = stage(tagged.repartitionByRange("_key", "_time", "_side")
+                   .withColumn("_part", F.spark_partition_id()), "asof-points")
+    stretch = Window.partitionBy("_part", "_key")
+    found = points.withColumn("_found", F.last("_value", ignorenulls=True).over(
+        stretch.orderBy("_time", "_side").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow))).where("_side = 1")
+    # at most one key goes on from a partition into the next
+    ends = points.groupBy("_key", "_part").agg(
+        F.max(F.when(F.col("_side") == 0, F.struct("_time", "_value"))).alias("_last"))
+    going_on = (points.groupBy("_key").agg(F.min("_part").alias("a"), F.max("_part").alias("b"))
+                .where("a < b").select("_key"))
+    earlier = (Window.partitionBy("_key").orderBy("_part")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.join(going_on, "_key").select(
+        "_key", "_part",
+        F.last("_last", ignorenulls=True).over(earlier)["_value"].alias("_carried"))
+    found = found.join(carried, ["_key", "_part"], "left").withColumn(
+        "_found", F.coalesce("_found", "_carried"))
+    return _answer(left, found, by, left_time, out)
+
+
+def _skeleton(left: DataFrame, right: DataFrame, by: str, left_time: str, right_time: str,
+              value: str) -> tuple[DataFrame, DataFrame]:
+    """The values known at (key, time), and these beside the points that are asked for."""
+    points = left.where(F.col(by).isNotNull() & F.col(left_time).isNotNull()).select(
+        F.col(by).alias("_key"), F.col(left_time).alias("_time")).distinct()
+    known = (right.where(F.col(by).isNotNull() & F.col(right_time).isNotNull())
+             .groupBy(F.col(by).alias("_key"), F.col(right_time).alias("_time"))
+             .agg(F.min(value).alias("_value"))
+             .where("_value IS NOT NULL"))
+    return known, known.withColumn("_side", F.lit(0)).unionByName(
+        points.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+
+
+def _answer(left: DataFrame, found: DataFrame, by: str, left_time: str, out: str) -> DataFrame:
+    """``left`` with the value found at its (key, time)."""
     answers = found.where("_found IS NOT NULL").select(
         F.col("_key").alias(by), F.col("_time").alias(left_time),
         F.col("_found").alias(out), F.lit(0).cast("long").alias("_spread"))
