@@ -129,7 +129,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, key: int = 20_24, length
     (stored.join(F.broadcast(offsets), "stream")           # one row per task that had rows
      .select(slot_of(F.col("offset") + F.col("number")).alias("slot"), "packed")
      .withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
-     .repartitionByRange(shards, "shard").sortWithinPartitions("shard", "slot")
+     .repartitionById(shards, "shard")     # a range of slots each: no sample finds the bounds
+     .sortWithinPartitions("shard", "slot")
      .select(unpacked("packed").cast("string").alias("value"), "shard")
      .write.partitionBy("shard").option("lineSep", END).text(path))
     return path
