@@ -190,3 +190,42 @@ def test_walks_and_tuning_cover_their_weeks(spark, league):
     assert E.best_params(spark.createDataFrame(tuned)).max_depth == tuned[0].max_depth
     expected = frame.where((F.col("season") == season) & (F.col("week") >= week - 1)).count()
     assert out.count() == expected
+
+
+def test_a_level_sums_and_sends_only_what_its_tree_needs():
+    """Of 30 features two are used: their sums and the first one's are made; rows end in the
+    nodes that a walk of one row after another finds."""
+    r = np.random.default_rng(5)
+    bins, y = r.integers(0, B.BINS, (30, 200)).astype(np.uint8), r.normal(size=200)
+    splits = np.full((200, 1), B.TRAIN, dtype=np.int8)
+    fit = B.Fit(replace(WHOLE, colsample=1.0), 0, np.isin(np.arange(30), [7, 9]))
+    tree = B.Tree(3)
+    tree.feature[:3], tree.bin[:3] = (7, 9, 9), (30, 20, 40)
+    nodes = []
+    for row in bins.T:
+        i = 0
+        while tree.feature[i] >= 0:
+            i = 2 * i + 1 + (row[tree.feature[i]] > tree.bin[i])
+        nodes.append(i)
+    assert tree.walk(bins, tree.bin).tolist() == nodes
+    sums = dict(B._sums((((0, 200),), bins, y, splits), {0: fit}, {0: tree}, 2, lambda k: 0.0))[0, "grow"]
+    assert fit.summed().tolist() == [0, 7, 9] and sums.shape == (2, 4, 3, B.BINS)
+    for node in range(4):
+        for j, f in enumerate([0, 7, 9]):
+            at = np.array(nodes) == node + 3
+            assert sums[1, node, j].tolist() == np.bincount(bins[f, at], minlength=64).tolist()
+            assert sums[0, node, j] == pytest.approx(np.bincount(bins[f, at], -y[at], 64))
+
+
+def test_a_frame_of_many_parts_is_one_block(spark, numbers):
+    """Fits over one block of all parts, in a job for ten rounds, are those over the parts."""
+    params = replace(WHOLE, rounds=12, subsample=0.7, colsample=0.7, patience=50)
+    jobs = [job(params), B.Job("flat", replace(params, max_depth=1), F.col("part"), ("a", "b"))]
+    parts = B.packed_blocks(numbers, ["a", "b"], "y", [F.col("part")], [np.array([0.0])] * 2, 70)
+    assert parts.count() == 1 and len(parts.first()[0]) > 1
+    whole = B.fit_many(numbers, jobs, "y", block_rows=70)
+    apart = B.fit_many(numbers, jobs, "y", block_rows=70, whole_rows=0)
+    for name in whole:
+        assert whole[name].errors == pytest.approx(apart[name].errors)
+        for one, other in zip(whole[name].trees, apart[name].trees, strict=True):
+            assert one.value == pytest.approx(other.value)
