@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,24 @@ def test_links_that_no_star_has_are_found(spark):
                  for r, g in zip(rows, brute_groups([r.text for r in rows]))])
 
 
+def test_pairs_that_lack_different_units_are_not_compared(spark):
+    """Each text shares 178 of 178 units with others; two of them share 156 with each other
+    (0.78), and two of the rest 168 (0.87)."""
+    units = range(200)
+    lacking = {1: range(22), 2: range(30, 52), 3: range(10, 32), 4: ()}
+    texts = [(t, [7], [u for u in units if u not in gone],
+              np.bincount([u % near_dup.PARTS for u in units if u not in gone],
+                          minlength=near_dup.PARTS).tolist()) for t, gone in lacking.items()]
+    wide = near_dup.with_bounds(spark.createDataFrame(
+        texts, "text long, keys array<long>, units array<long>, parts array<int>"))
+    found = {r.text: r for r in wide.collect()}
+    assert all(found[t].shared == found[t].size == sum(found[t].parts) for t in found)
+    label = wide.select("text", "size", "shared", F.lit(0).alias("band"),
+                        F.lit(7).alias("key"), F.col("text").alias("root"))
+    pairs = near_dup.across_groups(label, wide, 0.8).collect()
+    assert {tuple(p) for p in pairs} == {(1, 3), (1, 4), (2, 4), (3, 4)}
+
+
 @has_data
 def test_near_groups_of_the_documents(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")

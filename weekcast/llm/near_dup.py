@@ -10,8 +10,8 @@ text are ever made, however long it is.
 Texts that agree in all coordinates of a band are compared exactly. In a bucket all
 members are compared with the first and the last one. Texts that still share buckets
 with another group are banded again, with wider bands, and there members of different
-groups are compared, unless counting what each shares with any other text rules them
-out. So a group of thousands costs no more than its members, and texts that only share
+groups are compared, unless counting what each shares with any other text, in all and
+in each part of the space of hashes, rules them out. So a group of thousands costs no more than its members, and texts that only share
 a passage hardly meet.
 """
 
@@ -36,6 +36,7 @@ BANDS, ROWS = 32, 5
 # The second round, for texts whose buckets hold several groups: wider bands, drawn
 # from other darts, let far fewer texts meet that only share a passage.
 WIDE_BANDS, WIDE_ROWS, WIDE_COORDINATES, SALT = 150, 12, 320, 0x5851F42D4C957F2D
+PARTS = 64                    # parts of the space of units, which are counted apart
 CACHED_WORDS = 600_000
 DOCS_AT_ONCE = 200
 _BREAK = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -218,7 +219,8 @@ def hashes_of(docs: DataFrame) -> DataFrame:
 
 
 def wide_bands_of(hashes: DataFrame) -> DataFrame:
-    """text, keys of the second round and unit elements, from stored shingle hashes."""
+    """text, keys of the second round, unit elements and how many of them are in each part,
+    from stored shingle hashes."""
     pick = np.random.default_rng(12)
     chosen = np.array([pick.choice(WIDE_COORDINATES, WIDE_ROWS, replace=False)
                        for _ in range(WIDE_BANDS)])
@@ -230,25 +232,33 @@ def wide_bands_of(hashes: DataFrame) -> DataFrame:
                 sets = [units(np.frombuffer(h.as_buffer(), np.uint64))
                         for h in part.column("hashes")]
                 keys = band_keys(signatures(sets, WIDE_COORDINATES, SALT), chosen)
+                parts = [np.bincount((x % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+                         for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), pa.array(list(keys), pa.list_(pa.int64())),
-                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    names=["text", "keys", "units"])
+                     pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())),
+                     pa.array(parts, pa.list_(pa.int32()))],
+                    names=["text", "keys", "units", "parts"])
 
     return hashes.where("length(hashes) > 0").select("row", "hashes").mapInArrow(
-        run, "text long, keys array<long>, units array<long>")
+        run, "text long, keys array<long>, units array<long>, parts array<int>")
 
 
 def with_bounds(texts: DataFrame) -> DataFrame:
-    """``texts`` with size and shared: how many units a text has, and how many of them
-    any other of these texts has too. No other text can share more."""
+    """``texts`` with size, shared and parts: how many units a text has, and how many of them
+    any other of these texts has too, in all and in each part. No other text can share more."""
+    part = F.pmod("unit", F.lit(PARTS))
     alone = (texts.select("text", F.explode("units").alias("unit"))
              .groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("text").alias("text"))
-             .where("n = 1").groupBy("text").agg(F.count(F.lit(1)).alias("alone")))
+             .where("n = 1").groupBy("text").agg(
+                 F.count(F.lit(1)).alias("alone"),
+                 F.array(*[F.count_if(part == p).cast("int") for p in range(PARTS)])
+                 .alias("alone_parts")))
     size = F.size("units")
     return texts.join(alone, "text", "left").select(
         "text", "keys", size.alias("size"),
-        (size - F.coalesce("alone", F.lit(0))).alias("shared"))
+        (size - F.coalesce("alone", F.lit(0))).alias("shared"),
+        F.coalesce(F.zip_with("parts", "alone_parts", lambda a, b: a - b), "parts").alias("parts"))
 
 
 def buckets(texts: DataFrame, name: str, *more: str) -> DataFrame:
@@ -301,24 +311,42 @@ def possible(pairs: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame
             .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def across_groups(label: DataFrame, threshold: float) -> DataFrame:
+def in_parts(first: str, second: str) -> Column:
+    """The most units that texts with these counts in each part have in common."""
+    both = F.zip_with(first, second, lambda a, b: F.least(a, b))
+    return F.aggregate(both, F.lit(0), lambda total, n: total + n)
+
+
+def across_groups(label: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of members of a bucket that are in different groups and have enough
-    shared units to be similar."""
+    shared units to be similar, in all and part by part."""
+    several = (label.groupBy("band", "key")
+               .agg(F.min("root").alias("low"), F.max("root").alias("high"))
+               .where("low < high").select("band", "key"))
+    label = write_stage(label.join(several, ["band", "key"]).join(
+        bounds.select("text", "parts"), "text"), "open-labels")
     roots = label.groupBy("band", "key", "root").agg(
-        F.min("size").alias("least"), F.max("shared").alias("most"))
+        F.min("size").alias("least"), F.max("shared").alias("most"),
+        F.array(*[F.max(F.get("parts", F.lit(p))) for p in range(PARTS)]).alias("parts"))
     side = lambda root, x: label.select(
         "band", "key", F.col("root").alias(root), F.col("text").alias(x),
-        F.col("size").alias(f"{x}_size"), F.col("shared").alias(f"{x}_shared"))
-    high = roots.withColumnsRenamed({"root": "high", "least": "least_y", "most": "most_y"})
+        F.col("size").alias(f"{x}_size"), F.col("shared").alias(f"{x}_shared"),
+        F.col("parts").alias(f"{x}_parts"))
+    high = roots.withColumnsRenamed(
+        {"root": "high", "least": "least_y", "most": "most_y", "parts": "parts_y"})
+    sizes = F.col("least") + F.col("least_y")
     both = (roots.withColumnRenamed("root", "low").join(high, ["band", "key"])
             .where(F.col("low") < F.col("high"))
-            .where(enough(F.least("most", "most_y"), F.col("least") + F.col("least_y"), threshold)))
-    return (both.join(side("low", "x"), ["band", "key", "low"])
-            .where(enough(F.least("x_shared", "most_y"), F.col("x_size") + F.col("least_y"),
-                          threshold))
-            .join(side("high", "y"), ["band", "key", "high"])
-            .where(enough(F.least("x_shared", "y_shared"), F.col("x_size") + F.col("y_size"),
-                          threshold))
+            .where(enough(F.least("most", "most_y"), sizes, threshold)
+                   & enough(in_parts("parts", "parts_y"), sizes, threshold)).drop("parts"))
+    sizes = F.col("x_size") + F.col("least_y")
+    some = (both.join(side("low", "x"), ["band", "key", "low"])
+            .where(enough(F.least("x_shared", "most_y"), sizes, threshold)
+                   & enough(in_parts("x_parts", "parts_y"), sizes, threshold)).drop("parts_y"))
+    sizes = F.col("x_size") + F.col("y_size")
+    return (some.join(side("high", "y"), ["band", "key", "high"])
+            .where(enough(F.least("x_shared", "y_shared"), sizes, threshold)
+                   & enough(in_parts("x_parts", "y_parts"), sizes, threshold))
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
@@ -399,7 +427,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
         .join(star, ["a", "b"], "left_anti"), groups), "more-stars")
     links = write_stage(links.unionByName(verified(more, hashes, threshold)), "more-links")
     groups = components(links)
-    rest = (across_groups(labelled(members, groups, "wide-labels"), threshold)
+    rest = (across_groups(labelled(members, groups, "wide-labels"), wide, threshold)
             .join(star.unionByName(more), ["a", "b"], "left_anti"))
     last = write_stage(verified(rest, hashes, threshold), "last-links")
     if last.limit(1).count():
