@@ -229,3 +229,20 @@ def test_a_frame_of_many_parts_is_one_block(spark, numbers):
         assert whole[name].errors == pytest.approx(apart[name].errors)
         for one, other in zip(whole[name].trees, apart[name].trees, strict=True):
             assert one.value == pytest.approx(other.value)
+
+
+def test_a_fit_over_one_block_is_one_task(spark, numbers):
+    """The number of jobs does not grow with the rounds, and each fit has its task."""
+    def jobs_of(rounds):
+        spark.sparkContext.setJobGroup(f"fits-{rounds}", "")
+        params = replace(WHOLE, rounds=rounds, patience=rounds)
+        models = B.fit_many(numbers, [replace(job(params), name=str(i)) for i in range(3)], "y")
+        tracker = spark.sparkContext.statusTracker()
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(f"fits-{rounds}")]
+        tasks = tracker.getStageInfo(max(s for j in jobs for s in j.stageIds)).numTasks
+        return len(jobs), tasks, {len(m.errors) for m in models.values()}
+
+    few, many = jobs_of(5), jobs_of(50)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert few[0] == many[0] and few[1] == many[1] == 3
+    assert many[2] == {50}
