@@ -323,7 +323,7 @@ def across_groups(label: DataFrame, bounds: DataFrame, threshold: float) -> Data
     several = (label.groupBy("band", "key")
                .agg(F.min("root").alias("low"), F.max("root").alias("high"))
                .where("low < high").select("band", "key"))
-    label = write_stage(label.join(several, ["band", "key"]).join(
+    label = write_stage(label.join(several, ["band", "key"], "left_semi").join(
         bounds.select("text", "parts"), "text"), "open-labels")
     roots = label.groupBy("band", "key", "root").agg(
         F.min("size").alias("least"), F.max("shared").alias("most"),
