@@ -1,6 +1,7 @@
 """Box score and gold table on the small league."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.league import make_sources, play_rows
@@ -136,3 +137,23 @@ def test_first_week_of_a_season_has_no_season_to_date(gold):
              "opp_def_ypp_allowed", "opp_def_ppg_allowed", "starting_qb_aya"]
     assert first.where(" OR ".join(f"{c} <> 0" for c in rates)).count() == 0
     assert first.where("season > 2023 AND fantasy_points_3wk_avg > 0").count() > 0
+
+
+def test_side_values_reach_their_rows_in_one_distribution_by_player(spark):
+    rows = spark.createDataFrame(
+        [("P1", 2020, 1, "A"), ("P1", 2020, 1, "B"), ("P1", 2020, 2, "A"), ("P2", None, 1, "C"),
+         ("P3", 2020, 1, None)], "player_id string, season int, week int, player_name string")
+    keyed = "player_id string, season int, week int, "
+    parts = [
+        spark.createDataFrame([("P1", 2020, 1, 0.5), ("P2", None, 1, 0.7), (None, 2020, 1, 0.9),
+                               ("P9", 2020, 1, 0.3)], keyed + "snap_share double"),
+        spark.createDataFrame([("P1", 2020, 1, 3), ("P3", 2020, 1, 2)], keyed + "rank_weekly int")]
+    found = FT.with_player_side(rows, parts)
+    want = rows
+    for part in parts:
+        want = want.join(part, FT.PLAYER_WEEK, "left")
+    assert sorted(found.collect(), key=str) == sorted(want.select(*found.columns).collect(), key=str)
+    ordered = Window.partitionBy("player_id").orderBy("season", "week")
+    plan = found.withColumn("before", F.lag("snap_share").over(ordered))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Join" not in text
