@@ -243,3 +243,24 @@ def test_windows_hit_as_in_brute_force(spark):
 @pytest.mark.parametrize("name", ["op1_decontamination", "op3_exact_dedup"])
 def test_agrees_with_sql(spark, name):
     assert differences(QUERIES[name](spark, FOLDER), connect(FOLDER), ORACLE[name]) == []
+
+
+def test_word_hashes_and_earliest_darts_follow_their_definitions():
+    texts = ["", None, "Don't STOP, ÄÖ été-été 日本語\u3000x\x85y\xa0z K\u212a \x00\x7f[a]{B}`9:",
+             "one  two\n" * 3, "\U0001F600 a@b"]
+    for t in texts:
+        assert near_dup.word_hashes(t).tolist() == [
+            near_dup.xxhash.xxh64_intdigest(w) for w in split(t)]
+    k, sets = 8, [near_dup.units(near_dup.shingles(t)) for t in texts if t]
+    for s, got in zip(sets, near_dup.signatures(sets, k), strict=True):
+        best = [(np.inf, 0)] * k
+        for element in s:
+            rank = 0.0
+            for turn in range(1, 400):               # far beyond any rank that is needed
+                with np.errstate(over="ignore"):
+                    dart = near_dup.mixed(np.array([element], np.uint64) + np.uint64(
+                        turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+                rank -= float(np.log(near_dup.uniform(dart))[0])
+                name = int(near_dup.mixed(dart ^ np.uint64(0xA0761D6478BD642F))[0])
+                best[name % k] = min(best[name % k], (rank, name))
+        assert got.tolist() == [name for _, name in best]

@@ -17,7 +17,6 @@ a passage hardly meet.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +38,9 @@ WIDE_BANDS, WIDE_ROWS, WIDE_COORDINATES, SALT = 150, 12, 320, 0x5851F42D4C957F2D
 PARTS = 64                    # parts of the space of units, which are counted apart
 CACHED_WORDS = 600_000
 DOCS_AT_ONCE = 200
-_BREAK = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_LOWER = str.maketrans(UPPER, LOWER)
-_word_hash: dict[str, int] = {}
+# Of UTF-8 bytes: A-Z to lower case, all that is no word character to a space.
+_TO_WORDS = bytes(b if chr(b) in LOWER or 0x30 <= b <= 0x39 or b > 0x7F
+                  else b + 32 if chr(b) in UPPER else 0x20 for b in range(256))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -51,13 +50,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    """Word hashes, worked out when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_word_hash = _Hashes()
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    found = [w for w in _BREAK.split((text or "").translate(_LOWER)) if w]
+    found = (text or "").encode().translate(_TO_WORDS).split()
     if len(_word_hash) > CACHED_WORDS:
         _word_hash.clear()
-    for w in found:
-        if w not in _word_hash:
-            _word_hash[w] = xxhash.xxh64_intdigest(w)
     return np.fromiter(map(_word_hash.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
@@ -124,12 +131,11 @@ def signatures(sets: list[np.ndarray], k: int, salt: int = 0) -> np.ndarray:
                 turn += 1
             owner, rank, name = map(np.concatenate, (owners, ranks, names))
             slot = owner * k + (name % np.uint64(k)).astype(np.int64)
-            last_wins = np.argsort(rank, kind="stable")[::-1]
-            slot, name = slot[last_wins], name[last_wins]
-            out.reshape(-1)[slot] = name                  # the earliest dart comes last
-            full = np.zeros(len(sets) * k, dtype=bool)
-            full[slot] = True
-            full = full.reshape(len(sets), k).all(axis=1)
+            earliest = np.full(len(sets) * k, np.inf)
+            np.minimum.at(earliest, slot, rank)
+            first = np.flatnonzero(rank == earliest[slot])[::-1]     # of equal ones the first
+            out.reshape(-1)[slot[first]] = name[first]
+            full = (earliest < np.inf).reshape(len(sets), k).all(axis=1)
             todo = [(i, s, 2 * r) for i, s, r in todo if not full[i]]
     return out
 
