@@ -36,6 +36,7 @@ BANDS, ROWS = 32, 5
 # from other darts, let far fewer texts meet that only share a passage.
 WIDE_BANDS, WIDE_ROWS, WIDE_COORDINATES, SALT = 150, 12, 320, 0x5851F42D4C957F2D
 PARTS = 64                    # parts of the space of units, which are counted apart
+EDGES_OF_A_TASK = 1 << 18      # 4 MB of them
 CACHED_WORDS = 600_000
 DOCS_AT_ONCE = 200
 # Of UTF-8 bytes: A-Z to lower case, all that is no word character to a space.
@@ -358,25 +359,30 @@ def across_groups(label: DataFrame, bounds: DataFrame, threshold: float) -> Data
 
 def components(edges: DataFrame) -> DataFrame:
     """row and root: the smallest row of each row's connected component, for rows with
-    edges (a, b). Large-star and small-star steps, until nothing changes. Every step is
-    stored, so a node with very many edges meets plain joins that Spark can split, and
-    only counts reach the driver."""
-    edges = write_stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                        .where("a < b").distinct(), "edges")
+    edges (a, b), which must be stored. Large-star and small-star steps, until nothing
+    changes. Every step is stored, so a node with very many edges meets plain joins that
+    Spark can split, and only counts reach the driver. Steps never add edges; few of them
+    stay in one task, where dealing them out for each join would take most of the time."""
+    few = edges.count() <= EDGES_OF_A_TASK
+    dealt = lambda df: df.coalesce(1) if few else df
+    edges = dealt(write_stage(dealt(edges).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .where("a < b").distinct(), "edges"))
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = write_stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
-            "a", F.least("a", "m").alias("m")), "lowest")
+        both = edges.select(F.inline(F.array(
+            F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+        low = dealt(write_stage(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            "a", F.least("a", "m").alias("m")), "lowest"))
         # large star: larger neighbours of a node go to the smallest of its neighbours
         large = (both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b")
                  .where("a < b").distinct())
-        large = write_stage(large, "large-star")
+        large = dealt(write_stage(large, "large-star"))
         # small star: smaller neighbours and the node itself go to the smallest
-        low = write_stage(large.groupBy("b").agg(F.min("a").alias("m")), "lowest")
+        low = dealt(write_stage(large.groupBy("b").agg(F.min("a").alias("m")), "lowest"))
         small = (large.join(low, "b")
                  .select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
                  .where("a < b").distinct())
-        small = write_stage(small, "small-star")
+        small = dealt(write_stage(small, "small-star"))
         changed = (small.join(edges, ["a", "b"], "left_anti").limit(1).count()
                    + edges.join(small, ["a", "b"], "left_anti").limit(1).count())
         edges = small
@@ -384,6 +390,15 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("b").alias("row"), F.col("a").alias("root"))
 
 
+def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of ``groups`` once more ``links`` are known; both are stored. A group's
+    rows and root stand for all links it was made of."""
+    if not links.limit(1).count():
+        return groups
+    return components(links.unionByName(groups.select(
+        F.col("root").alias("a"), F.col("row").alias("b"))))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, keep_id (doc_id of the row that stays,
@@ -408,13 +423,11 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     hashes = write_stage(hashes_of(
         docs.select(row_of(docs).alias("row"), "text").join(in_bucket, "row")), "hashes")
     star = write_stage(stars(members, "first"), "stars")
-    links = write_stage(verified(star, hashes, threshold), "links")
-    groups = components(links)
+    groups = components(write_stage(verified(star, hashes, threshold), "links"))
     # the last members only matter where the first ones have not joined the texts
     ends = write_stage(apart(stars(members, "last"), groups).join(star, ["a", "b"], "left_anti"),
                        "end-stars")
-    links = write_stage(links.unionByName(verified(ends, hashes, threshold)), "links")
-    groups = components(links)
+    groups = grown(groups, write_stage(verified(ends, hashes, threshold), "end-links"))
     star = star.unionByName(ends)
 
     # what the stars leave open: texts that share a bucket with another group
@@ -431,13 +444,10 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     more = write_stage(apart(
         possible(stars(members, "first", "last"), wide, threshold)
         .join(star, ["a", "b"], "left_anti"), groups), "more-stars")
-    links = write_stage(links.unionByName(verified(more, hashes, threshold)), "more-links")
-    groups = components(links)
+    groups = grown(groups, write_stage(verified(more, hashes, threshold), "more-links"))
     rest = (across_groups(labelled(members, groups, "wide-labels"), wide, threshold)
             .join(star.unionByName(more), ["a", "b"], "left_anti"))
-    last = write_stage(verified(rest, hashes, threshold), "last-links")
-    if last.limit(1).count():
-        groups = components(links.unionByName(last))
+    groups = grown(groups, write_stage(verified(rest, hashes, threshold), "last-links"))
 
     told = write_stage(
         signed.join(groups.withColumnRenamed("row", "text"), "text", "left")
