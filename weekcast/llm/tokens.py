@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 CACHED_WORDS = 400_000         # of two generations each
 # White space for str.split() but not for the tokenizer: such texts are encoded whole.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WIDE = re.compile("[̀-\U0010ffff]")
 # Lower-case letters that no normalisation changes, and a full stop or comma, which is a
 # token of its own behind them.
@@ -36,9 +37,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
+        self.code = {1: "B", 2: "H", 4: "I", 8: "Q"}[self.dtype.itemsize]
         if self.tokenizer.get_vocab_size() > 1 << (8 * self.dtype.itemsize):
             raise ValueError(f"ids do not fit in {dtype}")
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self)
         self.older: dict[str, bytes] = {}
         self.model = self.tokenizer.model
         self.marks = {m: self._whole(m) for m in ".,"}
@@ -50,66 +52,75 @@ class Encoder:
     def _whole(self, text: str) -> bytes:
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def pack(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _pieces(self, text: str) -> list[str] | None:
-        if _SEPARATORS.search(text):
+        if any(s in text for s in _SEPARATORS):
             return None
-        return text.split() if _WIDE.search(text) else text.lower().split()
+        return text.lower().split() if text.isascii() or not _WIDE.search(text) else text.split()
 
     def _spelled(self, word: str) -> bytes:
         """The ids of lower-case letters, straight from the vocabulary's merges."""
         letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
         return self.pack([t.id for t in self.model.tokenize(letters)])
 
-    def _learn(self, words: list[str]) -> None:
-        """Put words into the cache: plain ones by their letters, the others in calls for
-        many, told apart by their places."""
-        cache, other = self.cache, []
-        for word in words:
-            plain = self.by_letters and _PLAIN.fullmatch(word)
-            if not plain:
-                other.append(word)
-                continue
+    def _found(self, word: str) -> bytes | None:
+        """The ids of a word that is not in the cache: those of the older generation, or of
+        its letters; none if the tokenizer has to be asked."""
+        ids = self.older.get(word)
+        if ids is None and self.by_letters and (plain := _PLAIN.fullmatch(word)):
             stem, mark = plain.groups()
-            if not mark:
-                cache[word] = self._spelled(word)
-                continue
-            ids = cache.get(stem) or self.older.get(stem) or self._spelled(stem)
-            cache[word] = ids + self.marks[mark]
-        for i in range(0, len(other), 5000):
-            some = other[i:i + 5000]
+            if mark:
+                ids = (self.cache.get(stem) or self.older.get(stem)
+                       or self._spelled(stem)) + self.marks[mark]
+            else:
+                ids = self._spelled(word)
+        return ids
+
+    def _learn(self, words: list[str]) -> None:
+        """Put words into the cache, in calls for many, told apart by their places."""
+        for i in range(0, len(words), 5000):
+            some = words[i:i + 5000]
             found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids = np.array(found.ids, dtype=self.dtype)
             begins = np.array([o[0] for o in found.offsets] or [0], dtype=np.int64)
             words_begin = np.cumsum([0] + [len(w) + 1 for w in some])
             ends = np.searchsorted(begins[:len(ids)], words_begin).tolist()
-            cache.update((w, ids[a:b].tobytes())
-                         for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
+            self.cache.update((w, ids[a:b].tobytes())
+                              for w, a, b in zip(some, ends[:-1], ends[1:], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null has none."""
         if len(self.cache) > CACHED_WORDS:            # words in use come back from there
-            self.older, self.cache = self.cache, {}
-        get, older, out, missing = self.cache.get, self.older.get, [], {}
+            self.older, self.cache = self.cache, _Cache(self)
+        cache, out = self.cache, []
         for text in texts:
             pieces = self._pieces(text or "")
             if pieces is None:
                 out.append(self._whole(text))
                 continue
-            known = list(map(get, pieces))
-            if None in known:
-                for p, k in zip(pieces, known, strict=True):
-                    if k is None and p not in missing:
-                        missing[p] = older(p)
-                out.append(pieces)
-            else:
-                out.append(b"".join(known))
-        self.cache.update((p, k) for p, k in missing.items() if k is not None)
-        self._learn([p for p, k in missing.items() if k is None])
-        return [o if isinstance(o, bytes) else b"".join(map(self.cache.__getitem__, o))
-                for o in out]
+            known = list(map(cache.__getitem__, pieces))
+            out.append(pieces if None in known else b"".join(known))
+        self._learn(list(cache.unknown))
+        cache.unknown.clear()
+        return [o if isinstance(o, bytes) else b"".join(map(cache.__getitem__, o)) for o in out]
+
+
+class _Cache(dict):
+    """Ids of words, worked out when they are first asked for; words of which there are none
+    yet are noted in ``unknown``."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.unknown = encoder, {}
+
+    def __missing__(self, word: str) -> bytes | None:
+        ids = self.encoder._found(word)
+        if ids is None:
+            self.unknown[word] = None
+        else:
+            self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
