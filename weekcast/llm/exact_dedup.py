@@ -178,7 +178,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFra
     and keep_id is null only if a group has no other. Columns besides doc_id and
     text are not read. An empty table gives no rows.
     """
-    ids = identities(docs, block_bytes)
+    # stored: the plan of all levels is made and run once, though its rows are used twice
+    ids = write_stage(identities(docs, block_bytes), "identities")
     groups = (ids.groupBy("level", "name")
               .agg(F.count(F.lit(1)).alias("group_size"),
                    F.max(F.struct("doc_id", (-F.col("row")).alias("before"))).alias("stays"))

@@ -93,9 +93,10 @@ def beginnings(word: str) -> list[str]:
 def toxic_words(toxic: list[list[str]], ordinary: list[list[str]]) -> set[str]:
     """Words of toxic texts that those have more often than chance allows, or that begin
     like that."""
-    count = lambda texts: Counter(b for d in texts for b in {
-        b for w in set(d) for b in beginnings(w)})
-    t, o = count(toxic), count(ordinary)
+    count = lambda texts, of: Counter(b for d in texts for b in {
+        b for w in set(d) for b in beginnings(w) if of is None or b in of})
+    t = count(toxic, None)
+    o = count(ordinary, t)            # only what toxic texts have is looked up
     n, m = max(len(toxic), 1), max(len(ordinary), 1)
     share = n / (n + m)
 
@@ -165,19 +166,23 @@ def fit_texts(sample: list[tuple[str, int]]) -> Model:
     """Dictionaries from two thirds of the examples, calibration on the rest."""
     check = sample[2::3]
     learn = [e for i, e in enumerate(sample) if i % 3 != 2]
-    ordinary = [windows(t) for t, y in learn if not y]
-    toxic = [windows(t) for t, y in learn if y]
+    words: dict[str, str] = {}                     # equal words are one object
+    of = lambda t: [words.setdefault(w, w) for w in windows(t)]
+    ordinary = [of(t) for t, y in learn if not y]
+    toxic = [of(t) for t, y in learn if y]
     own = toxic_words(toxic, ordinary)
+    toxic = [[w for w in d if w in own] for d in toxic]
     base = [" ".join(d[i:i + 150]) for d in ordinary for i in range(0, len(d), 150)]
-    model = Model(
-        coded(f" {trained(base, ORDINARY_BYTES, 64)} "),
-        coded(f" {trained_in_rounds([[w for w in d if w in own] for d in toxic], TOXIC_BYTES)} "),
-        np.zeros(0))
+    del ordinary, words, of
+    plain = coded(f" {trained(base, ORDINARY_BYTES, 64)} ")
+    del base
+    model = Model(plain, coded(f" {trained_in_rounds(toxic, TOXIC_BYTES)} "), np.zeros(0))
     if not check:
         model.weights = np.zeros(len(model.features("")) + 1)
         return model
     model.weights = logistic(np.array([model.features(t) for t, _ in check]),
                              np.array([y for _, y in check], dtype=float))
+    _seen.pop(model.name, None)                    # texts are scored elsewhere
     return model
 
 
