@@ -1,6 +1,8 @@
 """Rebuild, slice replace, conformance and the slice gate."""
 
+import os
 import re
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -118,3 +120,26 @@ def test_stages_go_to_the_named_folder(spark):
     assert staged.columns == ["id", "kind"]
     assert folder in staged.inputFiles()[0]
     assert staged.where("kind = 1").count() == 2
+
+
+def shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {os.path.join(at, n) for d in dirs for at, _, names in os.walk(d.getPath())
+            for n in names if n.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    rows = spark.range(3000).select((F.col("id") % 7).cast("int").alias("season"),
+                                    (F.col("id") % 3).cast("int").alias("week"), "id")
+    before = shuffle_files(spark)
+    held = [rows.groupBy("season").agg(F.sum("id").alias("n")), rows.repartition(3)]  # no garbage
+    staged = [stage(df, "left") for df in held]
+    sinks.rebuild(rows, new_path(spark, "left"))
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert staged[0].count() == 7 and staged[1].count() == 3000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
