@@ -246,3 +246,68 @@ def test_a_fit_over_one_block_is_one_task(spark, numbers):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert few[0] == many[0] and few[1] == many[1] == 3
     assert many[2] == {50}
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """3,000 rows without ties between features; 'few' marks 300 rows, 'part' all."""
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(3000):
+        x = r.normal(size=5).tolist()
+        y = 3.0 * (x[0] > 0) - 2.0 * (x[1] > 0.3) * (x[0] < 0.5) + x[2] + 0.3 * r.normal()
+        part = ("train", "train", "val", "train", None)[i % 5]
+        rows.append((*x, float(y), part, part if i % 10 < 3 and i % 3 == 0 else None))
+    return spark.createDataFrame(
+        rows, "a double, b double, c double, d double, e double, y double, part string, "
+              "few string").repartition(3).localCheckpoint()
+
+
+def same_trees(one, other):
+    assert one.errors == pytest.approx(other.errors, rel=1e-9)
+    for t, u in zip(one.trees, other.trees, strict=True):
+        assert (t.feature == u.feature).all() and (t.bin == u.bin).all()
+        assert (t.rows == u.rows).all() and t.value == pytest.approx(u.value, abs=1e-8)
+
+
+def test_exact_sums_give_the_same_trees(many):
+    """In one block, over many blocks, and of a fit's own rows gathered in a task."""
+    names = ("a", "b", "c", "d", "e")
+    params = replace(E.Params(), rounds=12, patience=50, min_child_weight=9)
+    jobs = [B.Job("all", params, F.col("part"), names),
+            B.Job("flat", replace(params, max_depth=2, subsample=1.0), F.col("part"), names[:2]),
+            B.Job("few", replace(params, max_depth=2), F.col("few"), names)]
+    plain = B.fit_many(many, jobs, "y", block_rows=200)
+    alone = B.fit_many(many, jobs, "y", block_rows=200, paired_rows=0)
+    apart = B.fit_many(many, jobs, "y", block_rows=200, whole_rows=1000)
+    steps = B.fit_many(many, jobs, "y", block_rows=200, whole_rows=0)
+    for name in plain:
+        for other in (alone, apart, steps):
+            same_trees(plain[name], other[name])
+
+
+def test_pairs_of_bins_give_the_sums_of_each_feature():
+    r = np.random.default_rng(6)
+    bins = r.integers(0, B.BINS, (5, 9000)).astype(np.uint8)
+    grads, rows = np.rint(r.normal(size=9000) * 2 ** 20), np.flatnonzero(r.random(9000) < 0.7)
+    for some in (rows, rows[:100]):                       # by pairs, and one after another
+        sums = B._node_sums(bins, some, grads, np.array([0, 2, 4]))
+        for j, f in enumerate((0, 2, 4)):
+            assert sums[0, j].tolist() == np.bincount(bins[f, some], grads[some], 64).tolist()
+            assert sums[1, j].tolist() == np.bincount(bins[f, some], minlength=64).tolist()
+
+
+def test_of_two_children_the_smaller_one_is_summed():
+    tree = B.Tree(3)
+    tree.feature[:3], tree.rows[:7] = (1, 1, 1), (100, 70, 30, 60, 10, 3, 27)
+    assert B._to_sum(tree, 0, 5) == [0]
+    assert B._to_sum(tree, 1, 5) == [2] and B._to_sum(tree, 2, 5) == [4, 5]
+    assert B._to_sum(tree, 2, 20) == [4]                  # 27 rows are too few for a split
+
+
+def test_a_large_frame_is_stored_in_files_for_all_cores(spark):
+    rows = spark.range(5 * B.PAIRED_ROWS).withColumn("y", F.col("id") * 2.0)
+    frame = E.stored_frame(rows)
+    assert len(frame.inputFiles()) == 5
+    assert frame.agg(F.sum("id")).first()[0] == rows.agg(F.sum("id")).first()[0]
+    assert len(E.stored_frame(rows.limit(100)).inputFiles()) == 1
